@@ -1,0 +1,403 @@
+"""Registered queries: one per operator family of the survey, each paired with
+its DuckDB oracle SQL (or none, for model / iterative output that SQL cannot
+express - those are covered by property tests).
+
+Every query reads the given tables (or data Spark derives from them) in full.
+Output columns are aliased identically on both sides; days are ISO strings and
+doubles that depend on summation order are rounded to 6 digits on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsfeat.functions import fixed
+from newsfeat.functions import text as tx
+from newsfeat.functions.patterns import default_flags
+from newsfeat.operators import features as ft
+from newsfeat.operators import rules
+from newsfeat.operators import sets
+from newsfeat.operators import temporal as tm
+from newsfeat.plans import oracle as o
+from newsfeat.plans import pipeline
+from newsfeat.session import shared_path
+from newsfeat.sources import csv as csvio
+from newsfeat.sources import fixtures as fx
+from newsfeat.sources import tables
+
+
+@dataclass
+class Query:
+    name: str
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+REGISTRY: dict[str, Query] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        REGISTRY[name] = Query(name, fn, sql)
+        return fn
+    return deco
+
+
+def day_str(c: str = "PubDay"):
+    return F.date_format(F.col(c), "yyyy-MM-dd").alias(c)
+
+
+def s_day_str(c: str = "PubDay") -> str:
+    return f"strftime({c}, '%Y-%m-%d') AS {c}"
+
+
+def r6(c: str, alias: str | None = None):
+    return F.round(F.col(c), 6).alias(alias or c)
+
+
+def s_r6(expr: str, alias: str) -> str:
+    return f"round({expr}, 6) AS {alias}"
+
+
+ARTICLE_COLS = ["UniqueID", "NewsDesk", "SectionName", "SubsectionName", "Headline", "Snippet",
+                "Abstract", "WordCount", "PubDate", "Popular"]
+
+
+def pubdate_str():
+    return F.date_format("PubDate", "yyyy-MM-dd HH:mm:ss").alias("PubDate")
+
+
+S_PUBDATE_STR = "strftime(PubDate, '%Y-%m-%d %H:%M:%S') AS PubDate"
+S_ARTICLE_SELECT = ", ".join(c if c != "PubDate" else S_PUBDATE_STR for c in ARTICLE_COLS)
+
+
+def _article_select(df: DataFrame) -> DataFrame:
+    return df.select(*[c if c != "PubDate" else pubdate_str() for c in ARTICLE_COLS])
+
+
+def articles(spark, sf_dir):
+    return fx.articles(spark, sf_dir)
+
+
+def cleaned(spark, sf_dir):
+    return ft.clean_articles(articles(spark, sf_dir))
+
+
+def filled(spark, sf_dir, fixture_rules: bool = True):
+    kw = {"headline_prefixes": fx.FIXTURE_POLITICS_PREFIXES} if fixture_rules else {}
+    return rules.fill_categories(cleaned(spark, sf_dir), **kw)
+
+
+def features(spark, sf_dir, counts: bool = True):
+    return pipeline.article_features(articles(spark, sf_dir),
+                                     rule_kwargs={"headline_prefixes": fx.FIXTURE_POLITICS_PREFIXES},
+                                     counts=counts)
+
+
+RULE_KW = {"headline_prefixes": fx.FIXTURE_POLITICS_PREFIXES}
+FEATURE_SQL_PREFIX = o.feature_chain(**RULE_KW)
+
+
+# ------------------------------------------------------------ 2.1 sources
+@register("csv_scan", f"SELECT {S_ARTICLE_SELECT} FROM ({o.ARTICLES_SQL}) a")
+def q_csv_scan(spark, sf_dir):
+    path = shared_path(spark, "articles-csv")
+    csvio.write_articles_csv(articles(spark, sf_dir), path)
+    return _article_select(csvio.read_articles_csv(spark, path))
+
+
+@register("union_train_test", f"SELECT {S_ARTICLE_SELECT} FROM ({o.ARTICLES_SQL}) a")
+def q_union(spark, sf_dir):
+    a = articles(spark, sf_dir)
+    train, test = sets.split_labelled(a)
+    return _article_select(sets.union_train_test(train, test.drop("Popular")))
+
+
+@register("split_labelled", o.with_articles(
+    "x AS (SELECT UniqueID, CASE WHEN Popular IS NULL THEN 'unlabelled' ELSE 'labelled' END AS part FROM articles)")
+    + " SELECT * FROM x")
+def q_split(spark, sf_dir):
+    train, test = sets.split_labelled(articles(spark, sf_dir))
+    return (train.select("UniqueID", F.lit("labelled").alias("part"))
+            .unionByName(test.select("UniqueID", F.lit("unlabelled").alias("part"))))
+
+
+# ------------------------------------------------------------ 2.8 scalar text
+@register("trim_ws", f"SELECT doc_id, {o.s_trim_ws('text')} AS text FROM documents")
+def q_trim(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", tx.trim_ws("text").alias("text"))
+
+
+@register("strip_tags", f"SELECT page_id, {o.s_strip_tags('html')} AS text FROM pages")
+def q_strip_tags(spark, sf_dir):
+    return tables.pages(spark, sf_dir).select("page_id", tx.strip_tags("html").alias("text"))
+
+
+@register("fold_diacritic_entities", o.with_articles(
+    f"x AS (SELECT UniqueID, {o.s_fold_diacritics('Headline')} AS Headline FROM articles)") + " SELECT * FROM x")
+def q_fold(spark, sf_dir):
+    return articles(spark, sf_dir).select("UniqueID", tx.fold_diacritic_entities("Headline").alias("Headline"))
+
+
+@register("drop_entities", o.with_articles(
+    f"x AS (SELECT UniqueID, {o.s_drop_entities('Headline', True)} AS strict, "
+    f"{o.s_drop_entities('Headline', False)} AS lenient FROM articles)") + " SELECT * FROM x")
+def q_drop_entities(spark, sf_dir):
+    return articles(spark, sf_dir).select("UniqueID", tx.drop_entities("Headline", True).alias("strict"),
+                                          tx.drop_entities("Headline", False).alias("lenient"))
+
+
+@register("cleanup_text", o.with_articles(
+    f"x AS (SELECT UniqueID, {o.s_cleanup('Headline')} AS Headline, {o.s_cleanup('Snippet')} AS Snippet, "
+    f"{o.s_cleanup('Abstract')} AS Abstract FROM articles)") + " SELECT * FROM x")
+def q_cleanup(spark, sf_dir):
+    return articles(spark, sf_dir).select("UniqueID", *[tx.cleanup_text(c).alias(c)
+                                                        for c in ("Headline", "Snippet", "Abstract")])
+
+
+@register("summary_longer_of", o.with_articles(o.cleaned_cte(phrases=[]))
+          + " SELECT UniqueID, Summary FROM cleaned")
+def q_summary(spark, sf_dir):
+    return ft.clean_articles(articles(spark, sf_dir), phrases=[]).select("UniqueID", "Summary")
+
+
+@register("phrase_collapse", o.with_articles(o.cleaned_cte(phrases=[])) +
+          f" SELECT UniqueID, {o.s_mgsub('Text', fx.FIXTURE_PHRASES)} AS Text FROM cleaned")
+def q_phrase(spark, sf_dir):
+    c = ft.clean_articles(articles(spark, sf_dir), phrases=[])
+    return c.select("UniqueID", tx.phrase_collapse("Text", fx.FIXTURE_PHRASES).alias("Text"))
+
+
+@register("text_concat", o.with_articles(o.cleaned_cte()) + " SELECT UniqueID, Text FROM cleaned")
+def q_text_concat(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("UniqueID", "Text")
+
+
+@register("char_counts", o.with_articles(o.cleaned_cte()) +
+          " SELECT UniqueID, CAST(length(Headline) AS INTEGER) AS HeadlineCharCount,"
+          " CAST(length(Summary) AS INTEGER) AS SummaryCharCount FROM cleaned")
+def q_char_counts(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return c.select("UniqueID", tx.char_count("Headline").alias("HeadlineCharCount"),
+                    tx.char_count("Summary").alias("SummaryCharCount"))
+
+
+@register("word_counts", f"SELECT doc_id, {o.s_word_count('text')} AS word_count FROM documents")
+def q_word_counts(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", tx.word_count("text").alias("word_count"))
+
+
+@register("log_wordcount", o.with_articles(
+    f"x AS (SELECT UniqueID, WordCount, {s_r6('ln(1 + CAST(WordCount AS DOUBLE))', 'LogWC')} FROM articles)")
+    + " SELECT * FROM x")
+def q_logwc(spark, sf_dir):
+    a = articles(spark, sf_dir)
+    return a.select("UniqueID", "WordCount", F.round(tx.log1p_count("WordCount"), 6).alias("LogWC"))
+
+
+@register("calendar_parts", o.with_articles(
+    "x AS (SELECT UniqueID, strftime(CAST(PubDate AS DATE), '%Y-%m-%d') AS PubDay,"
+    " CAST(dayofweek(PubDate) AS INTEGER) AS Weekday, CAST(hour(PubDate) AS INTEGER) AS Hour,"
+    " dayname(PubDate) AS DayOfWeek, CAST((dayofweek(PubDate) + 6) % 7 AS INTEGER) AS DayOfWeekOrder,"
+    " CAST(dayofyear(PubDate) - 1 AS INTEGER) AS YearDay FROM articles)") + " SELECT * FROM x")
+def q_calendar(spark, sf_dir):
+    from newsfeat.functions import calendar as cal
+    a = ft.add_day_of_week(ft.add_calendar(articles(spark, sf_dir)))
+    return a.select("UniqueID", day_str("PubDay"), "Weekday", "Hour", "DayOfWeek", "DayOfWeekOrder",
+                    cal.year_day0(F.col("PubDate")).alias("YearDay"))
+
+
+@register("holiday_flags", o.with_articles(
+    f"x AS (SELECT UniqueID, {o.s_holiday('PubDate')} AS Holiday, {o.s_before_holiday('PubDate')} AS BeforeHoliday"
+    " FROM articles)") + " SELECT * FROM x")
+def q_holiday(spark, sf_dir):
+    from newsfeat.functions import calendar as cal
+    a = articles(spark, sf_dir)
+    return a.select("UniqueID", cal.holiday_flag(F.col("PubDate")).alias("Holiday"),
+                    cal.before_holiday_flag(F.col("PubDate")).alias("BeforeHoliday"))
+
+
+# ------------------------------------------------------------ 2.2 rules
+CAT = "UniqueID, NewsDesk, SectionName, SubsectionName"
+
+
+@register("fill_desk_from_section", o.with_articles(o.cleaned_cte(), o.rules_ctes(upto="r1"))
+          + f" SELECT {CAT} FROM r1")
+def q_fill_desk(spark, sf_dir):
+    return rules.fill_desk_from_section(cleaned(spark, sf_dir)).select(*CAT.split(", "))
+
+
+@register("masked_update", o.with_articles(o.cleaned_cte(), o.rules_ctes(upto="r3"))
+          + f" SELECT {CAT} FROM r3")
+def q_masked(spark, sf_dir):
+    df = rules.fill_desk_from_section(cleaned(spark, sf_dir))
+    df = rules.apply_category_rule(df, fixed.PUZZLES_RULE)
+    df = rules.apply_category_rule(df, fixed.STYLE_RULE)
+    return df.select(*CAT.split(", "))
+
+
+@register("fill_section_from_desk", o.with_articles(o.cleaned_cte(), o.rules_ctes(upto="r4"))
+          + f" SELECT {CAT} FROM r4")
+def q_fill_section(spark, sf_dir):
+    df = rules.fill_desk_from_section(cleaned(spark, sf_dir))
+    df = rules.apply_category_rule(df, fixed.PUZZLES_RULE)
+    df = rules.apply_category_rule(df, fixed.STYLE_RULE)
+    return rules.fill_section_from_desk(df).select(*CAT.split(", "))
+
+
+@register("regex_rule_fill", o.with_articles(o.cleaned_cte(), o.rules_ctes(upto="r7", **RULE_KW))
+          + f" SELECT {CAT} FROM r7")
+def q_regex_rule(spark, sf_dir):
+    df = rules.fill_desk_from_section(cleaned(spark, sf_dir))
+    df = rules.apply_category_rule(df, fixed.PUZZLES_RULE)
+    df = rules.apply_category_rule(df, fixed.STYLE_RULE)
+    df = rules.fill_section_from_desk(df)
+    return rules.politics_rules(df, headline_prefixes=fx.FIXTURE_POLITICS_PREFIXES).select(*CAT.split(", "))
+
+
+@register("fill_missing", o.with_articles(o.cleaned_cte(), o.rules_ctes(**RULE_KW))
+          + f" SELECT {CAT} FROM filled")
+def q_fill_missing(spark, sf_dir):
+    return filled(spark, sf_dir).select(*CAT.split(", "))
+
+
+@register("label_display", o.with_articles(
+    "x AS (SELECT UniqueID, coalesce(CAST(Popular AS VARCHAR), 'N/A') AS Pop FROM articles)") + " SELECT * FROM x")
+def q_label_display(spark, sf_dir):
+    return articles(spark, sf_dir).select("UniqueID", ft.label_display().alias("Pop"))
+
+
+# ------------------------------------------------------------ flags
+FIXTURE_FLAG_SPECS = fx.fixture_flag_specs()
+
+
+@register("headline_flags", o.with_articles(o.cleaned_cte(), o.rules_ctes(**RULE_KW),
+                                            o.features_cte(flags=FIXTURE_FLAG_SPECS))
+          + " SELECT UniqueID, SEO, " + ", ".join(f.name for f in FIXTURE_FLAG_SPECS)
+          + ", Holiday, BeforeHoliday FROM feat")
+def q_headline_flags(spark, sf_dir):
+    df = ft.add_flags(filled(spark, sf_dir), FIXTURE_FLAG_SPECS)
+    return df.select("UniqueID", *ft.flag_columns(FIXTURE_FLAG_SPECS))
+
+
+@register("reference_flags", o.with_articles(o.cleaned_cte(), o.rules_ctes(**RULE_KW), o.features_cte())
+          + " SELECT UniqueID, " + ", ".join(ft.flag_columns()) + " FROM feat")
+def q_reference_flags(spark, sf_dir):
+    df = ft.add_flags(filled(spark, sf_dir))
+    return df.select("UniqueID", *ft.flag_columns())
+
+
+# ------------------------------------------------------------ 2.3 / 2.4 counts
+@register("daily_counts", FEATURE_SQL_PREFIX + f" SELECT UniqueID, {s_day_str()}, NumDailyArticles FROM featc")
+def q_daily(spark, sf_dir):
+    df = tm.with_count(features(spark, sf_dir, counts=False), ["PubDay"], "NumDailyArticles")
+    return df.select("UniqueID", day_str(), "NumDailyArticles")
+
+
+@register("daily_section_counts", FEATURE_SQL_PREFIX
+          + f" SELECT UniqueID, {s_day_str()}, SectionName, NumDailySectionArticles FROM featc")
+def q_daily_section(spark, sf_dir):
+    df = tm.with_count(features(spark, sf_dir, counts=False), ["PubDay", "SectionName"], "NumDailySectionArticles")
+    return df.select("UniqueID", day_str(), "SectionName", "NumDailySectionArticles")
+
+
+@register("hourly_counts", FEATURE_SQL_PREFIX
+          + f" SELECT UniqueID, {s_day_str()}, Hour, NumHourlyArticles FROM featc")
+def q_hourly(spark, sf_dir):
+    df = tm.with_count(features(spark, sf_dir, counts=False), ["PubDay", "Hour"], "NumHourlyArticles")
+    return df.select("UniqueID", day_str(), "Hour", "NumHourlyArticles")
+
+
+@register("temporal_counts", FEATURE_SQL_PREFIX
+          + f" SELECT UniqueID, {s_day_str()}, SectionName, Hour, NumDailyArticles, NumDailySectionArticles,"
+            " NumHourlyArticles FROM featc")
+def q_temporal(spark, sf_dir):
+    return features(spark, sf_dir).select("UniqueID", day_str(), "SectionName", "Hour", "NumDailyArticles",
+                                          "NumDailySectionArticles", "NumHourlyArticles")
+
+
+def _dense_sql(row: str, col: str) -> str:
+    return FEATURE_SQL_PREFIX + f""",
+rl AS (SELECT DISTINCT {row} FROM feat WHERE {row} IS NOT NULL AND {col} IS NOT NULL),
+cl AS (SELECT DISTINCT {col} FROM feat WHERE {row} IS NOT NULL AND {col} IS NOT NULL),
+cnt AS (SELECT {row}, {col}, count(*) AS n FROM feat WHERE {row} IS NOT NULL AND {col} IS NOT NULL GROUP BY ALL)
+SELECT strftime(rl.{row}, '%Y-%m-%d') AS {row}, cl.{col}, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM rl CROSS JOIN cl LEFT JOIN cnt ON rl.{row} = cnt.{row} AND cl.{col} = cnt.{col}"""
+
+
+@register("day_section_dense", _dense_sql("PubDay", "SectionName"))
+def q_day_section_dense(spark, sf_dir):
+    d = tm.dense_counts(features(spark, sf_dir, counts=False), "PubDay", "SectionName")
+    return d.select(day_str(), "SectionName", "n")
+
+
+@register("day_hour_dense", _dense_sql("PubDay", "Hour"))
+def q_day_hour_dense(spark, sf_dir):
+    d = tm.dense_counts(features(spark, sf_dir, counts=False), "PubDay", "Hour")
+    return d.select(day_str(), "Hour", "n")
+
+
+@register("hour_popularity", FEATURE_SQL_PREFIX + """
+SELECT Hour, count(*) FILTER (WHERE Popular = 0) AS Unpopular, count(*) FILTER (WHERE Popular = 1) AS Popular,
+       round(CAST(count(*) FILTER (WHERE Popular = 1) AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE Popular = 0) + count(*) FILTER (WHERE Popular = 1), 0), 6) AS PopularDensity
+FROM feat WHERE Hour IS NOT NULL GROUP BY Hour""")
+def q_hour_popularity(spark, sf_dir):
+    h = tm.hour_popularity(features(spark, sf_dir, counts=False))
+    return h.select("Hour", "Unpopular", "Popular", r6("PopularDensity"))
+
+
+MODEL_FRAME_DOUBLES = {"LogWC"}
+
+
+def _model_frame_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in fixed.MODEL_DROP_COLUMNS]
+
+
+@register("model_frame", None)
+def q_model_frame(spark, sf_dir):
+    df = ft.model_frame(features(spark, sf_dir))
+    return df.select(*[r6(c) if c in MODEL_FRAME_DOUBLES else c for c in df.columns])
+
+
+def _model_frame_sql() -> str:
+    # Column list taken from the Spark plan's schema contract (same names, same order).
+    cols = (["UniqueID", "NewsDesk", "SectionName", "SubsectionName", "Popular", "Weekday", "Hour"]
+            + ["LogWC", "HeadlineCharCount", "SummaryCharCount", "HeadlineWordCount", "SummaryWordCount", "Pop"]
+            + ft.flag_columns() + ["DayOfWeek", "DayOfWeekOrder",
+                                   "NumDailyArticles", "NumDailySectionArticles", "NumHourlyArticles"])
+    sel = ", ".join(s_r6(c, c) if c in MODEL_FRAME_DOUBLES else c for c in cols)
+    return FEATURE_SQL_PREFIX + f" SELECT {sel} FROM featc"
+
+
+REGISTRY["model_frame"].sql = _model_frame_sql()
+
+
+# ------------------------------------------------------------ events (J1, C10)
+@register("events_daily_counts", """
+WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events),
+d AS (SELECT day, count(*) AS NumDailyEvents FROM e WHERE day IS NOT NULL GROUP BY day)
+SELECT e.event_id, strftime(e.day, '%Y-%m-%d') AS day, d.NumDailyEvents FROM e LEFT JOIN d ON e.day = d.day""")
+def q_events_daily(spark, sf_dir):
+    e = tables.events(spark, sf_dir, ["event_id", "ts"]).select("event_id", F.to_date("ts").alias("day"))
+    return tm.with_count(e, ["day"], "NumDailyEvents").select("event_id", day_str("day"), "NumDailyEvents")
+
+
+@register("label_series", """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n
+FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL""")
+def q_label_series(spark, sf_dir):
+    e = tables.events(spark, sf_dir, ["ts", "event_type"]).select(F.to_date("ts").alias("day"), "event_type")
+    return tm.count_by(e, ["day", "event_type"], "n").select(day_str("day"), "event_type", "n")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v.run for k, v in REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v.sql for k, v in REGISTRY.items() if v.sql}
