@@ -395,6 +395,150 @@ def q_label_series(spark, sf_dir):
     return tm.count_by(e, ["day", "event_type"], "n").select(day_str("day"), "event_type", "n")
 
 
+# ------------------------------------------------------------ 2.9 text mining
+from newsfeat.operators import textmining as tmx  # noqa: E402
+
+STOP = fx.FIXTURE_STOPWORDS
+
+
+def doc_corpus(spark, sf_dir, n_min=1, n_max=1):
+    return tmx.corpus(tables.documents(spark, sf_dir), "doc_id", "text", STOP, n_min, n_max)
+
+
+def article_corpus(spark, sf_dir, field, n_min=1, n_max=1):
+    return tmx.corpus(cleaned(spark, sf_dir), "UniqueID", field, STOP, n_min, n_max)
+
+
+DOCS_SRC = "SELECT doc_id, text FROM documents"
+
+
+def _doc_corpus_sql(n_min=1, n_max=1, prefix=""):
+    return o.corpus_ctes(DOCS_SRC, "doc_id", "text", STOP, n_min, n_max, prefix)
+
+
+def _article_corpus_sql(field, n_min=1, n_max=1, prefix=""):
+    return o.corpus_ctes("SELECT * FROM cleaned", "UniqueID", field, STOP, n_min, n_max, prefix)
+
+
+@register("tokens_clean", f"WITH {o.corpus_ctes(DOCS_SRC, 'doc_id', 'text', STOP).strip()} "
+          "SELECT doc_id, array_to_string(tokens, ' ') AS clean_text FROM toks")
+def q_tokens_clean(spark, sf_dir):
+    d = tables.documents(spark, sf_dir)
+    return d.select("doc_id", F.array_join(tmx.clean_tokens(F.col("text"), STOP), " ").alias("clean_text"))
+
+
+@register("doc_term_counts", f"WITH {_doc_corpus_sql().strip()} SELECT doc_id, term, tf FROM tc")
+def q_doc_term_counts(spark, sf_dir):
+    return tmx.term_counts(doc_corpus(spark, sf_dir)).select("doc_id", "term", "tf")
+
+
+@register("ngrams_1_3", f"WITH {_doc_corpus_sql(1, 3).strip()} SELECT doc_id, term, tf FROM tc")
+def q_ngrams(spark, sf_dir):
+    return tmx.term_counts(doc_corpus(spark, sf_dir, 1, 3)).select("doc_id", "term", "tf")
+
+
+@register("remove_sparse_terms", f"WITH {_doc_corpus_sql().strip()} SELECT term, df FROM dfreq, ndocs "
+          f"WHERE {o.s_keep_dense('df', 'n', fixed.SPARSITY_TEXT)}")
+def q_remove_sparse(spark, sf_dir):
+    corp = doc_corpus(spark, sf_dir)
+    n = tmx.n_docs(corp)
+    return tmx.keep_dense_terms(tmx.document_frequency(tmx.term_counts(corp)), n, fixed.SPARSITY_TEXT)
+
+
+def _tfidf_sql(select: str) -> str:
+    return o.with_articles(o.cleaned_cte(), _article_corpus_sql("Text", fixed.NGRAM_MIN, fixed.NGRAM_MAX)) + f""",
+kept AS (SELECT term, df FROM dfreq, ndocs WHERE {o.s_keep_dense('df', 'n', fixed.SPARSITY_TEXT)}),
+w AS (SELECT tc.doc_id, tc.term, tc.tf, kept.df,
+             CAST(tc.tf AS DOUBLE) / tc.doc_total * log2(CAST((SELECT n FROM ndocs) AS DOUBLE) / kept.df) AS weight
+      FROM tc JOIN kept ON tc.term = kept.term)
+{select}"""
+
+
+def article_tfidf(spark, sf_dir):
+    corp = article_corpus(spark, sf_dir, "Text", fixed.NGRAM_MIN, fixed.NGRAM_MAX)
+    n = tmx.n_docs(corp)
+    return tmx.tfidf(tmx.term_counts(corp), n, fixed.SPARSITY_TEXT)
+
+
+@register("tfidf", _tfidf_sql("SELECT doc_id, term, tf, df, round(weight, 6) AS weight FROM w"))
+def q_tfidf(spark, sf_dir):
+    return article_tfidf(spark, sf_dir).select("doc_id", "term", "tf", "df", r6("weight"))
+
+
+@register("tfidf_frequent_terms", _tfidf_sql(
+    f"SELECT term, round(sum(weight), 6) AS freq FROM w GROUP BY term HAVING sum(weight) >= {fixed.FREQ_TERMS_TEXT_MIN_WEIGHT}"))
+def q_tfidf_frequent(spark, sf_dir):
+    w = article_tfidf(spark, sf_dir)
+    return tmx.frequent_terms(w, fixed.FREQ_TERMS_TEXT_MIN_WEIGHT, "weight").select("term", r6("freq"))
+
+
+def _headline_freq_sql(select: str) -> str:
+    return o.with_articles(o.cleaned_cte(), _article_corpus_sql("Headline")) + f""",
+fr AS (SELECT term, CAST(sum(tf) AS BIGINT) AS freq FROM tc GROUP BY term HAVING sum(tf) >= {fixed.FREQ_TERMS_HEADLINE_MIN})
+{select}"""
+
+
+def headline_frequent(spark, sf_dir):
+    tc = tmx.term_counts(article_corpus(spark, sf_dir, "Headline"))
+    return tmx.frequent_terms(tc, fixed.FREQ_TERMS_HEADLINE_MIN)
+
+
+@register("frequent_terms", _headline_freq_sql("SELECT term, freq FROM fr"))
+def q_frequent_terms(spark, sf_dir):
+    return headline_frequent(spark, sf_dir)
+
+
+@register("ordered_bars", _headline_freq_sql(
+    "SELECT term, freq, row_number() OVER (ORDER BY freq, term) AS bar_order FROM fr"))
+def q_ordered_bars(spark, sf_dir):
+    return tmx.ordered_bars(headline_frequent(spark, sf_dir)).select("term", "freq", F.col("bar_order").cast("long"))
+
+
+def _lang_totals_sql() -> str:
+    return f"""WITH lt AS (
+  SELECT lang, term, count(*) AS freq FROM (
+    SELECT lang, unnest({o.s_long_terms(o.s_clean_tokens('text', STOP))}) AS term FROM documents)
+  GROUP BY lang, term),
+rk AS (SELECT lang, term, freq, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, term) AS rank FROM lt)"""
+
+
+def lang_term_totals(spark, sf_dir):
+    d = tables.documents(spark, sf_dir, ["doc_id", "text", "lang"])
+    terms = tmx.long_terms(tmx.clean_tokens(F.col("text"), STOP))
+    return (d.select("lang", F.explode(terms).alias("term"))
+             .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("freq")))
+
+
+@register("top_terms_per_group", _lang_totals_sql() +
+          f" SELECT lang, term, freq, rank FROM rk WHERE rank <= {fixed.TOP_TERMS_PER_CLUSTER}")
+def q_top_terms_per_group(spark, sf_dir):
+    top = tmx.top_terms_per_group(lang_term_totals(spark, sf_dir), "lang", fixed.TOP_TERMS_PER_CLUSTER)
+    return top.select("lang", "term", "freq", F.col("rank").cast("long"))
+
+
+@register("top_terms_concat", _lang_totals_sql() +
+          f" SELECT lang, string_agg(term, ', ' ORDER BY rank) AS terms FROM rk WHERE rank <= {fixed.TOP_TERMS_PER_TOPIC}"
+          " GROUP BY lang")
+def q_top_terms_concat(spark, sf_dir):
+    top = tmx.top_terms_per_group(lang_term_totals(spark, sf_dir), "lang", fixed.TOP_TERMS_PER_TOPIC)
+    return tmx.concat_ranked(top, "lang")
+
+
+@register("bow_features", o.with_articles(
+    o.cleaned_cte(), _article_corpus_sql("Headline", prefix="h_"), _article_corpus_sql("Summary", prefix="s_")) + f"""
+SELECT doc_id, {o.s_sanitize_names('H', 'h_tc.term')} AS feature, h_tc.tf AS value
+FROM h_tc JOIN h_dfreq USING (term), h_ndocs WHERE {o.s_keep_dense('h_dfreq.df', 'h_ndocs.n', fixed.SPARSITY_HEADLINE)}
+UNION ALL
+SELECT doc_id, {o.s_sanitize_names('S', 's_tc.term')} AS feature, s_tc.tf AS value
+FROM s_tc JOIN s_dfreq USING (term), s_ndocs WHERE {o.s_keep_dense('s_dfreq.df', 's_ndocs.n', fixed.SPARSITY_SUMMARY)}""")
+def q_bow(spark, sf_dir):
+    h = article_corpus(spark, sf_dir, "Headline")
+    s = article_corpus(spark, sf_dir, "Summary")
+    nh, ns = tmx.n_docs(h), tmx.n_docs(s)
+    return tmx.bag_of_words(tmx.remove_sparse_terms(tmx.term_counts(h), nh, fixed.SPARSITY_HEADLINE),
+                            tmx.remove_sparse_terms(tmx.term_counts(s), ns, fixed.SPARSITY_SUMMARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.run for k, v in REGISTRY.items()}
 

@@ -210,3 +210,57 @@ def feature_chain(flags=None, phrases=fixed.PHRASES, counts: bool = True, **rule
     if counts:
         parts.append(counts_ctes())
     return with_articles(*parts)
+
+
+# -------------------------------------------------------------- text mining
+def s_list(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def s_clean_tokens(x: str, stopwords=None) -> str:
+    lowered = f"regexp_replace(lower({x}), {q(tx.PUNCT_PATTERN)}, '', 'g')"
+    toks = f"string_split_regex({lowered}, {q(tx.WHITESPACE + '+')})"
+    if stopwords:
+        return f"list_filter({toks}, lambda t: t <> '' AND NOT list_contains({s_list(stopwords)}, t))"
+    return f"list_filter({toks}, lambda t: t <> '')"
+
+
+def s_ngrams(toks: str, n_min: int = 1, n_max: int = 1) -> str:
+    parts = []
+    for n in range(n_min, n_max + 1):
+        if n == 1:
+            parts.append(toks)
+        else:
+            parts.append(f"list_transform(range(1, len({toks}) - {n} + 2), "
+                         f"lambda i: array_to_string({toks}[i:i + {n - 1}], ' '))")
+    out = parts[0]
+    for p in parts[1:]:
+        out = f"list_concat({out}, {p})"
+    return out
+
+
+def s_long_terms(terms: str, min_chars: int = 3) -> str:
+    return f"list_filter({terms}, lambda t: length(t) >= {min_chars})"
+
+
+def corpus_ctes(src_sql: str, id_col: str, text_col: str, stopwords=None, n_min: int = 1, n_max: int = 1,
+                prefix: str = "") -> str:
+    """CTEs ``{prefix}toks``, ``{prefix}corp`` (doc_id, terms), ``{prefix}tc``
+    (doc_id, term, tf, doc_total), ``{prefix}ndocs`` (n)."""
+    p = prefix
+    return f"""
+{p}toks AS (SELECT {id_col} AS doc_id, {s_clean_tokens(text_col, stopwords)} AS tokens FROM ({src_sql}) src),
+{p}corp AS (SELECT doc_id, {s_long_terms(s_ngrams('tokens', n_min, n_max))} AS terms FROM {p}toks),
+{p}tc AS (SELECT doc_id, term, count(*) AS tf, max(doc_total) AS doc_total
+         FROM (SELECT doc_id, len(terms) AS doc_total, unnest(terms) AS term FROM {p}corp) GROUP BY doc_id, term),
+{p}ndocs AS (SELECT count(*) AS n FROM {p}corp),
+{p}dfreq AS (SELECT term, count(*) AS df FROM {p}tc GROUP BY term)"""
+
+
+def s_keep_dense(df_expr: str, n_expr: str, sparse: float) -> str:
+    keep = repr(1.0 - sparse)
+    return f"CAST({df_expr} AS DOUBLE) > CAST({n_expr} AS DOUBLE) * CAST({keep} AS DOUBLE)"
+
+
+def s_sanitize_names(prefix: str, term: str) -> str:
+    return f"regexp_replace({q(prefix)} || {term}, {q(r'[^\p{L}\p{N}._]')}, '.', 'g')"
