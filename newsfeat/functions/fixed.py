@@ -218,18 +218,21 @@ BOW_EXTRA_COLUMNS = [
     "SEO", "Question", "Holiday", "BeforeHoliday", "NumDailyArticles",
     "NumDailySectionArticles", "NumHourlyArticles",
 ]
-# Blend weights (name -> {model: weight}); the last one as written uses the
-# LDA forest twice although its name mentions the k-means forest.
+# Blends: name -> (model, weight) pairs; the blend is the weighted sum divided
+# by the sum of the weights.  The last name says k-means forest x3 + LDA forest
+# x2; as written, the script uses the LDA forest for both terms.
 BLENDS = {
-    "ensSelBoWLog": {"rfCustomSel": 1, "rfBoW": 1, "log": 1},
-    "ensKMCBoWLog": {"rfCustomSelKMC": 1, "rfBoW": 1, "log": 1},
-    "ensLDABoWLog": {"rfCustomSelLDA": 1, "rfBoW": 1, "log": 1},
-    "ens2Sel3BoW1Log": {"rfCustomSel": 2, "rfBoW": 3, "log": 1},
-    "ens2KMC3BoW1Log": {"rfCustomSelKMC": 2, "rfBoW": 3, "log": 1},
-    "ens2LDA3BoW1Log": {"rfCustomSelLDA": 2, "rfBoW": 3, "log": 1},
-    "ens3KMC2LDA4BoW1Log": {"rfCustomSelKMC": 3, "rfCustomSelLDA": 2, "rfBoW": 4, "log": 1},
+    "ensSelBoWLog": [("rfCustomSel", 1), ("rfBoW", 1), ("log", 1)],
+    "ensKMCBoWLog": [("rfCustomSelKMC", 1), ("rfBoW", 1), ("log", 1)],
+    "ensLDABoWLog": [("rfCustomSelLDA", 1), ("rfBoW", 1), ("log", 1)],
+    "ens2Sel3BoW1Log": [("rfCustomSel", 2), ("rfBoW", 3), ("log", 1)],
+    "ens2KMC3BoW1Log": [("rfCustomSelKMC", 2), ("rfBoW", 3), ("log", 1)],
+    "ens2LDA3BoW1Log": [("rfCustomSelLDA", 2), ("rfBoW", 3), ("log", 1)],
+    "ens3KMC2LDA4BoW1Log": [("rfCustomSelKMC", 3), ("rfCustomSelLDA", 2), ("rfBoW", 4), ("log", 1)],
 }
 BLEND_AS_WRITTEN = {
-    "ens3KMC2LDA4BoW1Log": {"rfCustomSelLDA": 5, "rfBoW": 4, "log": 1},
+    "ens3KMC2LDA4BoW1Log_as_written": [("rfCustomSelLDA", 3), ("rfCustomSelLDA", 2), ("rfBoW", 4), ("log", 1)],
 }
+# Submission file naming.
+SUBMISSION_PREFIX = "Submission_"
 # ------------------------------------------------------------ end fixed values

@@ -539,6 +539,170 @@ def q_bow(spark, sf_dir):
                             tmx.remove_sparse_terms(tmx.term_counts(s), ns, fixed.SPARSITY_SUMMARY))
 
 
+# ------------------------------------------------------------ 2.12 evaluation
+from newsfeat.operators import blend as bl  # noqa: E402
+from newsfeat.operators import charts  # noqa: E402
+from newsfeat.operators import evaluate as ev  # noqa: E402
+
+SCORED_SQL = """WITH scored AS (
+  SELECT d.doc_id, l.quality AS truth,
+         CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2000.0) AS score
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def scored_docs(spark, sf_dir):
+    """Labelled documents with a deterministic length score in [0, 1)."""
+    d = tables.documents(spark, sf_dir, ["doc_id", "n_chars"], spread_rows=False)
+    lab = tables.labels(spark, sf_dir, ["doc_id", "quality"])
+    return d.join(lab, "doc_id").select(
+        "doc_id", F.col("quality").alias("truth"),
+        (F.col("n_chars") / (F.col("n_chars") + F.lit(2000.0))).alias("score"))
+
+
+@register("accuracy", SCORED_SQL + f"""
+SELECT round(avg(CASE WHEN truth = CAST(score > {fixed.PROBABILITY_THRESHOLD} AS INTEGER) THEN 1.0 ELSE 0.0 END), 6)
+       AS accuracy, count(*) AS n
+FROM scored WHERE truth IS NOT NULL AND score IS NOT NULL""")
+def q_accuracy(spark, sf_dir):
+    return ev.accuracy(scored_docs(spark, sf_dir)).select(r6("accuracy"), "n")
+
+
+@register("confusion", SCORED_SQL + f"""
+SELECT CAST(truth AS INTEGER) AS truth, CAST(score > {fixed.PROBABILITY_THRESHOLD} AS INTEGER) AS predicted, count(*) AS n
+FROM scored WHERE truth IS NOT NULL AND score IS NOT NULL GROUP BY ALL""")
+def q_confusion(spark, sf_dir):
+    return ev.confusion(scored_docs(spark, sf_dir))
+
+
+AUC_SQL_TAIL = """,
+g AS (SELECT score, count(*) FILTER (WHERE truth = 1) AS pos, count(*) FILTER (WHERE truth = 0) AS neg
+      FROM scored WHERE truth IS NOT NULL AND score IS NOT NULL GROUP BY score),
+c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             AS neg_below FROM g)
+SELECT round(sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS auc,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c"""
+
+
+@register("auc", SCORED_SQL + AUC_SQL_TAIL)
+def q_auc(spark, sf_dir):
+    return ev.auc(scored_docs(spark, sf_dir)).select(r6("auc"), "n_pos", "n_neg")
+
+
+# Deterministic stand-ins for the six models' probabilities, derived from the
+# article features (the blend arithmetic is what is checked here).
+STANDIN_SCORES = {
+    "rfCustomSel": ("HeadlineCharCount", 50.0),
+    "rfCustomSelKMC": ("SummaryCharCount", 150.0),
+    "rfCustomSelLDA": ("LogWC", 5.0),
+    "rfBoW": ("HeadlineWordCount", 8.0),
+    "log": ("NumDailyArticles", 8.0),
+}
+
+
+def standin_predictions(spark, sf_dir) -> DataFrame:
+    test = features(spark, sf_dir).where(F.col("Popular").isNull())
+    wide = test.select("UniqueID", *[(F.col(c).cast("double") / (F.col(c).cast("double") + F.lit(k))).alias(m)
+                                     for m, (c, k) in STANDIN_SCORES.items()])
+    return bl.unpivot_predictions(wide, {m: m for m in STANDIN_SCORES})
+
+
+def _standin_sql() -> str:
+    sel = " UNION ALL ".join(
+        f"SELECT {o.q(m)} AS model, UniqueID, CAST({c} AS DOUBLE) / (CAST({c} AS DOUBLE) + {k!r}) AS p "
+        f"FROM featc WHERE Popular IS NULL" for m, (c, k) in STANDIN_SCORES.items())
+    return FEATURE_SQL_PREFIX + f",\npreds AS ({sel})"
+
+
+def _blend_sql(blends: dict) -> str:
+    rows = []
+    for name, ws in blends.items():
+        merged = bl._merge_weights(ws)
+        tot = sum(merged.values())
+        for m, w in merged.items():
+            rows.append(f"({o.q(name)}, {o.q(m)}, {w!r}, {tot!r}, {len(merged)})")
+    return f"""wt(blend, model, w, tot, k) AS (VALUES {', '.join(rows)}),
+agg AS (SELECT wt.blend, p.UniqueID, count(DISTINCT p.model) AS m, sum(wt.w * p.p) AS s, max(wt.tot) AS tot,
+               max(wt.k) AS k
+        FROM preds p JOIN wt ON p.model = wt.model GROUP BY wt.blend, p.UniqueID)"""
+
+
+ALL_BLENDS = {**fixed.BLENDS, **fixed.BLEND_AS_WRITTEN}
+
+
+@register("blend", _standin_sql() + ",\n" + _blend_sql(ALL_BLENDS) +
+          " SELECT blend, UniqueID, round(CASE WHEN m = k THEN s / tot END, 6) AS Probability1 FROM agg")
+def q_blend(spark, sf_dir):
+    out = bl.all_blends(standin_predictions(spark, sf_dir), ALL_BLENDS)
+    return out.select("blend", "UniqueID", r6("Probability1"))
+
+
+SUBMITTED_BLEND = "ens2Sel3BoW1Log"
+
+
+@register("submission", _standin_sql() + ",\n" + _blend_sql({SUBMITTED_BLEND: fixed.BLENDS[SUBMITTED_BLEND]}) +
+          " SELECT UniqueID, round(CASE WHEN m = k THEN s / tot END, 6) AS Probability1 FROM agg")
+def q_submission(spark, sf_dir):
+    pred = bl.blend(standin_predictions(spark, sf_dir), fixed.BLENDS[SUBMITTED_BLEND])
+    path = shared_path(spark, fixed.SUBMISSION_PREFIX + SUBMITTED_BLEND)
+    csvio.write_submission(pred, path)
+    return csvio.read_submission(spark, path).select("UniqueID", r6("Probability1"))
+
+
+# ------------------------------------------------------------ 2.13 chart data
+def _kde_sql(x: str, group: str, facet: str | None, where: str, n_grid: int = charts.N_GRID) -> str:
+    keys = ([facet] if facet else []) + [group]
+    k = ", ".join(keys)
+    kb = ", ".join(f"b.{c}" for c in keys)
+    on = " AND ".join(f"b.{c} = s.{c}" for c in keys)
+    sqrt2pi = repr(__import__("math").sqrt(2 * __import__("math").pi))
+    return FEATURE_SQL_PREFIX + f""",
+src AS (SELECT {k}, CAST({x} AS DOUBLE) AS x FROM featc WHERE {x} IS NOT NULL AND {where}),
+prm AS (SELECT min(x) AS lo, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / {n_grid - 1} ELSE 1.0 END AS delta FROM src),
+st0 AS (SELECT {k}, count(*) AS n, coalesce(stddev_samp(x), 0.0) AS sd, quantile_cont(x, 0.25) AS q1,
+               quantile_cont(x, 0.75) AS q3, min(abs(x)) AS absx FROM src GROUP BY ALL),
+st AS (SELECT {k}, n, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+                                  WHEN sd > 0 THEN sd WHEN absx > 0 THEN absx ELSE 1.0 END)
+                      * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st0),
+pos AS (SELECT {k}, (x - lo) / delta AS p FROM src, prm),
+b2 AS (SELECT {k}, CAST(floor(p) AS INTEGER) AS bin, 1.0 - (p - floor(p)) AS w FROM pos
+       UNION ALL SELECT {k}, CAST(floor(p) AS INTEGER) + 1 AS bin, p - floor(p) AS w FROM pos),
+bins AS (SELECT {k}, bin, sum(w) AS w FROM b2 WHERE bin >= 0 AND bin < {n_grid} AND w > 0 GROUP BY ALL),
+dens AS (SELECT {kb}, g.i, sum(b.w * exp(-0.5 * ((g.i - b.bin) * prm.delta / s.bw) * ((g.i - b.bin) * prm.delta / s.bw)))
+                / (max(s.n) * max(s.bw) * {sqrt2pi}) AS density, max(prm.lo) + g.i * max(prm.delta) AS x
+         FROM bins b JOIN st s ON {on}, prm, (SELECT range AS i FROM range(0, {n_grid})) g GROUP BY {kb}, g.i)
+SELECT {k}, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(density, 6) AS density,
+       round(density / nullif(max(density) OVER (PARTITION BY {k}), 0), 6) AS scaled FROM dens"""
+
+
+def _kde(spark, sf_dir, x, group, facet, labelled_only):
+    df = features(spark, sf_dir)
+    if labelled_only:
+        df = df.where(F.col("Popular").isNotNull())
+    d = charts.scaled_density(df, x, group, facet)
+    keys = ([facet] if facet else []) + [group]
+    return d.select(*keys, "i", r6("x"), r6("density"), r6("scaled"))
+
+
+@register("kde_by_group", _kde_sql("LogWC", "Popular", None, "Popular IS NOT NULL"))
+def q_kde(spark, sf_dir):
+    return _kde(spark, sf_dir, "LogWC", "Popular", None, True)
+
+
+@register("kde_by_group_facet", _kde_sql("LogWC", "Popular", "DayOfWeek", "Popular IS NOT NULL"))
+def q_kde_facet(spark, sf_dir):
+    return _kde(spark, sf_dir, "LogWC", "Popular", "DayOfWeek", True)
+
+
+@register("kde_daily_articles", _kde_sql("NumDailyArticles", "Pop", None, "TRUE"))
+def q_kde_daily(spark, sf_dir):
+    return _kde(spark, sf_dir, "NumDailyArticles", "Pop", None, False)
+
+
+@register("tfidf_term_totals", _tfidf_sql("SELECT term, round(sum(weight), 6) AS freq FROM w GROUP BY term"))
+def q_tfidf_totals(spark, sf_dir):
+    return tmx.term_totals(article_tfidf(spark, sf_dir), "weight").select("term", r6("freq"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.run for k, v in REGISTRY.items()}
 
