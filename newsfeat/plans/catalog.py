@@ -703,6 +703,208 @@ def q_tfidf_totals(spark, sf_dir):
     return tmx.term_totals(article_tfidf(spark, sf_dir), "weight").select("term", r6("freq"))
 
 
+# ------------------------------------------------------------ 2.10 topics
+from newsfeat.operators import models as md  # noqa: E402
+from newsfeat.operators import topics as tp  # noqa: E402
+
+SEED = 1
+
+
+def kmeans_result(spark, sf_dir):
+    w = article_tfidf(spark, sf_dir).select("doc_id", "term", F.col("weight").alias("w"))
+    docs = articles(spark, sf_dir).select(F.col("UniqueID").alias("doc_id"))
+    return tp.kmeans(w, fixed.N_CLUSTERS, 10, SEED, docs)
+
+
+@register("kmeans_topics")
+def q_kmeans(spark, sf_dir):
+    assign, _ = kmeans_result(spark, sf_dir)
+    return assign.select(F.col("doc_id").alias("UniqueID"), F.col("cluster").alias("TopicCluster"))
+
+
+@register("cluster_top_terms")
+def q_cluster_top_terms(spark, sf_dir):
+    _, centers = kmeans_result(spark, sf_dir)
+    top = tp.center_top_terms(centers, fixed.TOP_TERMS_PER_CLUSTER)
+    return tmx.concat_ranked(top, "cluster")
+
+
+def lda_result(spark, sf_dir):
+    corp = article_corpus(spark, sf_dir, "Text")
+    return tp.lda_topics(corp, fixed.N_TOPICS, seed=SEED, n_terms=fixed.TOP_TERMS_PER_TOPIC)
+
+
+@register("lda_topics")
+def q_lda(spark, sf_dir):
+    doc_topics, _ = lda_result(spark, sf_dir)
+    return doc_topics.select(F.col("doc_id").alias("UniqueID"), F.col("topic").alias("Topic"), "prob")
+
+
+@register("lda_topic_terms")
+def q_lda_terms(spark, sf_dir):
+    return lda_result(spark, sf_dir)[1]
+
+
+def topic_series(spark, sf_dir):
+    doc_topics, terms = lda_result(spark, sf_dir)
+    days = articles(spark, sf_dir).select(F.col("UniqueID").alias("doc_id"), F.to_date("PubDate").alias("date"))
+    # k topic rows: broadcast size is bounded by the topic count.
+    return days.join(doc_topics, "doc_id").join(F.broadcast(terms), "topic", "left")
+
+
+@register("topic_series")
+def q_topic_series(spark, sf_dir):
+    return topic_series(spark, sf_dir).select(F.col("doc_id").alias("UniqueID"), day_str("date"), "topic", "terms")
+
+
+@register("topic_density")
+def q_topic_density(spark, sf_dir):
+    ts = topic_series(spark, sf_dir).where(F.col("topic").isNotNull()).withColumn(
+        "day_num", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    d = charts.scaled_density(ts, "day_num", "terms")
+    counts = ts.groupBy("terms").agg(F.count(F.lit(1)).alias("n"))
+    return d.join(counts, "terms").select("terms", "i", F.date_add(F.lit("1970-01-01").cast("date"),
+                                                                   F.floor("x").cast("int")).alias("date"),
+                                          (F.col("density") * F.col("n")).alias("count"))
+
+
+@register("nearest_centroid", """
+WITH v AS (SELECT vec_id AS id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+                  generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+c AS (SELECT label AS center, dim, avg(x) AS c FROM v WHERE label IS NOT NULL GROUP BY label, dim),
+d AS (SELECT v.id, c.center, sum((v.x - c.c) * (v.x - c.c)) AS d2 FROM v JOIN c ON v.dim = c.dim GROUP BY v.id, c.center),
+b AS (SELECT id, arg_min(center, (d2, center)) AS center, min(d2) AS d2 FROM d GROUP BY id)
+SELECT id AS vec_id, CAST(center AS INTEGER) AS center, round(sqrt(d2), 6) AS dist FROM b""")
+def q_nearest_centroid(spark, sf_dir):
+    e = tables.embeddings(spark, sf_dir)
+    long = tp.dense_long(e, "vec_id", "embedding")
+    cents = tp.group_centroids(long, e.select(F.col("vec_id").alias("id"), "label").where(F.col("label").isNotNull()),
+                               "label")
+    nc = tp.nearest_centroid(long, cents)
+    return nc.select(F.col("id").alias("vec_id"), F.col("center").cast("int").alias("center"), r6("dist"))
+
+
+# ------------------------------------------------------------ 2.11 models
+def model_table(spark, sf_dir, with_kmeans=False, with_lda=False):
+    df = ft.model_frame(features(spark, sf_dir))
+    if with_kmeans:
+        assign, _ = kmeans_result(spark, sf_dir)
+        df = df.join(assign.select(F.col("doc_id").alias("UniqueID"), F.col("cluster").alias("TopicCluster")),
+                     "UniqueID", "left")
+    if with_lda:
+        doc_topics, _ = lda_result(spark, sf_dir)
+        df = df.join(doc_topics.select(F.col("doc_id").alias("UniqueID"), F.col("topic").alias("Topic")),
+                     "UniqueID", "left")
+    return df
+
+
+NOT_FEATURES = ["DayOfWeekOrder"]
+FULL_EXCLUDE = fixed.RF_FULL_EXCLUDE + NOT_FEATURES
+SELECTED_EXCLUDE = FULL_EXCLUDE + fixed.RF_SELECTED_EXTRA_EXCLUDE
+
+
+def _forest_scores(df, exclude):
+    cols = md.feature_columns(df, [c for c in exclude if c in df.columns])
+    fitted = md.fit(md.random_forest_pipeline(df, cols, seed=SEED), df, cols)
+    return md.score(fitted, df.where(F.col("Popular").isNull())).select("UniqueID", "p")
+
+
+@register("rf_full")
+def q_rf_full(spark, sf_dir):
+    return _forest_scores(model_table(spark, sf_dir), FULL_EXCLUDE)
+
+
+@register("rf_selected")
+def q_rf_selected(spark, sf_dir):
+    return _forest_scores(model_table(spark, sf_dir), SELECTED_EXCLUDE)
+
+
+@register("rf_kmeans")
+def q_rf_kmeans(spark, sf_dir):
+    ex = [c for c in SELECTED_EXCLUDE if c != "TopicCluster"]
+    return _forest_scores(model_table(spark, sf_dir, with_kmeans=True), ex)
+
+
+@register("rf_lda")
+def q_rf_lda(spark, sf_dir):
+    ex = [c for c in SELECTED_EXCLUDE if c != "Topic"]
+    return _forest_scores(model_table(spark, sf_dir, with_lda=True), ex)
+
+
+@register("logistic")
+def q_logistic(spark, sf_dir):
+    df = model_table(spark, sf_dir)
+    cols = fixed.LOGISTIC_PREDICTORS
+    fitted = md.fit(md.logistic_pipeline(df, cols), df, cols)
+    return md.score(fitted, df.where(F.col("Popular").isNull())).select("UniqueID", "p")
+
+
+def bow_table(spark, sf_dir):
+    """Bag-of-words model table: sparse headline / summary term vectors plus the
+    metadata columns (term vectors via CountVectorizer with the sparsity cut as
+    its minimum document frequency)."""
+    from pyspark.ml.feature import CountVectorizer
+    h = article_corpus(spark, sf_dir, "Headline").withColumnRenamed("terms", "hterms")
+    s = article_corpus(spark, sf_dir, "Summary").withColumnRenamed("terms", "sterms")
+    n = tmx.n_docs(h)
+    meta = model_table(spark, sf_dir).select("UniqueID", *fixed.BOW_EXTRA_COLUMNS)
+    j = (meta.join(h.withColumnRenamed("doc_id", "UniqueID"), "UniqueID")
+             .join(s.withColumnRenamed("doc_id", "UniqueID"), "UniqueID"))
+    min_h = int(tmx.sparse_threshold(n, fixed.SPARSITY_HEADLINE)) + 1
+    min_s = int(tmx.sparse_threshold(n, fixed.SPARSITY_SUMMARY)) + 1
+    j = CountVectorizer(inputCol="hterms", outputCol="H", minDF=float(min_h)).fit(j).transform(j)
+    j = CountVectorizer(inputCol="sterms", outputCol="S", minDF=float(min_s)).fit(j).transform(j)
+    return j.drop("hterms", "sterms")
+
+
+@register("rf_bow")
+def q_rf_bow(spark, sf_dir):
+    df = bow_table(spark, sf_dir)
+    cols = ["H", "S"] + [c for c in fixed.BOW_EXTRA_COLUMNS if c != "Popular"]
+    fitted = md.fit(md.random_forest_pipeline(df, cols, seed=SEED), df, cols)
+    return md.score(fitted, df.where(F.col("Popular").isNull())).select("UniqueID", "p")
+
+
+@register("rf_oob_eval")
+def q_rf_eval(spark, sf_dir):
+    """Cross-fitted accuracy and AUC of the full-feature forest (OOB stand-in)."""
+    df = model_table(spark, sf_dir)
+    cols = md.feature_columns(df, FULL_EXCLUDE)
+    oof = md.crossfit_predictions(lambda d, c: md.random_forest_pipeline(d, c, seed=SEED), df, cols, 5, SEED)
+    oof = oof.select("truth", F.col("p").alias("score")).cache()
+    a = ev.accuracy(oof).select("accuracy")
+    u = ev.auc(oof).select("auc").first()["auc"]
+    return a.select("accuracy", F.lit(u).alias("auc"))
+
+
+@register("permutation_importance")
+def q_perm_importance(spark, sf_dir):
+    df = model_table(spark, sf_dir).cache()
+    cols = md.feature_columns(df, FULL_EXCLUDE)
+    fitted = md.fit(md.random_forest_pipeline(df, cols, seed=SEED), df, cols)
+    return md.importance_signed(md.permutation_importance(fitted, df, SEED))
+
+
+FLAG_NAMES = [f.name for f in FIXTURE_FLAG_SPECS]
+
+
+@register("unpivot_flags", o.with_articles(o.cleaned_cte(), o.rules_ctes(**RULE_KW),
+                                           o.features_cte(flags=FIXTURE_FLAG_SPECS))
+          + f" SELECT UniqueID, flag, CAST(value AS INTEGER) AS value FROM (SELECT UniqueID, "
+          + ", ".join(FLAG_NAMES) + " FROM feat) UNPIVOT (value FOR flag IN (" + ", ".join(FLAG_NAMES) + "))")
+def q_unpivot_flags(spark, sf_dir):
+    df = ft.add_flags(filled(spark, sf_dir), FIXTURE_FLAG_SPECS).select("UniqueID", *FLAG_NAMES)
+    return df.unpivot("UniqueID", FLAG_NAMES, "flag", "value")
+
+
+@register("stratified_partition", o.with_articles(
+    "r AS (SELECT UniqueID, Popular, row_number() OVER (PARTITION BY Popular ORDER BY UniqueID) AS rn,"
+    " count(*) OVER (PARTITION BY Popular) AS n FROM articles WHERE Popular IS NOT NULL)")
+    + " SELECT UniqueID, Popular, CAST(rn <= ceil(n * 0.5) AS INTEGER) AS in_first FROM r")
+def q_stratified(spark, sf_dir):
+    return md.stratified_partition(articles(spark, sf_dir), 0.5, seed=None)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.run for k, v in REGISTRY.items()}
 
