@@ -405,8 +405,10 @@ def doc_corpus(spark, sf_dir, n_min=1, n_max=1):
     return tmx.corpus(tables.documents(spark, sf_dir), "doc_id", "text", STOP, n_min, n_max)
 
 
-def article_corpus(spark, sf_dir, field, n_min=1, n_max=1):
-    return tmx.corpus(cleaned(spark, sf_dir), "UniqueID", field, STOP, n_min, n_max)
+def article_corpus(spark, sf_dir, field, n_min=1, n_max=1, stemmed=False):
+    from newsfeat.functions.stem import stemmer
+    return tmx.corpus(cleaned(spark, sf_dir), "UniqueID", field, STOP, n_min, n_max,
+                      stemmer if stemmed else None)
 
 
 DOCS_SRC = "SELECT doc_id, text FROM documents"
@@ -454,8 +456,8 @@ w AS (SELECT tc.doc_id, tc.term, tc.tf, kept.df,
 {select}"""
 
 
-def article_tfidf(spark, sf_dir):
-    corp = article_corpus(spark, sf_dir, "Text", fixed.NGRAM_MIN, fixed.NGRAM_MAX)
+def article_tfidf(spark, sf_dir, stemmed=False):
+    corp = article_corpus(spark, sf_dir, "Text", fixed.NGRAM_MIN, fixed.NGRAM_MAX, stemmed)
     n = tmx.n_docs(corp)
     return tmx.tfidf(tmx.term_counts(corp), n, fixed.SPARSITY_TEXT)
 
@@ -711,7 +713,7 @@ SEED = 1
 
 
 def kmeans_result(spark, sf_dir):
-    w = article_tfidf(spark, sf_dir).select("doc_id", "term", F.col("weight").alias("w"))
+    w = article_tfidf(spark, sf_dir, stemmed=True).select("doc_id", "term", F.col("weight").alias("w"))
     docs = articles(spark, sf_dir).select(F.col("UniqueID").alias("doc_id"))
     return tp.kmeans(w, fixed.N_CLUSTERS, 10, SEED, docs)
 
@@ -730,7 +732,7 @@ def q_cluster_top_terms(spark, sf_dir):
 
 
 def lda_result(spark, sf_dir):
-    corp = article_corpus(spark, sf_dir, "Text")
+    corp = article_corpus(spark, sf_dir, "Text", stemmed=True)
     return tp.lda_topics(corp, fixed.N_TOPICS, seed=SEED, n_terms=fixed.TOP_TERMS_PER_TOPIC)
 
 
@@ -844,8 +846,8 @@ def bow_table(spark, sf_dir):
     metadata columns (term vectors via CountVectorizer with the sparsity cut as
     its minimum document frequency)."""
     from pyspark.ml.feature import CountVectorizer
-    h = article_corpus(spark, sf_dir, "Headline").withColumnRenamed("terms", "hterms")
-    s = article_corpus(spark, sf_dir, "Summary").withColumnRenamed("terms", "sterms")
+    h = article_corpus(spark, sf_dir, "Headline", stemmed=True).withColumnRenamed("terms", "hterms")
+    s = article_corpus(spark, sf_dir, "Summary", stemmed=True).withColumnRenamed("terms", "sterms")
     n = tmx.n_docs(h)
     meta = model_table(spark, sf_dir).select("UniqueID", *fixed.BOW_EXTRA_COLUMNS)
     j = (meta.join(h.withColumnRenamed("doc_id", "UniqueID"), "UniqueID")
@@ -905,6 +907,14 @@ def q_stratified(spark, sf_dir):
     return md.stratified_partition(articles(spark, sf_dir), 0.5, seed=None)
 
 
+@register("stem_vocabulary")
+def q_stem_vocabulary(spark, sf_dir):
+    """Vocabulary job: every distinct cleaned token of the documents and its stem."""
+    from newsfeat.functions.stem import stem_vocabulary
+    d = tables.documents(spark, sf_dir)
+    return stem_vocabulary(tmx.clean_tokens(F.col("text"), STOP), d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.run for k, v in REGISTRY.items()}
 
