@@ -60,7 +60,7 @@ def assign_clusters(points: DataFrame, centers: DataFrame, k: int, docs: DataFra
     if docs is not None:
         best = docs.select("doc_id").distinct().join(best, "doc_id", "left")
     absent = F.filter(by_norm, lambda e: ~F.coalesce(F.array_contains(F.col("present"), e["cluster"]), F.lit(False)))
-    first_absent = F.element_at(absent, 1)
+    first_absent = F.try_element_at(absent, F.lit(1))
     use_absent = F.col("bp").isNull() | (first_absent.isNotNull() & (first_absent["n2"] < F.col("bp")["s"]))
     return best.select(
         "doc_id",
