@@ -86,3 +86,31 @@ def flag_columns(flags: list[FlagSpec] | None = None) -> list[str]:
 def model_frame(df: DataFrame, drop=fixed.MODEL_DROP_COLUMNS) -> DataFrame:
     """The modelling table: text and raw date columns dropped."""
     return df.drop(*drop)
+
+
+def term_popularity(df: DataFrame, patterns: dict[str, tuple[str, bool]], label: str = "Popular",
+                    fields: tuple[str, str] = ("Headline", "Text")) -> DataFrame:
+    """Frequency and popularity of each pattern, labelled and unlabelled rows.
+
+    ``patterns``: name -> (regex, ignore_case).  One projection computes a hit
+    flag per pattern and field, an unpivot turns it into ``(pattern, ...)`` rows
+    and one grouped aggregate (partial, then a tiny shuffle) gives, per
+    pattern: mean label and count of labelled rows hitting the headline, the
+    same for the text, and the unlabelled hit counts.  The mean of no rows is
+    null (NaN in the script)."""
+    from newsfeat.functions.patterns import matches
+    head, text = fields
+    names = list(patterns)
+    structs = [F.struct(matches(head, p, ic).alias("h"), matches(text, p, ic).alias("t")).alias(n)
+               for n, (p, ic) in patterns.items()]
+    wide = df.select(F.col(label).cast("double").alias("__y"), *structs)
+    long = wide.unpivot("__y", names, "pattern", "hit").select("pattern", "__y", "hit.h", "hit.t")
+    lab = F.col("__y").isNotNull()
+    return long.groupBy("pattern").agg(
+        F.avg(F.when(lab & F.col("h"), F.col("__y"))).alias("avgPopHeadTrain"),
+        F.count_if(lab & F.col("h")).alias("numArtHeadTrain"),
+        F.avg(F.when(lab & F.col("t"), F.col("__y"))).alias("avgPopTextTrain"),
+        F.count_if(lab & F.col("t")).alias("numArtTextTrain"),
+        F.count_if(~lab & F.col("h")).alias("numArtHeadTest"),
+        F.count_if(~lab & F.col("t")).alias("numArtTextTest"),
+    )

@@ -915,6 +915,31 @@ def q_stem_vocabulary(spark, sf_dir):
     return stem_vocabulary(tmx.clean_tokens(F.col("text"), STOP), d)
 
 
+TERM_PATTERNS = {f.name: (f.pattern(), f.ignore_case) for f in FIXTURE_FLAG_SPECS}
+
+
+def _term_popularity_sql() -> str:
+    parts = []
+    for name, (pat, ic) in TERM_PATTERNS.items():
+        h, t = o.s_matches("Headline", pat, ic), o.s_matches("Text", pat, ic)
+        parts.append(f"""SELECT {o.q(name)} AS pattern,
+  round(avg(CASE WHEN Popular IS NOT NULL AND {h} THEN CAST(Popular AS DOUBLE) END), 6) AS avgPopHeadTrain,
+  count(*) FILTER (WHERE Popular IS NOT NULL AND {h}) AS numArtHeadTrain,
+  round(avg(CASE WHEN Popular IS NOT NULL AND {t} THEN CAST(Popular AS DOUBLE) END), 6) AS avgPopTextTrain,
+  count(*) FILTER (WHERE Popular IS NOT NULL AND {t}) AS numArtTextTrain,
+  count(*) FILTER (WHERE Popular IS NULL AND {h}) AS numArtHeadTest,
+  count(*) FILTER (WHERE Popular IS NULL AND {t}) AS numArtTextTest
+FROM filled""")
+    return o.with_articles(o.cleaned_cte(), o.rules_ctes(**RULE_KW)) + " " + " UNION ALL ".join(parts)
+
+
+@register("term_popularity", _term_popularity_sql())
+def q_term_popularity(spark, sf_dir):
+    tp_ = ft.term_popularity(filled(spark, sf_dir), TERM_PATTERNS)
+    return tp_.select("pattern", r6("avgPopHeadTrain"), "numArtHeadTrain", r6("avgPopTextTrain"),
+                      "numArtTextTrain", "numArtHeadTest", "numArtTextTest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.run for k, v in REGISTRY.items()}
 
