@@ -176,5 +176,6 @@ def stemmer(df: DataFrame, col: str) -> DataFrame:
 
 def stem_vocabulary(tokens: Column, df: DataFrame) -> DataFrame:
     """Distinct tokens and their stems ``(token, stem)``."""
-    vocab = df.select(F.explode(tokens).alias("token")).distinct()
+    # explode_outer: no inferred size filter re-running the tokenizer below.
+    vocab = df.select(F.explode_outer(tokens).alias("token")).where(F.col("token").isNotNull()).distinct()
     return vocab.select("token", stem_token("token").alias("stem"))

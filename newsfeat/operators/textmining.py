@@ -75,9 +75,17 @@ def corpus(df: DataFrame, id_col: str, text_col: str, stopwords=None, n_min: int
     return out.select("doc_id", long_terms(ngrams(F.col("tokens"), n_min, n_max)).alias("terms"))
 
 
+def explode_terms(arr) -> Column:
+    """``explode_outer`` + a null filter instead of ``explode``: for ``explode``
+    the optimizer infers ``size(arr) > 0`` and pushes it below the projection
+    that builds ``arr``, evaluating the whole tokenizer a second time."""
+    return F.explode_outer(arr)
+
+
 def term_counts(corp: DataFrame) -> DataFrame:
     """Document-term matrix in long form: ``(doc_id, term, tf, doc_total)``."""
-    return (corp.select("doc_id", F.size("terms").alias("doc_total"), F.explode("terms").alias("term"))
+    return (corp.select("doc_id", F.size("terms").alias("doc_total"), explode_terms("terms").alias("term"))
+                .where(F.col("term").isNotNull())
                 .groupBy("doc_id", "term")
                 .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_total").alias("doc_total")))
 

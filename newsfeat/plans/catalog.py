@@ -507,7 +507,7 @@ rk AS (SELECT lang, term, freq, row_number() OVER (PARTITION BY lang ORDER BY fr
 def lang_term_totals(spark, sf_dir):
     d = tables.documents(spark, sf_dir, ["doc_id", "text", "lang"])
     terms = tmx.long_terms(tmx.clean_tokens(F.col("text"), STOP))
-    return (d.select("lang", F.explode(terms).alias("term"))
+    return (d.select("lang", tmx.explode_terms(terms).alias("term")).where(F.col("term").isNotNull())
              .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("freq")))
 
 
