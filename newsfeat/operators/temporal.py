@@ -40,9 +40,23 @@ def temporal_count_table(df: DataFrame) -> DataFrame:
     )
 
 
-def with_temporal_counts(df: DataFrame) -> DataFrame:
-    """Add ``NumDailyArticles``, ``NumDailySectionArticles``, ``NumHourlyArticles``."""
-    return df.join(temporal_count_table(df), [DAY, SECTION, HOUR], "left")
+# Largest count table broadcast to every task (rows); above it the join stays
+# a sort-merge join (with AQE's skew split).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def with_temporal_counts(df: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Add ``NumDailyArticles``, ``NumDailySectionArticles``, ``NumHourlyArticles``.
+
+    The small count table is materialised once (reliable checkpoint to the
+    shared checkpoint folder, so the article plan is not re-run for the join
+    and a lost executor does not lose it), its row count is checked, and it is
+    broadcast only below ``max_broadcast_rows``."""
+    from newsfeat.session import cut_lineage
+    counts = cut_lineage(temporal_count_table(df))
+    if counts.count() <= max_broadcast_rows:
+        counts = F.broadcast(counts)
+    return df.join(counts, [DAY, SECTION, HOUR], "left")
 
 
 def with_count(df: DataFrame, keys: list[str], name: str) -> DataFrame:

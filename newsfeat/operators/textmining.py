@@ -105,14 +105,26 @@ def keep_dense_terms(dfreq: DataFrame, n_docs: int, sparse: float) -> DataFrame:
     return dfreq.where(F.col("df").cast("double") > F.lit(sparse_threshold(n_docs, sparse)))
 
 
-def remove_sparse_terms(tc: DataFrame, n_docs: int, sparse: float) -> DataFrame:
+def remove_sparse_terms(tc: DataFrame, n_docs: int, sparse: float, materialize: bool = True) -> DataFrame:
+    """Term-count rows of the terms that survive the sparsity cut (``tc`` is
+    checkpointed once: it feeds both the frequencies and the join)."""
+    if materialize:
+        from newsfeat.session import cut_lineage
+        tc = cut_lineage(tc)
     kept = keep_dense_terms(document_frequency(tc), n_docs, sparse)
     return tc.join(kept, "term", "inner")
 
 
-def tfidf(tc: DataFrame, n_docs: int, sparse: float | None = None) -> DataFrame:
+def tfidf(tc: DataFrame, n_docs: int, sparse: float | None = None, materialize: bool = True) -> DataFrame:
     """``tf / document total * log2(N / df)``; optional sparsity cut applied
-    after weighting (weights do not depend on the cut)."""
+    after weighting (weights do not depend on the cut).
+
+    The term-count table feeds both the document frequencies and the weights;
+    it is checkpointed once (``materialize``) so tokenising and n-gram
+    generation run a single time."""
+    if materialize:
+        from newsfeat.session import cut_lineage
+        tc = cut_lineage(tc)
     dfreq = document_frequency(tc)
     if sparse is not None:
         dfreq = keep_dense_terms(dfreq, n_docs, sparse)
