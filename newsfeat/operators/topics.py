@@ -45,10 +45,11 @@ def _center_norms(centers: DataFrame, k: int) -> list[tuple[float, int]]:
     return sorted((norms.get(c, 0.0), c) for c in range(k))
 
 
-def assign_clusters(points: DataFrame, centers: DataFrame, k: int, docs: DataFrame | None = None) -> DataFrame:
+def assign_clusters(points: DataFrame, centers: DataFrame, k: int, docs: DataFrame | None = None,
+                    norms: list[tuple[float, int]] | None = None) -> DataFrame:
     """``(doc_id, cluster, dist2_part)`` - nearest centre of every document
     (``dist2_part`` = squared distance minus the document's own norm)."""
-    norms = _center_norms(centers, k)
+    norms = norms if norms is not None else _center_norms(centers, k)
     by_norm = F.array(*[F.struct(F.lit(n).alias("n2"), F.lit(c).alias("cluster")) for n, c in norms])
     norm_map = F.create_map(*[x for n, c in norms for x in (F.lit(c), F.lit(n))])
     dots = (points.join(centers, "term")
@@ -82,20 +83,30 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1,
            docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Lloyd k-means on ``(doc_id, term, w)``; returns ``(assignments, centers)``.
 
-    ``docs`` (optional ``doc_id`` table) adds documents with no terms; they
-    go to the centre closest to the origin."""
-    points = cut_lineage(points.select("doc_id", "term", F.col("w").cast("double").alias("w")))
+    ``points`` is hash-partitioned by ``doc_id`` once and checkpointed with that
+    partitioning, so the per-iteration ``groupBy(doc_id, ...)`` and the join
+    with the assignments never reshuffle it; only the small per-cluster
+    aggregates move.  ``docs`` (optional ``doc_id`` table) adds documents with
+    no terms; they go to the centre closest to the origin."""
+    points = cut_lineage(points.select("doc_id", "term", F.col("w").cast("double").alias("w"))
+                         .repartition("doc_id"))
     centers = cut_lineage(_init_centers(points, k, seed))
+    norms = _center_norms(centers, k)
     for _ in range(max_iter):
-        assign = assign_clusters(points, centers, k)
+        assign = assign_clusters(points, centers, k, norms=norms)
         new = cut_lineage(_update_centers(points, assign, centers))
-        shift = (new.join(centers.withColumnRenamed("c", "old"), ["cluster", "term"], "full")
-                    .agg(F.sum((F.coalesce("c", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))) ** 2).alias("d"))
-                    .first()["d"])
+        # One small job: new norms and the centre shift together.
+        rows = (new.join(centers.withColumnRenamed("c", "old"), ["cluster", "term"], "full")
+                   .groupBy("cluster")
+                   .agg(F.sum(F.coalesce("c", F.lit(0.0)) ** 2).alias("n2"),
+                        F.sum((F.coalesce("c", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))) ** 2).alias("d"))
+                   .collect())
+        found = {r["cluster"]: float(r["n2"]) for r in rows}
+        norms = sorted((found.get(c, 0.0), c) for c in range(k))
         centers = new
-        if not shift:
+        if not sum(float(r["d"]) for r in rows):
             break
-    return assign_clusters(points, centers, k, docs), centers
+    return assign_clusters(points, centers, k, docs, norms=norms), centers
 
 
 def center_top_terms(centers: DataFrame, n: int) -> DataFrame:

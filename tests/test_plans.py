@@ -34,3 +34,18 @@ def test_temporal_counts_single_join(spark):
     plan = plan_of(catalog.REGISTRY["temporal_counts"].run(spark, SF_SMALL))
     # one fine-grain aggregate joined back once (plus the labels join of the fixture)
     assert plan.count("Join") <= 4
+
+
+def test_count_join_is_size_checked_broadcast(spark):
+    from newsfeat.operators import temporal as tm
+    from newsfeat.plans.catalog import features
+    df = features(spark, SF_SMALL)
+    plan = plan_of(df)
+    assert "BroadcastHashJoin" in plan
+    # Above the bound the same join stays a shuffle join.
+    big = tm.with_temporal_counts(features(spark, SF_SMALL, counts=False), max_broadcast_rows=0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" in plan_of(big)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
