@@ -788,6 +788,10 @@ def q_nearest_centroid(spark, sf_dir):
 
 # ------------------------------------------------------------ 2.11 models
 def model_table(spark, sf_dir, with_kmeans=False, with_lda=False):
+    """The modelling table, written once to the shared checkpoint folder: the
+    fit (every tree level) and the scoring of unlabelled rows both read it, so
+    the regex-heavy feature plan runs a single time."""
+    from newsfeat.session import cut_lineage
     df = ft.model_frame(features(spark, sf_dir))
     if with_kmeans:
         assign, _ = kmeans_result(spark, sf_dir)
@@ -797,7 +801,7 @@ def model_table(spark, sf_dir, with_kmeans=False, with_lda=False):
         doc_topics, _ = lda_result(spark, sf_dir)
         df = df.join(doc_topics.select(F.col("doc_id").alias("UniqueID"), F.col("topic").alias("Topic")),
                      "UniqueID", "left")
-    return df
+    return cut_lineage(df)
 
 
 NOT_FEATURES = ["DayOfWeekOrder"]
@@ -850,13 +854,15 @@ def bow_table(spark, sf_dir):
     s = article_corpus(spark, sf_dir, "Summary", stemmed=True).withColumnRenamed("terms", "sterms")
     n = tmx.n_docs(h)
     meta = model_table(spark, sf_dir).select("UniqueID", *fixed.BOW_EXTRA_COLUMNS)
-    j = (meta.join(h.withColumnRenamed("doc_id", "UniqueID"), "UniqueID")
-             .join(s.withColumnRenamed("doc_id", "UniqueID"), "UniqueID"))
+    from newsfeat.session import cut_lineage
+    j = cut_lineage(meta.join(h.withColumnRenamed("doc_id", "UniqueID"), "UniqueID")
+                        .join(s.withColumnRenamed("doc_id", "UniqueID"), "UniqueID"))
     min_h = int(tmx.sparse_threshold(n, fixed.SPARSITY_HEADLINE)) + 1
     min_s = int(tmx.sparse_threshold(n, fixed.SPARSITY_SUMMARY)) + 1
     j = CountVectorizer(inputCol="hterms", outputCol="H", minDF=float(min_h)).fit(j).transform(j)
     j = CountVectorizer(inputCol="sterms", outputCol="S", minDF=float(min_s)).fit(j).transform(j)
-    return j.drop("hterms", "sterms")
+    from newsfeat.session import cut_lineage
+    return cut_lineage(j.drop("hterms", "sterms"))
 
 
 @register("rf_bow")
