@@ -144,20 +144,51 @@ def frequent_terms(tc: DataFrame, low: float, value: str = "tf") -> DataFrame:
     return term_totals(tc, value).where(F.col("freq") >= low)
 
 
+def global_rank(df: DataFrame, order: list[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in the total order ``order`` (ascending,
+    make it unique for a deterministic rank) without a single-partition window.
+
+    ``repartitionByRange`` cuts the rows into ordered, balanced ranges (its
+    sampled bounds split even a hot value once the order is unique); each range
+    is numbered locally and shifted by the sizes of the ranges before it, read
+    from a table with one row per range."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
+    sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__sz"))
+    offsets = sizes.select("__pid", F.coalesce(F.sum("__sz").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    local = Window.partitionBy("__pid").orderBy(*order)
+    return (ranged.withColumn("__r", F.row_number().over(local))
+                  .join(F.broadcast(offsets), "__pid")
+                  .select(*df.columns, (F.col("__off") + F.col("__r")).cast("long").alias(name)))
+
+
 def ordered_bars(freq: DataFrame, value: str = "freq", label: str = "term") -> DataFrame:
-    """Bar order of a frequency table: ascending value, ties by label.
+    """Bar order of a frequency table: ascending value, ties by label."""
+    return global_rank(freq, [value, label], "bar_order")
+
+
+def top_k_per_group(df: DataFrame, group_col: str, k: int, value: str, label: str = "term",
+                    buckets: int = 64) -> DataFrame:
+    """Top ``k`` rows per group by ``value`` descending, ties by ``label``
+    ascending, with a ``rank`` column.
 
-    The input is an already-filtered frequency table (bounded by
-    ``total / threshold``), the only place a global ordering window is used."""
-    w = Window.orderBy(F.col(value), F.col(label))
-    return freq.withColumn("bar_order", F.row_number().over(w))
+    Two stages, exact: the top ``k`` inside each (group, hash bucket of the
+    label), then the top ``k`` among those at most ``buckets * k`` survivors per
+    group.  No window ever holds a whole group, so a group with a third of all
+    rows is spread over ``buckets`` tasks."""
+    order = [F.desc(value), F.asc(label)]
+    b = F.pmod(F.xxhash64(F.col(label)), F.lit(buckets))
+    stage1 = (df.withColumn("__b", b)
+                .withColumn("__r", F.row_number().over(Window.partitionBy(group_col, "__b").orderBy(*order)))
+                .where(F.col("__r") <= k).drop("__b", "__r"))
+    return (stage1.withColumn("rank", F.row_number().over(Window.partitionBy(group_col).orderBy(*order)))
+                  .where(F.col("rank") <= k))
 
 
 def top_terms_per_group(tc: DataFrame, group_col: str, k: int, value: str = "freq") -> DataFrame:
-    """Top ``k`` terms per group by value (ties: term ascending).  ``tc`` is the
-    per-(group, term) total; the window's partitions are groups."""
-    w = Window.partitionBy(group_col).orderBy(F.desc(value), F.asc("term"))
-    return tc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Top ``k`` terms per group by value (ties: term ascending)."""
+    return top_k_per_group(tc, group_col, k, value, "term")
 
 
 def concat_ranked(top: DataFrame, group_col: str, sep: str = ", ") -> DataFrame:

@@ -110,9 +110,10 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1,
 
 
 def center_top_terms(centers: DataFrame, n: int) -> DataFrame:
-    """Top ``n`` terms of each centre by weight: ``(cluster, rank, term, c)``."""
-    w = Window.partitionBy("cluster").orderBy(F.desc("c"), F.asc("term"))
-    return centers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """Top ``n`` terms of each centre by weight: ``(cluster, rank, term, c)``
+    (two-stage top-k, see ``textmining.top_k_per_group``)."""
+    from newsfeat.operators.textmining import top_k_per_group
+    return top_k_per_group(centers, "cluster", n, "c", "term")
 
 
 # ------------------------------------------------------------ nearest centre

@@ -45,3 +45,26 @@ def test_stem_udf(spark):
     from newsfeat.functions.stem import stemmer
     df = spark.createDataFrame([(["running", "cats"],)], "tokens array<string>")
     assert stemmer(df, "tokens").first()["tokens"] == ["run", "cat"]
+
+
+def test_two_stage_top_k_equals_single_window(spark):
+    import random
+    from pyspark.sql import Window
+    rnd = random.Random(3)
+    rows = [(g, f"t{i}", rnd.randint(0, 20)) for g in ("a", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, term string, freq long")
+    got = {(r["g"], r["rank"], r["term"]) for r in tmx.top_k_per_group(df, "g", 7, "freq", buckets=5).collect()}
+    w = Window.partitionBy("g").orderBy(F.desc("freq"), F.asc("term"))
+    want = {(r["g"], r["rank"], r["term"]) for r in
+            df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 7).collect()}
+    assert got == want
+
+
+def test_global_rank_matches_sorted_order(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(f"t{i:04d}", rnd.randint(0, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "term string, freq long")
+    got = {r["term"]: r["bar_order"] for r in tmx.ordered_bars(df).collect()}
+    want = {t: i + 1 for i, (t, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])))}
+    assert got == want
