@@ -164,3 +164,65 @@ def lda_topics(corp: DataFrame, k: int, max_iter: int = 20, seed: int = 1, n_ter
                for r in model.describeTopics(n_terms).collect()]
     terms = corp.sparkSession.createDataFrame(summary, "topic int, terms string")
     return doc_topics, terms
+
+
+# ------------------------------------------------------------ term hierarchy
+def column_scaled(points: DataFrame, n_rows: int) -> DataFrame:
+    """Divide every feature column by its standard deviation over all ``n_rows``
+    rows (zeros included).  Distances after standardising columns equal these
+    (centering cancels in differences), so the data stays sparse; a column with
+    zero variance is dropped (it would be NaN after standardising)."""
+    stats = points.groupBy("feature").agg(F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"))
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.lit(float(n_rows))) / F.lit(float(max(n_rows - 1, 1)))
+    scale = stats.select("feature", var.alias("var")).where(F.col("var") > 0) \
+                 .select("feature", (1.0 / F.sqrt("var")).alias("inv_sd"))
+    return points.join(scale, "feature").select("id", "feature", (F.col("w") * F.col("inv_sd")).alias("w"))
+
+
+def bisecting_kmeans(points: DataFrame, levels: int, iters: int = 5, seed: int = 1) -> DataFrame:
+    """Top-down hierarchy: every leaf is split in two by Lloyd iterations on its
+    own rows, ``levels`` times.  ``points`` is ``(id, feature, w)``; returns
+    ``(id, path)`` where ``path`` is the string of 0/1 choices from the root.
+
+    All leaves of a level are split in the same jobs (centres keyed by
+    ``(leaf, child)``); per-leaf seeds come from the two-stage top-k, centre
+    norms are a table of at most ``2^level`` rows (broadcast, bounded)."""
+    from newsfeat.operators.textmining import top_k_per_group
+    pts = cut_lineage(points.select("id", "feature", F.col("w").cast("double").alias("w")).repartition("id"))
+    leaves = cut_lineage(pts.select("id").distinct().withColumn("leaf", F.lit("")))
+    for level in range(levels):
+        # Seed 0: smallest seeded hash in the leaf; seed 1: the row farthest from seed 0.
+        s0 = top_k_per_group(leaves.withColumn("__h", -F.xxhash64("id", F.lit(seed + level)).cast("double")),
+                             "leaf", 1, "__h", "id").select("id", "leaf")
+        c0 = pts.join(s0, "id").select("leaf", "feature", F.col("w").alias("c"))
+        c0n = c0.groupBy("leaf").agg(F.sum(F.col("c") * F.col("c")).alias("cn"))
+        xn = pts.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("xn"))
+        dot0 = (pts.join(leaves, "id").join(c0, ["leaf", "feature"])
+                   .groupBy("id").agg(F.sum(F.col("w") * F.col("c")).alias("dot")))
+        far = (leaves.join(xn, "id").join(dot0, "id", "left").join(c0n, "leaf")
+               .select("id", "leaf", (F.col("xn") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("cn")).alias("dist")))
+        s1 = top_k_per_group(far, "leaf", 1, "dist", "id").where(F.col("dist") > 0).select("id", "leaf")
+        seeds = (s0.withColumn("child", F.lit(0))
+                   .unionByName(s1.withColumn("child", F.lit(1))))
+        centers = cut_lineage(pts.join(seeds, "id").select("leaf", "child", "feature", F.col("w").alias("c")))
+        for _ in range(iters):
+            norms = centers.groupBy("leaf").agg(
+                F.sum(F.when(F.col("child") == 0, F.col("c") * F.col("c")).otherwise(0.0)).alias("n0"),
+                F.sum(F.when(F.col("child") == 1, F.col("c") * F.col("c")).otherwise(0.0)).alias("n1"),
+                F.max("child").alias("kids"))
+            dots = (pts.join(leaves, "id").join(centers, ["leaf", "feature"])
+                       .groupBy("id").agg(
+                           F.sum(F.when(F.col("child") == 0, F.col("w") * F.col("c")).otherwise(0.0)).alias("d0"),
+                           F.sum(F.when(F.col("child") == 1, F.col("w") * F.col("c")).otherwise(0.0)).alias("d1")))
+            assign = (leaves.join(dots, "id", "left").join(F.broadcast(norms), "leaf", "left")
+                      .select("id", "leaf", F.when(
+                          (F.col("kids") == 1) & ((F.col("n1") - 2 * F.coalesce("d1", F.lit(0.0)))
+                                                  < (F.col("n0") - 2 * F.coalesce("d0", F.lit(0.0)))), 1)
+                          .otherwise(0).alias("child")))
+            sizes = assign.groupBy("leaf", "child").agg(F.count(F.lit(1)).alias("size"))
+            centers = cut_lineage(
+                pts.join(assign, "id").groupBy("leaf", "child", "feature").agg(F.sum("w").alias("s"))
+                   .join(sizes, ["leaf", "child"]).select("leaf", "child", "feature",
+                                                          (F.col("s") / F.col("size")).alias("c")))
+        leaves = cut_lineage(assign.select("id", F.concat("leaf", F.col("child").cast("string")).alias("leaf")))
+    return leaves.select("id", F.col("leaf").alias("path"))

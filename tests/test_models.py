@@ -84,3 +84,22 @@ def test_kmeans_beats_chance_on_embeddings(spark):
                .agg(F.sum("m")).first()[0]) / j.count()
     majority = e.groupBy("label").count().agg(F.max("count")).first()[0] / e.count()
     assert purity >= majority
+
+
+def test_bisecting_separates_blocks(spark):
+    rows = [(f"t{i}", f"d{j}", 1.0) for i in range(20) for j in (range(0, 5) if i < 10 else range(5, 10))]
+    pts = spark.createDataFrame(rows, "id string, feature string, w double")
+    tree = {r["id"]: r["path"] for r in tp.bisecting_kmeans(pts, 2, iters=3, seed=1).collect()}
+    assert len(tree) == 20 and all(len(p) == 2 for p in tree.values())
+    first = {i: tree[f"t{i}"][0] for i in range(20)}
+    assert len({first[i] for i in range(10)}) == 1 and len({first[i] for i in range(10, 20)}) == 1
+    assert first[0] != first[15]
+
+
+def test_column_scaling_matches_dense_standardisation(spark):
+    import math
+    rows = [("a", "x", 1.0), ("b", "x", 3.0), ("a", "y", 2.0)]
+    pts = spark.createDataFrame(rows, "id string, feature string, w double")
+    got = {(r["id"], r["feature"]): r["w"] for r in tp.column_scaled(pts, 3).collect()}
+    sd_x = math.sqrt(((1 - 4 / 3) ** 2 + (3 - 4 / 3) ** 2 + (0 - 4 / 3) ** 2) / 2)
+    assert math.isclose(got[("a", "x")], 1.0 / sd_x) and math.isclose(got[("b", "x")], 3.0 / sd_x)
