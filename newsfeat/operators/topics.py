@@ -140,8 +140,12 @@ def nearest_centroid(long_vecs: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- LDA
+# CountVectorizer keeps the top ``vocabSize`` terms; the largest int keeps them all.
+NO_VOCAB_CAP = (1 << 31) - 1
+
+
 def lda_topics(corp: DataFrame, k: int, max_iter: int = 20, seed: int = 1, n_terms: int = 5,
-               vocab_size: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+               vocab_size: int = NO_VOCAB_CAP) -> tuple[DataFrame, DataFrame]:
     """LDA on unigram counts.
 
     Returns ``(doc_topics, topic_terms)``: ``(doc_id, topic, prob)`` with the

@@ -875,8 +875,9 @@ def bow_table(spark, sf_dir):
                         .join(s.withColumnRenamed("doc_id", "UniqueID"), "UniqueID"))
     min_h = int(tmx.sparse_threshold(n, fixed.SPARSITY_HEADLINE)) + 1
     min_s = int(tmx.sparse_threshold(n, fixed.SPARSITY_SUMMARY)) + 1
-    j = CountVectorizer(inputCol="hterms", outputCol="H", minDF=float(min_h)).fit(j).transform(j)
-    j = CountVectorizer(inputCol="sterms", outputCol="S", minDF=float(min_s)).fit(j).transform(j)
+    cap = tp.NO_VOCAB_CAP
+    j = CountVectorizer(inputCol="hterms", outputCol="H", minDF=float(min_h), vocabSize=cap).fit(j).transform(j)
+    j = CountVectorizer(inputCol="sterms", outputCol="S", minDF=float(min_s), vocabSize=cap).fit(j).transform(j)
     from newsfeat.session import cut_lineage
     return cut_lineage(j.drop("hterms", "sterms"))
 
