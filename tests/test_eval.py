@@ -53,3 +53,17 @@ def test_blend_as_written_uses_lda_twice():
 def test_blend_missing_model_gives_null(spark):
     stacked = spark.createDataFrame([("a", 1, 0.2)], "model string, UniqueID long, p double")
     assert bl.blend(stacked, {"a": 1, "b": 1}).first()["Probability1"] is None
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from newsfeat.operators.charts import exact_quantiles
+    rnd = random.Random(11)
+    rows = [(g, float(rnd.randint(0, 30))) for g in ("a", "b") for _ in range(rnd.randint(5, 200))]
+    rows.append(("c", 4.0))
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["q1"], r["q3"]) for r in exact_quantiles(df, ["g"], "x", {"q1": 0.25, "q3": 0.75}, 3).collect()}
+    want = {r["g"]: (r["q1"], r["q3"]) for r in df.groupBy("g").agg(
+        F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3")).collect()}
+    assert got.keys() == want.keys()
+    for g in got:
+        assert math.isclose(got[g][0], want[g][0]) and math.isclose(got[g][1], want[g][1])
