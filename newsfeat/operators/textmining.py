@@ -27,7 +27,7 @@ from newsfeat.functions.text import PUNCT_PATTERN, WHITESPACE
 MIN_TERM_CHARS = 3
 
 
-def clean_tokens(text: Column, stopwords: list[str] | None = None, stem_map: Column | None = None) -> Column:
+def clean_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """Lower case -> punctuation removed -> whitespace tokens -> stop words dropped.
 
     Stop words are matched as whole tokens after punctuation removal, so

@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from newsfeat.functions import fixed
 from newsfeat.functions import text as tx
-from newsfeat.functions.patterns import default_flags
+from newsfeat.operators import blend as bl
+from newsfeat.operators import charts
+from newsfeat.operators import evaluate as ev
+from newsfeat.operators import models as md
+from newsfeat.operators import textmining as tmx
+from newsfeat.operators import topics as tp
 from newsfeat.operators import features as ft
 from newsfeat.operators import rules
 from newsfeat.operators import sets
@@ -396,7 +401,6 @@ def q_label_series(spark, sf_dir):
 
 
 # ------------------------------------------------------------ 2.9 text mining
-from newsfeat.operators import textmining as tmx  # noqa: E402
 
 STOP = fx.FIXTURE_STOPWORDS
 
@@ -542,9 +546,6 @@ def q_bow(spark, sf_dir):
 
 
 # ------------------------------------------------------------ 2.12 evaluation
-from newsfeat.operators import blend as bl  # noqa: E402
-from newsfeat.operators import charts  # noqa: E402
-from newsfeat.operators import evaluate as ev  # noqa: E402
 
 SCORED_SQL = """WITH scored AS (
   SELECT d.doc_id, l.quality AS truth,
@@ -706,8 +707,6 @@ def q_tfidf_totals(spark, sf_dir):
 
 
 # ------------------------------------------------------------ 2.10 topics
-from newsfeat.operators import models as md  # noqa: E402
-from newsfeat.operators import topics as tp  # noqa: E402
 
 SEED = 1
 
