@@ -1,9 +1,11 @@
 """Weighted blends of model probabilities, keyed by article id.
 
-Predictions are stacked in long form ``(model, UniqueID, p)`` and reduced
-with one ``groupBy(UniqueID)`` (partial aggregation, one shuffle) instead of
-joining one table per model.  A row missing any blended model's prediction
-gets a null blend (the script's vector arithmetic would give NA).
+Predictions are stacked in long form ``(model, UniqueID, p)`` - one row per
+model and id - and reduced with one ``groupBy(UniqueID)`` (partial
+aggregation, one shuffle) instead of joining one table per model.  A row
+missing any blended model's prediction gets a null blend (the script's vector
+arithmetic would give NA); the check is a plain row count per id, which the
+one-row-per-model-and-id layout makes exact.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def blend(stacked: DataFrame, weights) -> DataFrame:
     wmap = F.create_map(*[x for m, v in w.items() for x in (F.lit(m), F.lit(v))])
     used = stacked.where(F.col("model").isin(list(w)))
     return (used.groupBy("UniqueID")
-                .agg(F.count_distinct("model").alias("__m"),
+                .agg(F.count(F.lit(1)).alias("__m"),
                      F.sum(F.element_at(wmap, F.col("model")) * F.col("p")).alias("__s"))
                 .select("UniqueID", F.when(F.col("__m") == len(w), F.col("__s") / total).alias("Probability1")))
 
@@ -62,7 +64,7 @@ def all_blends(stacked: DataFrame, blends: dict = BLENDS) -> DataFrame:
     tot_map = F.create_map(*[x for n, (t, _) in totals.items() for x in (F.lit(n), F.lit(t))])
     cnt_map = F.create_map(*[x for n, (_, c) in totals.items() for x in (F.lit(n), F.lit(c))])
     j = stacked.join(F.broadcast(wt), "model")
-    agg = j.groupBy("blend", "UniqueID").agg(F.count_distinct("model").alias("__m"),
+    agg = j.groupBy("blend", "UniqueID").agg(F.count(F.lit(1)).alias("__m"),
                                               F.sum(F.col("w") * F.col("p")).alias("__s"))
     return agg.select("blend", "UniqueID",
                       F.when(F.col("__m") == F.element_at(cnt_map, F.col("blend")),
