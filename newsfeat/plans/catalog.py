@@ -906,7 +906,9 @@ def q_perm_importance(spark, sf_dir):
     df = model_table(spark, sf_dir).cache()
     cols = md.feature_columns(df, FULL_EXCLUDE)
     fitted = md.fit(md.random_forest_pipeline(df, cols, seed=SEED), df, cols)
-    return md.importance_signed(md.permutation_importance(fitted, df, SEED))
+    signed = md.importance_signed(md.permutation_importance(fitted, df, SEED))
+    # Chart order of the importance bars: ascending value, ties by name.
+    return tmx.ordered_bars(signed, "value", "X1")
 
 
 FLAG_NAMES = [f.name for f in FIXTURE_FLAG_SPECS]

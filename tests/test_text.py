@@ -67,3 +67,19 @@ def test_whole_word_mode_respects_accents(spark):
     spec = FlagSpec("X", "s", "word", True, ("the",))
     df = spark.createDataFrame([("the end",), ("théâtre",), ("bathe",), ("(The)",)], "s string")
     assert [r["f"] for r in df.select(flag(spec).alias("f")).collect()] == [1, 0, 0, 1]
+
+
+def test_chart_data_sink_roundtrip(spark, tmp_path):
+    from newsfeat.sources.csv import write_chart_data
+    df = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 1.0)], "g string, i int, scaled double")
+    write_chart_data(df, str(tmp_path / "chart"))
+    back = spark.read.parquet(str(tmp_path / "chart"))
+    assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_submission_sink_roundtrip(spark, tmp_path):
+    from newsfeat.sources.csv import read_submission, write_submission
+    df = spark.createDataFrame([(1, 0.25), (2, 0.75)], "UniqueID long, p double")
+    write_submission(df, str(tmp_path / "sub"), "p")
+    got = {r["UniqueID"]: r["Probability1"] for r in read_submission(spark, str(tmp_path / "sub")).collect()}
+    assert got == {1: 0.25, 2: 0.75}
