@@ -895,7 +895,9 @@ def q_rf_eval(spark, sf_dir):
     df = model_table(spark, sf_dir)
     cols = md.feature_columns(df, FULL_EXCLUDE)
     oof = md.crossfit_predictions(lambda d, c: md.random_forest_pipeline(d, c, seed=SEED), df, cols, 5, SEED)
-    oof = oof.select("truth", F.col("p").alias("score")).cache()
+    from newsfeat.session import cut_lineage
+    # Five forest fits feed two metrics: write the out-of-fold scores once.
+    oof = cut_lineage(oof.select("truth", F.col("p").alias("score")))
     a = ev.accuracy(oof).select("accuracy")
     u = ev.auc(oof).select("auc").first()["auc"]
     return a.select("accuracy", F.lit(u).alias("auc"))
@@ -903,7 +905,7 @@ def q_rf_eval(spark, sf_dir):
 
 @register("permutation_importance")
 def q_perm_importance(spark, sf_dir):
-    df = model_table(spark, sf_dir).cache()
+    df = model_table(spark, sf_dir)
     cols = md.feature_columns(df, FULL_EXCLUDE)
     fitted = md.fit(md.random_forest_pipeline(df, cols, seed=SEED), df, cols)
     signed = md.importance_signed(md.permutation_importance(fitted, df, SEED))
