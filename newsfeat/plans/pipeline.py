@@ -25,3 +25,92 @@ def article_features(articles: DataFrame, flags=None, phrases=fixed.PHRASES,
                      rule_kwargs: dict | None = None, counts: bool = True) -> DataFrame:
     df = ft.add_features(cleaned_and_filled(articles, phrases, rule_kwargs), flags)
     return tm.with_temporal_counts(df) if counts else df
+
+
+def popularity_pipeline(articles: DataFrame, out_dir: str | None = None, *, flags=None,
+                        phrases=fixed.PHRASES, rule_kwargs: dict | None = None, stopwords=None,
+                        num_trees: int = fixed.RF_TREES, seed: int = 1, kmeans_iter: int = 10,
+                        blends: dict = fixed.BLENDS) -> dict[str, DataFrame]:
+    """The whole script as Spark jobs, from the article table to submissions.
+
+    ``articles`` has the source schema (``UniqueID, NewsDesk, SectionName,
+    SubsectionName, Headline, Snippet, Abstract, WordCount, PubDate, Popular``;
+    ``Popular`` null = to be scored).  Returns the intermediate tables and one
+    ``(UniqueID, Probability1)`` table per model and blend; with ``out_dir`` each
+    of those is also written as ``Submission_<name>`` CSV.  Tables with several
+    consumers are written once to the shared checkpoint folder.
+    """
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.sql import functions as F
+
+    from newsfeat.functions.stem import stemmer
+    from newsfeat.operators import blend as bl
+    from newsfeat.operators import models as md
+    from newsfeat.operators import textmining as tmx
+    from newsfeat.operators import topics as tp
+    from newsfeat.session import cut_lineage
+    from newsfeat.sources import csv as csvio
+
+    feats = cut_lineage(article_features(articles, flags, phrases, rule_kwargs))
+    frame = ft.model_frame(feats)
+
+    # Topics from the stemmed text corpus: n-gram TF-IDF k-means and unigram LDA.
+    text_ngrams = tmx.corpus(feats, "UniqueID", "Text", stopwords, fixed.NGRAM_MIN, fixed.NGRAM_MAX, stemmer)
+    n_docs = tmx.n_docs(text_ngrams)
+    w = tmx.tfidf(tmx.term_counts(text_ngrams), n_docs, fixed.SPARSITY_TEXT)
+    docs = feats.select(F.col("UniqueID").alias("doc_id"))
+    assign, _ = tp.kmeans(w.select("doc_id", "term", F.col("weight").alias("w")), fixed.N_CLUSTERS,
+                          kmeans_iter, seed, docs)
+    unigrams = tmx.corpus(feats, "UniqueID", "Text", stopwords, 1, 1, stemmer)
+    doc_topics, topic_terms = tp.lda_topics(unigrams, fixed.N_TOPICS, seed=seed, n_terms=fixed.TOP_TERMS_PER_TOPIC)
+    frame = cut_lineage(
+        frame.join(assign.select(F.col("doc_id").alias("UniqueID"), F.col("cluster").alias("TopicCluster")),
+                   "UniqueID", "left")
+             .join(doc_topics.select(F.col("doc_id").alias("UniqueID"), F.col("topic").alias("Topic")),
+                   "UniqueID", "left"))
+
+    test = frame.where(F.col("Popular").isNull())
+    not_features = ["DayOfWeekOrder"]
+    full_ex = fixed.RF_FULL_EXCLUDE + not_features
+    sel_ex = full_ex + fixed.RF_SELECTED_EXTRA_EXCLUDE
+
+    def forest(exclude):
+        cols = md.feature_columns(frame, [c for c in exclude if c in frame.columns])
+        fitted = md.fit(md.random_forest_pipeline(frame, cols, num_trees=num_trees, seed=seed), frame, cols)
+        return md.score(fitted, test).select("UniqueID", "p")
+
+    preds = {
+        "rfCustomFull": forest(full_ex),
+        "rfCustomSel": forest(sel_ex),
+        "rfCustomSelKMC": forest([c for c in sel_ex if c != "TopicCluster"]),
+        "rfCustomSelLDA": forest([c for c in sel_ex if c != "Topic"]),
+    }
+    log_fit = md.fit(md.logistic_pipeline(frame, fixed.LOGISTIC_PREDICTORS), frame, fixed.LOGISTIC_PREDICTORS)
+    preds["log"] = md.score(log_fit, test).select("UniqueID", "p")
+
+    # Bag-of-words forest: stemmed headline / summary term vectors (sparsity cut
+    # as minimum document frequency) plus the metadata columns.
+    h = tmx.corpus(feats, "UniqueID", "Headline", stopwords, 1, 1, stemmer).withColumnRenamed("terms", "hterms")
+    s = tmx.corpus(feats, "UniqueID", "Summary", stopwords, 1, 1, stemmer).withColumnRenamed("terms", "sterms")
+    bow = cut_lineage(frame.select("UniqueID", *fixed.BOW_EXTRA_COLUMNS)
+                      .join(h.withColumnRenamed("doc_id", "UniqueID"), "UniqueID")
+                      .join(s.withColumnRenamed("doc_id", "UniqueID"), "UniqueID"))
+    cap = tp.NO_VOCAB_CAP
+    min_h = int(tmx.sparse_threshold(n_docs, fixed.SPARSITY_HEADLINE)) + 1
+    min_s = int(tmx.sparse_threshold(n_docs, fixed.SPARSITY_SUMMARY)) + 1
+    bow = CountVectorizer(inputCol="hterms", outputCol="H", minDF=float(min_h), vocabSize=cap).fit(bow).transform(bow)
+    bow = CountVectorizer(inputCol="sterms", outputCol="S", minDF=float(min_s), vocabSize=cap).fit(bow).transform(bow)
+    bow = cut_lineage(bow.drop("hterms", "sterms"))
+    bow_cols = ["H", "S"] + [c for c in fixed.BOW_EXTRA_COLUMNS if c != "Popular"]
+    bow_fit = md.fit(md.random_forest_pipeline(bow, bow_cols, num_trees=num_trees, seed=seed), bow, bow_cols)
+    preds["rfBoW"] = md.score(bow_fit, bow.where(F.col("Popular").isNull())).select("UniqueID", "p")
+
+    preds = {k: cut_lineage(v) for k, v in preds.items()}
+    stacked = bl.stack_predictions(preds)
+    outputs = {f"{k}Pred": v.select("UniqueID", F.col("p").alias("Probability1")) for k, v in preds.items()}
+    for name, weights in blends.items():
+        outputs[f"{name}Pred"] = bl.blend(stacked, weights)
+    if out_dir:
+        for name, df in outputs.items():
+            csvio.write_submission(df, f"{out_dir.rstrip('/')}/{fixed.SUBMISSION_PREFIX}{name}")
+    return {"features": feats, "model_frame": frame, "topic_terms": topic_terms, **outputs}

@@ -103,3 +103,20 @@ def test_column_scaling_matches_dense_standardisation(spark):
     got = {(r["id"], r["feature"]): r["w"] for r in tp.column_scaled(pts, 3).collect()}
     sd_x = math.sqrt(((1 - 4 / 3) ** 2 + (3 - 4 / 3) ** 2 + (0 - 4 / 3) ** 2) / 2)
     assert math.isclose(got[("a", "x")], 1.0 / sd_x) and math.isclose(got[("b", "x")], 3.0 / sd_x)
+
+
+def test_popularity_pipeline_end_to_end(spark, tmp_path):
+    from newsfeat.functions import fixed
+    from newsfeat.plans.pipeline import popularity_pipeline
+    from newsfeat.sources import fixtures as fx
+    arts = fx.articles(spark, SF_SMALL)
+    out = popularity_pipeline(arts, str(tmp_path), stopwords=fx.FIXTURE_STOPWORDS, num_trees=10, kmeans_iter=3,
+                              rule_kwargs={"headline_prefixes": fx.FIXTURE_POLITICS_PREFIXES})
+    n_test = arts.where(F.col("Popular").isNull()).count()
+    preds = [k for k in out if k.endswith("Pred")]
+    assert len(preds) == 6 + len(fixed.BLENDS) == 13
+    for k in preds:
+        rows = out[k].collect()
+        assert len(rows) == n_test and all(0.0 <= r["Probability1"] <= 1.0 for r in rows)
+    back = spark.read.option("header", "true").csv(str(tmp_path / "Submission_ens2Sel3BoW1LogPred"))
+    assert back.count() == n_test
