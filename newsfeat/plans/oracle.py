@@ -80,7 +80,8 @@ def s_word_count(x: str) -> str:
 
 
 def s_matches(x: str, pattern: str, ignore_case: bool = False) -> str:
-    call = (f"regexp_matches({x}, {q(pattern)}, 'i')" if ignore_case
+    from newsfeat.functions.patterns import lower_pattern
+    call = (f"regexp_matches(lower({x}), {q(lower_pattern(pattern))})" if ignore_case
             else f"regexp_matches({x}, {q(pattern)})")
     return f"coalesce({call}, false)"
 
