@@ -6,7 +6,8 @@ from newsfeat.plans import catalog
 from tests.conftest import SF_SMALL
 
 NO_PYTHON = ["model_frame", "temporal_counts", "tfidf", "ngrams_1_3", "auc", "blend", "kde_by_group",
-             "nearest_centroid", "headline_flags", "bow_features", "day_section_dense"]
+             "nearest_centroid", "headline_flags", "bow_features", "day_section_dense", "term_popularity",
+             "ordered_bars", "top_terms_per_group", "stratified_partition", "kde_by_group_facet"]
 
 
 def plan_of(df) -> str:
