@@ -83,3 +83,11 @@ def test_submission_sink_roundtrip(spark, tmp_path):
     write_submission(df, str(tmp_path / "sub"), "p")
     got = {r["UniqueID"]: r["Probability1"] for r in read_submission(spark, str(tmp_path / "sub")).collect()}
     assert got == {1: 0.25, 2: 0.75}
+
+
+def test_lower_pattern_keeps_escapes_and_classes():
+    from newsfeat.functions.patterns import build_pattern, lower_pattern
+    assert lower_pattern(r"^(First Draft|U\.N\.)\?") == r"^(first draft|u\.n\.)\?"
+    word = build_pattern(["The"], "word")
+    assert lower_pattern(word) == r"(^|[^\p{L}\p{N}_])(the)($|[^\p{L}\p{N}_])"
+    assert lower_pattern(r"\W+\S") == r"\W+\S"
