@@ -43,23 +43,43 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/newsfeat-checkpoints") -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (tests, a laptop) is ``fallback`` used.  On a cluster the setting must point
-    at shared storage, because executors can be lost at any time.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset and
+    the master runs in this one process (tests, a laptop) is ``fallback`` used.
+    On a cluster an unset folder is an error: executors can be lost at any time,
+    so intermediate tables must not land on one machine's own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not _single_process(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or fallback)
     return sc.getCheckpointDir()
 
 
+def _single_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder, for written tables."""
+    """A fresh path under the shared checkpoint folder, for written tables.  The
+    path is deleted when the driver's file system is closed."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/newsfeat-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/newsfeat-{name}-{uuid.uuid4().hex[:12]}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the
+    lineage, survives the loss of executors and is planned from its real size."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
