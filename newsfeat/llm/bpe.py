@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from newsfeat.llm.common import read, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHED_PIECES = 300_000       # pieces a worker remembers before it starts anew
+CACHED_PIECES = 150_000       # pieces a worker remembers before it starts anew
 CACHED_BYTES = 64             # longer pieces are not remembered
-CACHED_PAIRS = 2_000_000      # token pairs a worker remembers
+CACHED_PAIRS = 300_000        # token pairs a worker remembers
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -44,11 +44,15 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+def read_ranks(ranks_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+
+
 class Encoder:
-    """Pieces to packed little-endian 32-bit ids, and back."""
+    """Pieces to packed little-endian 32-bit ids."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+        self.ranks = read_ranks(ranks_file)
         self.pattern = regex.compile(pattern)
         self.packed = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
         # Only a token that its own bytes merge into can be part of a result.
@@ -61,10 +65,6 @@ class Encoder:
         self.shorter: dict[bytes, bytes | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = _Pieces(self)
-        ids = np.zeros(max(self.ranks.values(), default=0) + 1, object)
-        for t, r in self.ranks.items():
-            ids[r] = t
-        self.bytes_of = ids.tolist()
 
     def compatible(self, left: bytes, right: bytes) -> bool:
         known = self.pairs.get((left, right))
@@ -118,9 +118,6 @@ class Encoder:
             self.pieces.clear()
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 class _Pieces(dict):
     """Packed ids of pieces, worked out on first use."""
@@ -137,14 +134,24 @@ class _Pieces(dict):
         return ids
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of this worker process
+class Decoder:
+    """Packed ids back to bytes."""
+
+    def __init__(self, ranks_file: bytes):
+        self.bytes_of = {r: t for t, r in read_ranks(ranks_file).items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_MADE: dict[tuple, Encoder | Decoder] = {}  # of this worker process
 
 
-def encoder_for(ranks_file: bytes, pattern: str) -> Encoder:
-    key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_file, pattern)
-    return _ENCODERS[key]
+def made(kind: type, *args):
+    key = (kind, hashlib.sha256(repr(args).encode()).digest())
+    if key not in _MADE:
+        _MADE[key] = kind(*args)
+    return _MADE[key]
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
@@ -160,7 +167,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(sent.value, pattern)
+        encoder = made(Encoder, sent.value, pattern)
         for batch in batches:
             ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
             counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
@@ -171,15 +178,14 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def decoded(spark: SparkSession, ids: str, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
+def decoded(spark: SparkSession, ids: str, path: str) -> Column:
     """The bytes that a column of packed ids stands for (null: null)."""
     with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("binary")
     def run(column: pd.Series) -> pd.Series:
-        encoder = encoder_for(sent.value, pattern)
-        return column.map(encoder.decode, na_action="ignore")
+        return column.map(made(Decoder, sent.value).decode, na_action="ignore")
 
     return run(F.col(ids))
 

@@ -36,11 +36,12 @@ def hard_texts():
 
 def test_as_the_library_does(reference):
     with open(PATH, "rb") as f:
-        encoder = bpe.Encoder(f.read(), P.PATTERN)
+        ranks_file = f.read()
+    encoder, decoder = bpe.Encoder(ranks_file, P.PATTERN), bpe.Decoder(ranks_file)
     for text in hard_texts():
         packed = encoder.encode(text.encode())
         assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text), text[:60]
-        assert encoder.decode(packed) == text.encode()
+        assert decoder.decode(packed) == text.encode()
 
 
 def test_query_digests(spark, reference):
