@@ -267,8 +267,9 @@ def label_languages(docs: DataFrame, model: Model, text_col: str = "text", spans
         names = sent.value.languages
         for batch in batches:
             out: list[tuple] = []
-            for starts, ends, labels in _texts(batch.tolist(), sent.value):
-                if not len(starts) or not names:
+            found = _texts(batch.tolist(), sent.value) if names else (((), (), ()) for _ in batch)
+            for starts, ends, labels in found:
+                if not len(starts):
                     out.append((UNKNOWN, 0.0, []))
                     continue
                 weight = np.bincount(labels, ends - starts, len(names))

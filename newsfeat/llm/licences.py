@@ -8,6 +8,8 @@ sentences before a later one can.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,7 @@ RULES = [
 MARKERS = "licen[cs]e|licensed|permi|redistribut|warrant|copyright|public domain|free software|rights reserved|mpl"
 
 _SPACE = r"[ \t\n\r\f]"
+_GAP = r"\n[ \t]*[*#/-]*[ \t]*\n"           # a line that is blank or a comment mark alone
 _WRAP = r"\n[ \t]*(?:[*#/]+|--)?[ \t]*"     # a line break and a comment mark after it
 _STOP = rf"([.!?;:])({_SPACE}+)"            # the end of a sentence
 _OTHER = "[^a-z0-9]+"
@@ -128,23 +131,41 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), _OTHER, " "))
 
 
+def parts() -> tuple[dict[str, str], dict[str, str]]:
+    """Sentences cut at their inner stops, as texts are: {identifier: normalised
+    part}, and {sentence identifier: its parts' identifiers, each in <>}.  Equal
+    parts of two sentences share an identifier."""
+    known: dict[str, str] = {}
+    sequence = {}
+    for sid, sentence in SENTENCES.items():
+        own = [re.sub(_OTHER, " ", x.lower()).strip() for x in re.split(_STOP.replace("(", "(?:"), sentence)]
+        for n, norm in enumerate(own):
+            known.setdefault(norm, sid if len(own) == 1 else f"{sid}#{n}")
+        sequence[sid] = "".join(f"<{known[norm]}>" for norm in own)
+    return {pid: norm for norm, pid in known.items()}, sequence
+
+
 def known_sentences(spark: SparkSession) -> DataFrame:
-    """``(norm, sid)``: the table of known sentences, cut as texts are (a
-    sentence with a stop inside is known by the identifier at its last part)."""
-    rows = spark.createDataFrame([(k, v) for k, v in SENTENCES.items()], "sid string, sentence string")
-    return rows.select(normalised(F.col("sentence")).alias("norm"), "sid")
+    """``(sid, norm)``: the table of known sentences and parts."""
+    return spark.createDataFrame(list(parts()[0].items()), "sid string, norm string")
+
+
+def rule_sequences() -> list[tuple[str, str, str]]:
+    """(licence, rule, identifiers in <>) in the order of the rules."""
+    sequence = parts()[1]
+    return [(licence, rule, "".join(sequence[s] for s in sids)) for licence, rule, sids in RULES]
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, text_hash, reading, pos, norm)``.  Two readings of each text:
     ``lines`` ends sentences at line breaks too, ``joined`` undoes wrapped lines
-    and comment marks."""
+    and comment marks (a blank line or a lone comment mark ends a sentence)."""
     text = F.col("text")
     marked = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
               .where(text.rlike(f"(?i){MARKERS}")))
     both = marked.withColumn("way", F.explode(F.array(
         F.struct(F.lit("lines").alias("reading"), text.alias("t")),
-        F.struct(F.lit("joined").alias("reading"), F.regexp_replace(text, _WRAP, " ").alias("t")))))
+        F.struct(F.lit("joined").alias("reading"), F.regexp_replace(F.regexp_replace(text, _GAP, ".\n"), _WRAP, " ").alias("t")))))
     cut = F.split(F.regexp_replace("way.t", _STOP, "$1\n"), "\n")
     return (both.select("doc_id", F.xxhash64("text").alias("text_hash"), "way.reading", cut.alias("parts"))
             .select("doc_id", "text_hash", "reading", F.posexplode_outer("parts").alias("pos", "sentence"))
@@ -169,8 +190,7 @@ def licence_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))),
                                  lambda x: F.concat(F.lit("<"), x["sid"], F.lit(">"))), "").alias("left0"))
     hits = []
-    for i, (licence, rule, sids) in enumerate(RULES):
-        wanted = "".join(f"<{s}>" for s in sids)
+    for i, (licence, rule, wanted) in enumerate(rule_sequences()):
         hits.append(F.when(F.contains(f"left{i}", F.lit(wanted)), F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"))))
         runs = runs.withColumn(f"left{i + 1}", F.replace(f"left{i}", F.lit(wanted), F.lit("<>")))
     return (runs.select(*text, "first", "last", F.explode(F.array_distinct(F.array_compact(F.array(*hits)))).alias("m"))
@@ -200,20 +220,18 @@ def _sql() -> str:
     def esc(x):
         return x.replace("\n", "\\n")
 
-    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
-    left, hits = ["seq"], []
-    chain = ""
-    for i, (licence, rule, sids) in enumerate(RULES):
-        wanted = _quoted("".join(f"<{s}>" for s in sids))
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in parts()[0].items())
+    chain, hits = "", []
+    for i, (licence, rule, wanted) in enumerate(rule_sequences()):
+        wanted = _quoted(wanted)
         source = f"l{i}"
         chain += f", l{i + 1} AS (SELECT *, contains(s{i}, {wanted}) AS h{i}, replace(s{i}, {wanted}, '<>') AS s{i + 1} FROM {source})"
         hits.append(f"SELECT doc_id, {_quoted(licence)} AS licence, {_quoted(rule)} AS rule FROM l{len(RULES)} WHERE h{i}")
-    del left
     return f"""
-WITH known AS (SELECT sid, {norm('sentence')} AS norm FROM (VALUES {known}) v(sid, sentence)),
+WITH known AS (SELECT * FROM (VALUES {known}) v(sid, norm)),
 m AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '(?i){MARKERS}')),
 w AS (SELECT doc_id, 'lines' AS reading, text AS t FROM m
-      UNION ALL SELECT doc_id, 'joined', regexp_replace(text, '{esc(_WRAP)}', ' ', 'g') FROM m),
+      UNION ALL SELECT doc_id, 'joined', regexp_replace(regexp_replace(text, '{esc(_GAP)}', '.' || chr(10), 'g'), '{esc(_WRAP)}', ' ', 'g') FROM m),
 c AS (SELECT doc_id, reading, string_split(regexp_replace(t, '{esc(_STOP)}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM w),
 s AS (SELECT doc_id, reading, generate_subscripts(parts, 1) AS pos, unnest(parts) AS sentence FROM c),
 k AS (SELECT doc_id, reading, pos, sid FROM (SELECT doc_id, reading, pos, {norm('sentence')} AS norm FROM s) JOIN known USING (norm)),
