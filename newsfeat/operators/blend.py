@@ -3,9 +3,8 @@
 Predictions are stacked in long form ``(model, UniqueID, p)`` - one row per
 model and id - and reduced with one ``groupBy(UniqueID)`` (partial
 aggregation, one shuffle) instead of joining one table per model.  A row
-missing any blended model's prediction gets a null blend (the script's vector
-arithmetic would give NA); the check is a plain row count per id, which the
-one-row-per-model-and-id layout makes exact.
+missing any blended model's prediction, or with a null one, gets a null blend (the script's vector
+arithmetic would give NA): predictions that are not null are counted per id.
 """
 
 from __future__ import annotations
@@ -49,23 +48,22 @@ def blend(stacked: DataFrame, weights) -> DataFrame:
     wmap = F.create_map(*[x for m, v in w.items() for x in (F.lit(m), F.lit(v))])
     used = stacked.where(F.col("model").isin(list(w)))
     return (used.groupBy("UniqueID")
-                .agg(F.count(F.lit(1)).alias("__m"),
+                .agg(F.count("p").alias("__m"),
                      F.sum(F.element_at(wmap, F.col("model")) * F.col("p")).alias("__s"))
                 .select("UniqueID", F.when(F.col("__m") == len(w), F.col("__s") / total).alias("Probability1")))
 
 
 def all_blends(stacked: DataFrame, blends: dict = BLENDS) -> DataFrame:
-    """Every named blend, long form ``(blend, UniqueID, Probability1)``, from a
-    single pass: weights become a small literal table keyed by model."""
-    rows = [(name, m, float(v)) for name, ws in blends.items() for m, v in _merge_weights(ws).items()]
-    spark = stacked.sparkSession
-    wt = spark.createDataFrame(rows, "blend string, model string, w double")
-    totals = {name: (sum(_merge_weights(ws).values()), len(_merge_weights(ws))) for name, ws in blends.items()}
-    tot_map = F.create_map(*[x for n, (t, _) in totals.items() for x in (F.lit(n), F.lit(t))])
-    cnt_map = F.create_map(*[x for n, (_, c) in totals.items() for x in (F.lit(n), F.lit(c))])
-    j = stacked.join(F.broadcast(wt), "model")
-    agg = j.groupBy("blend", "UniqueID").agg(F.count(F.lit(1)).alias("__m"),
-                                              F.sum(F.col("w") * F.col("p")).alias("__s"))
-    return agg.select("blend", "UniqueID",
-                      F.when(F.col("__m") == F.element_at(cnt_map, F.col("blend")),
-                             F.col("__s") / F.element_at(tot_map, F.col("blend"))).alias("Probability1"))
+    """Every named blend, long form ``(blend, UniqueID, Probability1)``: one
+    ``groupBy(UniqueID)`` holds a weighted sum and a count per blend, and the wide
+    result is unpivoted, so no row is multiplied before the shuffle."""
+    weights = {name: _merge_weights(ws) for name, ws in blends.items()}
+    sums = []
+    for i, w in enumerate(weights.values()):
+        weight = F.element_at(F.create_map(*[x for m, v in w.items() for x in (F.lit(m), F.lit(v))]), F.col("model"))
+        own = F.col("model").isin(list(w))
+        sums += [F.count(F.when(own, F.col("p"))).alias(f"__m{i}"), F.sum(F.when(own, weight * F.col("p"))).alias(f"__s{i}")]
+    wide = stacked.groupBy("UniqueID").agg(*sums).select(
+        "UniqueID", *[F.when(F.col(f"__m{i}") == len(w), F.col(f"__s{i}") / sum(w.values())).alias(name)
+                      for i, (name, w) in enumerate(weights.items())])
+    return wide.unpivot("UniqueID", list(weights), "blend", "Probability1").select("blend", "UniqueID", "Probability1")

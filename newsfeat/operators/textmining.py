@@ -151,9 +151,12 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank", partitions:
     ``repartitionByRange`` cuts the rows into ordered, balanced ranges (its
     sampled bounds split even a hot value once the order is unique); each range
     is numbered locally and shifted by the sizes of the ranges before it, read
-    from a table with one row per range."""
+    from a table with one row per range.  The ranged rows are written once with
+    their range number: sizes and rows come from the same ranges, whatever
+    columns each of them reads."""
+    from newsfeat.session import written_table
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
+    ranged = written_table(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__sz"))
     offsets = sizes.select("__pid", F.coalesce(F.sum("__sz").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsfeat.session import cut_lineage
+from newsfeat.session import cut_lineage, written_table
 
 
 def _init_centers(points: DataFrame, k: int, seed: int) -> DataFrame:
@@ -153,10 +153,13 @@ def lda_topics(corp: DataFrame, k: int, max_iter: int = 20, seed: int = 1, n_ter
     term get a null topic - the script's LDA rejects empty documents) and
     ``(topic, terms)`` with the top ``n_terms`` joined by ``", "``.  The
     vocabulary is the standard ``CountVectorizer`` one (held by the model)."""
-    nonempty = corp.where(F.size("terms") > 0)
+    nonempty = written_table(corp.where(F.size("terms") > 0).select("doc_id", "terms"), "lda-terms")
     cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocab_size, minDF=1.0).fit(nonempty)
-    vec = cv.transform(nonempty)
-    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="features").fit(vec)
+    # Written once: the vocabulary pass, every iteration and the scoring would
+    # otherwise tokenise and stem again.  Each iteration reads all documents.
+    vec = written_table(cv.transform(nonempty).select("doc_id", "features"), "lda")
+    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
+                featuresCol="features").fit(vec)
     dist = vector_to_array(F.col("topicDistribution"))
     topics = model.transform(vec).select("doc_id", dist.alias("p"))
     topics = topics.select("doc_id", (F.array_position("p", F.array_max("p")).cast("int")).alias("topic"),

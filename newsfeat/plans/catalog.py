@@ -472,10 +472,10 @@ def q_tfidf(spark, sf_dir):
 
 
 @register("tfidf_frequent_terms", _tfidf_sql(
-    f"SELECT term, round(sum(weight), 6) AS freq FROM w GROUP BY term HAVING sum(weight) >= {fixed.FREQ_TERMS_TEXT_MIN_WEIGHT}"))
+    f"SELECT term, round(sum(weight), 6) AS freq FROM w GROUP BY term HAVING sum(weight) >= {fx.FIXTURE_TEXT_MIN_WEIGHT}"))
 def q_tfidf_frequent(spark, sf_dir):
     w = article_tfidf(spark, sf_dir)
-    return tmx.frequent_terms(w, fixed.FREQ_TERMS_TEXT_MIN_WEIGHT, "weight").select("term", r6("freq"))
+    return tmx.frequent_terms(w, fx.FIXTURE_TEXT_MIN_WEIGHT, "weight").select("term", r6("freq"))
 
 
 def _headline_freq_sql(select: str) -> str:
@@ -604,15 +604,16 @@ STANDIN_SCORES = {
 
 def standin_predictions(spark, sf_dir) -> DataFrame:
     test = features(spark, sf_dir).where(F.col("Popular").isNull())
-    wide = test.select("UniqueID", *[(F.col(c).cast("double") / (F.col(c).cast("double") + F.lit(k))).alias(m)
-                                     for m, (c, k) in STANDIN_SCORES.items()])
+    # Each model has no score for a share of the ids, so that missing predictions are checked too.
+    wide = test.select("UniqueID", *[F.when(F.col("UniqueID") % 29 != i, F.col(c).cast("double") / (
+        F.col(c).cast("double") + F.lit(k))).alias(m) for i, (m, (c, k)) in enumerate(STANDIN_SCORES.items())])
     return bl.unpivot_predictions(wide, {m: m for m in STANDIN_SCORES})
 
 
 def _standin_sql() -> str:
     sel = " UNION ALL ".join(
-        f"SELECT {o.q(m)} AS model, UniqueID, CAST({c} AS DOUBLE) / (CAST({c} AS DOUBLE) + {k!r}) AS p "
-        f"FROM featc WHERE Popular IS NULL" for m, (c, k) in STANDIN_SCORES.items())
+        f"SELECT {o.q(m)} AS model, UniqueID, CASE WHEN UniqueID % 29 <> {i} THEN CAST({c} AS DOUBLE) / (CAST({c} AS DOUBLE) + {k!r}) END AS p "
+        f"FROM featc WHERE Popular IS NULL" for i, (m, (c, k)) in enumerate(STANDIN_SCORES.items()))
     return FEATURE_SQL_PREFIX + f",\npreds AS ({sel})"
 
 
@@ -624,7 +625,7 @@ def _blend_sql(blends: dict) -> str:
         for m, w in merged.items():
             rows.append(f"({o.q(name)}, {o.q(m)}, {w!r}, {tot!r}, {len(merged)})")
     return f"""wt(blend, model, w, tot, k) AS (VALUES {', '.join(rows)}),
-agg AS (SELECT wt.blend, p.UniqueID, count(DISTINCT p.model) AS m, sum(wt.w * p.p) AS s, max(wt.tot) AS tot,
+agg AS (SELECT wt.blend, p.UniqueID, count(p.p) AS m, sum(wt.w * p.p) AS s, max(wt.tot) AS tot,
                max(wt.k) AS k
         FROM preds p JOIN wt ON p.model = wt.model GROUP BY wt.blend, p.UniqueID)"""
 

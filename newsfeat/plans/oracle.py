@@ -26,14 +26,17 @@ def _case_mod(expr: str, mapping: dict[int, str], default: str = "") -> str:
     return f"CASE {expr} {whens} ELSE {q(default)} END"
 
 
+_BODY = f"regexp_replace(d.text, {q(fx.BODY_PATTERN)}, '')"
+_PARAGRAPH = f"split_part({_BODY}, chr(10), 1)"
+
 ARTICLES_SQL = f"""
 SELECT d.doc_id AS UniqueID,
        {_case_mod('d.doc_id % 7', fx.DESK_BY_MOD7)} AS NewsDesk,
        {_case_mod('d.doc_id % 11', fx.SECTION_BY_MOD11)} AS SectionName,
        CASE WHEN d.doc_id % 3 = 0 THEN {q(fx.SUBSECTION_MOD3_ZERO)} ELSE '' END AS SubsectionName,
        '<b>' || replace(split_part(d.text, chr(10), 1), 'é', '&eacute;') || '</b>&hellip; ' AS Headline,
-       substring(d.text, 1, 200) AS Snippet,
-       substring(d.text, 51, 250) AS Abstract,
+       CASE WHEN d.doc_id % 10 IN ({', '.join(map(str, fx.SNIPPET_IS_PARAGRAPH))}) THEN {_PARAGRAPH} ELSE {_BODY} END AS Snippet,
+       CASE WHEN d.doc_id % 10 IN ({', '.join(map(str, fx.ABSTRACT_IS_PARAGRAPH))}) THEN {_PARAGRAPH} ELSE {_BODY} END AS Abstract,
        CAST(length(d.text) - length(replace(d.text, ' ', '')) + 1 AS INTEGER) AS WordCount,
        make_timestamp(({fx.PUBDATE_EPOCH_START} + (d.doc_id * {fx.PUBDATE_MULTIPLIER}) % {fx.PUBDATE_SPAN_SECONDS}) * 1000000) AS PubDate,
        CAST(l.quality AS INTEGER) AS Popular

@@ -40,10 +40,14 @@ def csv_options() -> dict:
 
 def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType = ARTICLE_CSV_SCHEMA,
                       labelled: bool = True) -> DataFrame:
-    """Read one article CSV; an unlabelled file has no ``Popular`` column."""
-    if not labelled:
-        schema = T.StructType([f for f in schema.fields if f.name != "Popular"])
-    df = spark.read.schema(schema).options(**csv_options()).csv(path)
+    """Read one article CSV, columns by the names of its header in any order; an
+    unlabelled file has no ``Popular`` column, and a missing one is an error.
+
+    Quoted line breaks make a file one task (``multiLine``), so large inputs
+    should come as many files, as ``write_articles_csv`` leaves them."""
+    raw = spark.read.options(**csv_options()).csv(path)
+    fields = [f for f in schema.fields if labelled or f.name != "Popular"]
+    df = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
     if not labelled:
         df = df.withColumn("Popular", F.lit(None).cast("int"))
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in TEXT_COLUMNS}
