@@ -48,20 +48,23 @@ MAX_BROADCAST_ROWS = 2_000_000
 def with_temporal_counts(df: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Add ``NumDailyArticles``, ``NumDailySectionArticles``, ``NumHourlyArticles``.
 
-    The small count table is materialised once (reliable checkpoint to the
-    shared checkpoint folder, so the article plan is not re-run for the join
-    and a lost executor does not lose it), its row count is checked, and it is
+    The small count table is written once (to the shared checkpoint folder, so
+    that a lost executor does not lose it), its row count is checked, and it is
     broadcast only below ``max_broadcast_rows``."""
-    from newsfeat.session import cut_lineage
-    counts = cut_lineage(temporal_count_table(df))
-    if counts.count() <= max_broadcast_rows:
-        counts = F.broadcast(counts)
-    return df.join(counts, [DAY, SECTION, HOUR], "left")
+    return df.join(_checked(temporal_count_table(df), max_broadcast_rows), [DAY, SECTION, HOUR], "left")
 
 
-def with_count(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """One count joined back (``merge(x, table(keys), all.x=TRUE)``)."""
-    return df.join(count_by(df, keys, name), keys, "left")
+def _checked(counts: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """A count table, written once and broadcast if it is small enough."""
+    from newsfeat.session import written_table
+    counts = written_table(counts, "counts")
+    return F.broadcast(counts) if counts.count() <= max_broadcast_rows else counts
+
+
+def with_count(df: DataFrame, keys: list[str], name: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """One count joined back (``merge(x, table(keys), all.x=TRUE)``); the wide
+    rows stay where they are while the count table is small."""
+    return df.join(_checked(count_by(df, keys, name), max_broadcast_rows), keys, "left")
 
 
 def dense_counts(df: DataFrame, row_key: str, col_key: str, name: str = "n",

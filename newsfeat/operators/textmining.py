@@ -82,12 +82,18 @@ def explode_terms(arr) -> Column:
     return F.explode_outer(arr)
 
 
-def term_counts(corp: DataFrame) -> DataFrame:
-    """Document-term matrix in long form: ``(doc_id, term, tf, doc_total)``."""
-    return (corp.select("doc_id", F.size("terms").alias("doc_total"), explode_terms("terms").alias("term"))
-                .where(F.col("term").isNotNull())
-                .groupBy("doc_id", "term")
-                .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_total").alias("doc_total")))
+def term_counts(corp: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Document-term matrix in long form: ``(doc_id, term, tf, doc_total)``.
+
+    With a ``vocabulary(term, df)`` only its terms are kept, with their ``df``;
+    they are picked before the rows are grouped, so a broadcast vocabulary
+    leaves nothing else to shuffle."""
+    rows = (corp.select("doc_id", F.size("terms").alias("doc_total"), explode_terms("terms").alias("term"))
+                .where(F.col("term").isNotNull()))
+    found = [F.count(F.lit(1)).alias("tf"), F.max("doc_total").alias("doc_total")]
+    if vocabulary is not None:
+        rows, found = rows.join(vocabulary, "term"), [*found, F.max("df").alias("df")]
+    return rows.groupBy("doc_id", "term").agg(*found)
 
 
 def document_frequency(tc: DataFrame) -> DataFrame:
@@ -105,33 +111,45 @@ def keep_dense_terms(dfreq: DataFrame, n_docs: int, sparse: float) -> DataFrame:
     return dfreq.where(F.col("df").cast("double") > F.lit(sparse_threshold(n_docs, sparse)))
 
 
-def remove_sparse_terms(tc: DataFrame, n_docs: int, sparse: float, materialize: bool = True) -> DataFrame:
-    """Term-count rows of the terms that survive the sparsity cut (``tc`` is
-    checkpointed once: it feeds both the frequencies and the join)."""
-    if materialize:
-        from newsfeat.session import cut_lineage
-        tc = cut_lineage(tc)
-    kept = keep_dense_terms(document_frequency(tc), n_docs, sparse)
-    return tc.join(kept, "term", "inner")
-
-
-def tfidf(tc: DataFrame, n_docs: int, sparse: float | None = None, materialize: bool = True) -> DataFrame:
-    """``tf / document total * log2(N / df)``; optional sparsity cut applied
-    after weighting (weights do not depend on the cut).
-
-    The term-count table feeds both the document frequencies and the weights;
-    it is checkpointed once (``materialize``) so tokenising and n-gram
-    generation run a single time."""
-    if materialize:
-        from newsfeat.session import cut_lineage
-        tc = cut_lineage(tc)
-    dfreq = document_frequency(tc)
-    if sparse is not None:
-        dfreq = keep_dense_terms(dfreq, n_docs, sparse)
-    return (tc.join(dfreq, "term", "inner")
-              .select("doc_id", "term", "tf", "df",
-                      (F.col("tf") / F.col("doc_total")
-                       * F.log2(F.lit(float(n_docs)) / F.col("df"))).alias("weight")))
+# Largest vocabulary broadcast to every task (terms); above it the join is a
+# shuffled one.
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def corpus_frequency(corp: DataFrame) -> DataFrame:
+    """``(term, df)`` from each document's distinct terms: only partial counts
+    are shuffled."""
+    return (corp.select(explode_terms(F.array_distinct("terms")).alias("term")).where(F.col("term").isNotNull())
+                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
+def dense_vocabulary(corp: DataFrame, n_docs: int, sparse: float) -> DataFrame:
+    """``(term, df)`` of the terms that survive the sparsity cut, written once;
+    its size is counted before it is broadcast."""
+    from newsfeat.session import written_table
+    kept = written_table(keep_dense_terms(corpus_frequency(corp), n_docs, sparse), "vocabulary")
+    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_TERMS else kept
+
+
+def remove_sparse_terms(corp: DataFrame, n_docs: int, sparse: float) -> DataFrame:
+    """Term-count rows of the terms that survive the sparsity cut."""
+    return term_counts(corp, dense_vocabulary(corp, n_docs, sparse))
+
+
+def _weighted(tc: DataFrame, n_docs: int) -> DataFrame:
+    return tc.select("doc_id", "term", "tf", "df",
+                     (F.col("tf") / F.col("doc_total") * F.log2(F.lit(float(n_docs)) / F.col("df"))).alias("weight"))
+
+
+def tfidf(tc: DataFrame, n_docs: int) -> DataFrame:
+    """``tf / document total * log2(N / df)`` of all terms."""
+    return _weighted(tc.join(document_frequency(tc), "term"), n_docs)
+
+
+def dense_tfidf(corp: DataFrame, n_docs: int, sparse: float) -> DataFrame:
+    """``tfidf`` after the sparsity cut (weights do not depend on the cut): one
+    pass over the corpus for the vocabulary, one that keeps its terms only."""
+    return _weighted(remove_sparse_terms(corp, n_docs, sparse), n_docs)
 
 
 def term_totals(tc: DataFrame, value: str = "tf", name: str = "freq") -> DataFrame:

@@ -1,112 +1,54 @@
-"""Topics: k-means on sparse TF-IDF rows, nearest-centroid assignment, LDA.
-
-k-means is Lloyd's algorithm on the long form ``(doc_id, term, w)``: the
-document matrix is never densified and no vocabulary index is built.
-
-One iteration
-  dots     ``points JOIN centers ON term`` -> ``groupBy(doc_id, cluster)``:
-           only clusters sharing a term with a document appear;
-  assign   ``||c||^2 - 2 x.c`` minimised per document; a cluster sharing no
-           term with the document scores ``||c||^2`` - the best such one is
-           the first of the k clusters sorted by norm that is not present
-           (k numbers, read once per iteration);
-  update   ``points JOIN assign ON doc_id`` -> ``groupBy(cluster, term)``
-           averages (partial aggregation: a cluster holding a third of all
-           documents costs one row per term per task).
-Centres are checkpointed (reliably, to ``spark.checkpoint.dir``) every
-iteration so the lineage stays one iteration long and a lost executor only
-recomputes the current step.  The seed picks the initial centres (the k
-documents with the smallest seeded hash), so runs are reproducible.
-"""
+"""Topics: k-means on sparse TF-IDF rows, nearest-centroid assignment, LDA,
+and a top-down hierarchy of terms."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsfeat.session import cut_lineage, written_table
 
 
-def _init_centers(points: DataFrame, k: int, seed: int) -> DataFrame:
-    chosen = (points.select("doc_id").distinct()
-              .withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
-              .orderBy("__h", "doc_id").limit(k))
-    chosen = chosen.withColumn("cluster", F.row_number().over(Window.orderBy("__h", "doc_id")) - 1)
-    return (points.join(F.broadcast(chosen.select("doc_id", "cluster")), "doc_id")
-                  .select(F.col("cluster").cast("int").alias("cluster"), "term", F.col("w").alias("c")))
-
-
-def _center_norms(centers: DataFrame, k: int) -> list[tuple[float, int]]:
-    rows = centers.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("n2")).collect()
-    norms = {r["cluster"]: float(r["n2"]) for r in rows}
-    return sorted((norms.get(c, 0.0), c) for c in range(k))
-
-
-def assign_clusters(points: DataFrame, centers: DataFrame, k: int, docs: DataFrame | None = None,
-                    norms: list[tuple[float, int]] | None = None) -> DataFrame:
-    """``(doc_id, cluster, dist2_part)`` - nearest centre of every document
-    (``dist2_part`` = squared distance minus the document's own norm)."""
-    norms = norms if norms is not None else _center_norms(centers, k)
-    by_norm = F.array(*[F.struct(F.lit(n).alias("n2"), F.lit(c).alias("cluster")) for n, c in norms])
-    norm_map = F.create_map(*[x for n, c in norms for x in (F.lit(c), F.lit(n))])
-    dots = (points.join(centers, "term")
-                  .groupBy("doc_id", "cluster").agg(F.sum(F.col("w") * F.col("c")).alias("dot")))
-    scored = dots.select("doc_id", "cluster",
-                         (F.element_at(norm_map, F.col("cluster")) - 2 * F.col("dot")).alias("s"))
-    best = scored.groupBy("doc_id").agg(F.min(F.struct("s", "cluster")).alias("bp"),
-                                        F.collect_list("cluster").alias("present"))
-    if docs is not None:
-        best = docs.select("doc_id").distinct().join(best, "doc_id", "left")
-    absent = F.filter(by_norm, lambda e: ~F.coalesce(F.array_contains(F.col("present"), e["cluster"]), F.lit(False)))
-    first_absent = F.try_element_at(absent, F.lit(1))
-    use_absent = F.col("bp").isNull() | (first_absent.isNotNull() & (first_absent["n2"] < F.col("bp")["s"]))
-    return best.select(
-        "doc_id",
-        F.when(use_absent, first_absent["cluster"]).otherwise(F.col("bp")["cluster"]).cast("int").alias("cluster"),
-        F.when(use_absent, first_absent["n2"]).otherwise(F.col("bp")["s"]).alias("dist2_part"))
-
-
-def _update_centers(points: DataFrame, assign: DataFrame, old: DataFrame) -> DataFrame:
-    sizes = assign.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    sums = (points.join(assign.select("doc_id", "cluster"), "doc_id")
-                  .groupBy("cluster", "term").agg(F.sum("w").alias("s")))
-    new = sums.join(sizes, "cluster").select("cluster", "term", (F.col("s") / F.col("size")).alias("c"))
-    # A cluster that lost every document keeps its previous centre.
-    kept = old.join(sizes, "cluster", "left_anti")
-    return new.unionByName(kept)
+@F.udf(VectorUDT())
+def _sparse(size, entries):
+    return Vectors.sparse(size, [(e["i"], e["w"]) for e in entries or []])
 
 
 def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1,
            docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Lloyd k-means on ``(doc_id, term, w)``; returns ``(assignments, centers)``.
-
-    ``points`` is hash-partitioned by ``doc_id`` once and checkpointed with that
-    partitioning, so the per-iteration ``groupBy(doc_id, ...)`` and the join
-    with the assignments never reshuffle it; only the small per-cluster
-    aggregates move.  ``docs`` (optional ``doc_id`` table) adds documents with
-    no terms; they go to the centre closest to the origin."""
-    points = cut_lineage(points.select("doc_id", "term", F.col("w").cast("double").alias("w"))
-                         .repartition("doc_id"))
-    centers = cut_lineage(_init_centers(points, k, seed))
-    norms = _center_norms(centers, k)
-    for _ in range(max_iter):
-        assign = assign_clusters(points, centers, k, norms=norms)
-        new = cut_lineage(_update_centers(points, assign, centers))
-        # One small job: new norms and the centre shift together.
-        rows = (new.join(centers.withColumnRenamed("c", "old"), ["cluster", "term"], "full")
-                   .groupBy("cluster")
-                   .agg(F.sum(F.coalesce("c", F.lit(0.0)) ** 2).alias("n2"),
-                        F.sum((F.coalesce("c", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))) ** 2).alias("d"))
-                   .collect())
-        found = {r["cluster"]: float(r["n2"]) for r in rows}
-        norms = sorted((found.get(c, 0.0), c) for c in range(k))
-        centers = new
-        if not sum(float(r["d"]) for r in rows):
-            break
-    return assign_clusters(points, centers, k, docs, norms=norms), centers
+    """k-means on ``(doc_id, term, w)``; returns ``(doc_id, cluster)`` and the
+    centres ``(cluster, term, c)`` without their zeros.
+
+    ``points`` holds the terms that a sparsity cut has left, so their number is
+    bounded by the cut and the mean text length; the terms are numbered, every
+    document becomes one sparse vector, and these are written once.  An
+    iteration is one scan that sends k partial sums a task; no point is
+    shuffled.  ``docs`` (optional ``doc_id`` table) adds documents with no terms;
+    they go to the centre closest to the origin.  No points: every cluster is
+    null."""
+    spark = points.sparkSession
+    names = [r.term for r in points.select("term").distinct().orderBy("term").collect()]
+    if not names:
+        empty = (docs if docs is not None else points).select("doc_id").distinct()
+        return (empty.withColumn("cluster", F.lit(None).cast("int")),
+                spark.createDataFrame([], "cluster int, term string, c double"))
+    numbers = spark.createDataFrame(list(enumerate(names)), "i int, term string")
+    rows = (points.join(F.broadcast(numbers), "term").groupBy("doc_id")
+            .agg(F.array_sort(F.collect_list(F.struct("i", F.col("w").cast("double").alias("w")))).alias("entries")))
+    if docs is not None:
+        rows = docs.select("doc_id").distinct().join(rows, "doc_id", "left")
+    vectors = written_table(rows.select("doc_id", F.col("entries").isNotNull().alias("any"),
+                                        _sparse(F.lit(len(names)), "entries").alias("features")), "kmeans")
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(
+        vectors.where("any"))
+    centers = [(c, names[i], float(x)) for c, center in enumerate(model.clusterCenters())
+               for i, x in enumerate(center) if x]
+    return (model.transform(vectors).select("doc_id", F.col("cluster").cast("int").alias("cluster")),
+            spark.createDataFrame(centers, "cluster int, term string, c double"))
 
 
 def center_top_terms(centers: DataFrame, n: int) -> DataFrame:
@@ -117,26 +59,34 @@ def center_top_terms(centers: DataFrame, n: int) -> DataFrame:
 
 
 # ------------------------------------------------------------ nearest centre
-def dense_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, dim, x)`` from an array column."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(vec_col).alias("dim", "x")) \
-             .select("id", "dim", F.col("x").cast("double").alias("x"))
+# Most numbers of all centres together that become part of every task's plan.
+MAX_CENTER_NUMBERS = 1_000_000
 
 
-def group_centroids(long_vecs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """Mean vector per label: ``(center, dim, c)``."""
-    return (long_vecs.join(labels.select(F.col("id"), F.col(label_col).alias("center")), "id")
-                     .groupBy("center", "dim").agg(F.avg("x").alias("c")))
+def group_centroids(df: DataFrame, vec_col: str, label_col: str) -> list[tuple]:
+    """``(label, mean vector)`` of each label; equal-length vectors.  One sum a
+    label and dimension is shuffled per task; the result is counted before it
+    comes to the driver."""
+    long = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.posexplode(vec_col).alias("dim", "x"))
+    means = written_table(long.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("c")), "centroids")
+    if (found := means.count()) > MAX_CENTER_NUMBERS:
+        raise ValueError(f"{found} centre coordinates; at most {MAX_CENTER_NUMBERS} are compared with every row")
+    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("v")).orderBy("label").collect()
+    return [(r.label, [x["c"] for x in r.v]) for r in rows]
 
 
-def nearest_centroid(long_vecs: DataFrame, centers: DataFrame) -> DataFrame:
+def nearest_centroid(df: DataFrame, id_col: str, vec_col: str, centers: list[tuple]) -> DataFrame:
     """``(id, center, dist)`` - the closest centre by Euclidean distance (ties:
-    smallest centre id).  Dense vectors share every dimension with every
-    centre, so all centres are scored."""
-    d2 = (long_vecs.join(centers, "dim")
-                   .groupBy("id", "center").agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("d2")))
-    best = d2.groupBy("id").agg(F.min(F.struct("d2", "center")).alias("b"))
-    return best.select("id", F.col("b")["center"].alias("center"), F.sqrt(F.col("b")["d2"]).alias("dist"))
+    smallest centre), in one narrow projection.  No centre: null."""
+    out = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+
+    def squared(center: list[float]):
+        return F.aggregate(F.zip_with("v", F.lit(center), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+
+    if not centers:
+        return out.select("id", F.lit(None).cast("int").alias("center"), F.lit(None).cast("double").alias("dist"))
+    best = F.array_min(F.array(*[F.struct(squared(c).alias("d2"), F.lit(label).alias("center")) for label, c in centers]))
+    return out.select("id", best.alias("b")).select("id", F.col("b.center").alias("center"), F.sqrt("b.d2").alias("dist"))
 
 
 # ------------------------------------------------------------------- LDA

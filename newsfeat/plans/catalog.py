@@ -448,7 +448,7 @@ def q_ngrams(spark, sf_dir):
 def q_remove_sparse(spark, sf_dir):
     corp = doc_corpus(spark, sf_dir)
     n = tmx.n_docs(corp)
-    return tmx.keep_dense_terms(tmx.document_frequency(tmx.term_counts(corp)), n, fixed.SPARSITY_TEXT)
+    return tmx.keep_dense_terms(tmx.corpus_frequency(corp), n, fixed.SPARSITY_TEXT)
 
 
 def _tfidf_sql(select: str) -> str:
@@ -463,7 +463,7 @@ w AS (SELECT tc.doc_id, tc.term, tc.tf, kept.df,
 def article_tfidf(spark, sf_dir, stemmed=False):
     corp = article_corpus(spark, sf_dir, "Text", fixed.NGRAM_MIN, fixed.NGRAM_MAX, stemmed)
     n = tmx.n_docs(corp)
-    return tmx.tfidf(tmx.term_counts(corp), n, fixed.SPARSITY_TEXT)
+    return tmx.dense_tfidf(corp, n, fixed.SPARSITY_TEXT)
 
 
 @register("tfidf", _tfidf_sql("SELECT doc_id, term, tf, df, round(weight, 6) AS weight FROM w"))
@@ -541,8 +541,8 @@ def q_bow(spark, sf_dir):
     h = article_corpus(spark, sf_dir, "Headline")
     s = article_corpus(spark, sf_dir, "Summary")
     nh, ns = tmx.n_docs(h), tmx.n_docs(s)
-    return tmx.bag_of_words(tmx.remove_sparse_terms(tmx.term_counts(h), nh, fixed.SPARSITY_HEADLINE),
-                            tmx.remove_sparse_terms(tmx.term_counts(s), ns, fixed.SPARSITY_SUMMARY))
+    return tmx.bag_of_words(tmx.remove_sparse_terms(h, nh, fixed.SPARSITY_HEADLINE),
+                            tmx.remove_sparse_terms(s, ns, fixed.SPARSITY_SUMMARY))
 
 
 # ------------------------------------------------------------ 2.12 evaluation
@@ -702,6 +702,34 @@ def q_kde_daily(spark, sf_dir):
     return _kde(spark, sf_dir, "NumDailyArticles", "Pop", None, False)
 
 
+@register("kde_headline_chars", _kde_sql("HeadlineCharCount", "Popular", None, "Popular IS NOT NULL"))
+def q_kde_headline_chars(spark, sf_dir):
+    return _kde(spark, sf_dir, "HeadlineCharCount", "Popular", None, True)
+
+
+@register("kde_headline_words", _kde_sql("HeadlineWordCount", "Popular", None, "Popular IS NOT NULL"))
+def q_kde_headline_words(spark, sf_dir):
+    return _kde(spark, sf_dir, "HeadlineWordCount", "Popular", None, True)
+
+
+@register("kde_daily_section_facet", _kde_sql("NumDailySectionArticles", "Popular", "SectionName", "Popular IS NOT NULL"))
+def q_kde_daily_section(spark, sf_dir):
+    return _kde(spark, sf_dir, "NumDailySectionArticles", "Popular", "SectionName", True)
+
+
+@register("kde_hourly_facet", _kde_sql("NumHourlyArticles", "Popular", "Hour", "Popular IS NOT NULL"))
+def q_kde_hourly(spark, sf_dir):
+    return _kde(spark, sf_dir, "NumHourlyArticles", "Popular", "Hour", True)
+
+
+@register("ordered_bars_text", _tfidf_sql(
+    "SELECT term, round(freq, 6) AS freq, row_number() OVER (ORDER BY round(freq, 6), term) AS bar_order FROM "
+    f"(SELECT term, sum(weight) AS freq FROM w GROUP BY term HAVING sum(weight) >= {fx.FIXTURE_TEXT_MIN_WEIGHT})"))
+def q_ordered_bars_text(spark, sf_dir):
+    w = tmx.frequent_terms(article_tfidf(spark, sf_dir), fx.FIXTURE_TEXT_MIN_WEIGHT, "weight").select("term", r6("freq"))
+    return tmx.ordered_bars(w).select("term", "freq", F.col("bar_order").cast("long"))
+
+
 @register("tfidf_term_totals", _tfidf_sql("SELECT term, round(sum(weight), 6) AS freq FROM w GROUP BY term"))
 def q_tfidf_totals(spark, sf_dir):
     return tmx.term_totals(article_tfidf(spark, sf_dir), "weight").select("term", r6("freq"))
@@ -795,10 +823,7 @@ b AS (SELECT id, arg_min(center, (d2, center)) AS center, min(d2) AS d2 FROM d G
 SELECT id AS vec_id, CAST(center AS INTEGER) AS center, round(sqrt(d2), 6) AS dist FROM b""")
 def q_nearest_centroid(spark, sf_dir):
     e = tables.embeddings(spark, sf_dir)
-    long = tp.dense_long(e, "vec_id", "embedding")
-    cents = tp.group_centroids(long, e.select(F.col("vec_id").alias("id"), "label").where(F.col("label").isNotNull()),
-                               "label")
-    nc = tp.nearest_centroid(long, cents)
+    nc = tp.nearest_centroid(e, "vec_id", "embedding", tp.group_centroids(e, "embedding", "label"))
     return nc.select(F.col("id").alias("vec_id"), F.col("center").cast("int").alias("center"), r6("dist"))
 
 

@@ -57,7 +57,7 @@ def popularity_pipeline(articles: DataFrame, out_dir: str | None = None, *, flag
     # Topics from the stemmed text corpus: n-gram TF-IDF k-means and unigram LDA.
     text_ngrams = tmx.corpus(feats, "UniqueID", "Text", stopwords, fixed.NGRAM_MIN, fixed.NGRAM_MAX, stemmer)
     n_docs = tmx.n_docs(text_ngrams)
-    w = tmx.tfidf(tmx.term_counts(text_ngrams), n_docs, fixed.SPARSITY_TEXT)
+    w = tmx.dense_tfidf(text_ngrams, n_docs, fixed.SPARSITY_TEXT)
     docs = feats.select(F.col("UniqueID").alias("doc_id"))
     assign, _ = tp.kmeans(w.select("doc_id", "term", F.col("weight").alias("w")), fixed.N_CLUSTERS,
                           kmeans_iter, seed, docs)

@@ -44,7 +44,7 @@ FIXTURE_POLITICS_PREFIXES = ["the", "of", "and", "est", "re", "in", "on"]
 FIXTURE_PHRASES = [("of the", "OfThe"), ("the", "THE")]
 # Total weight from which a term counts as frequent (the library's default, 20, is
 # above every term of the synthetic text).
-FIXTURE_TEXT_MIN_WEIGHT = 5.0
+FIXTURE_TEXT_MIN_WEIGHT = 2.0
 FIXTURE_STOPWORDS = ["the", "and", "of", "to", "in", "that", "with", "for", "by"]
 
 

@@ -75,8 +75,8 @@ def test_kmeans_assigns_every_document_once(spark):
 def test_kmeans_beats_chance_on_embeddings(spark):
     from newsfeat.sources import tables
     e = tables.embeddings(spark, SF_SMALL)
-    long = tp.dense_long(e, "vec_id", "embedding").select(
-        F.col("id").alias("doc_id"), F.col("dim").cast("string").alias("term"), F.col("x").alias("w"))
+    long = e.select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("dim", "x")).select(
+        "doc_id", F.col("dim").cast("string").alias("term"), F.col("x").cast("double").alias("w"))
     k = e.select("label").distinct().count()
     assign, _ = tp.kmeans(long, k, 10, seed=1)
     j = assign.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
