@@ -176,9 +176,6 @@ HOLIDAYS = [
 # Publication hour from which the day before a holiday counts.
 BEFORE_HOLIDAY_FROM_HOUR = 17
 
-# Weekday names in factor order.
-WEEKDAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-
 # Sparsity thresholds of the three term matrices, frequent-term cut-offs and
 # the topic/cluster settings.
 SPARSITY_HEADLINE = 0.995

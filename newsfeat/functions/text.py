@@ -80,7 +80,7 @@ def cleanup_text(c, strict: bool = True) -> Column:
 def mgsub(c, patterns: list[str], replacements: list[str], ignore_case: bool = True) -> Column:
     """Apply ``(pattern, replacement)`` pairs in order; later pairs see earlier output."""
     if len(patterns) != len(replacements):
-        raise ValueError("pattern and replacement do not have the same length.")
+        raise ValueError(f"{len(patterns)} patterns for {len(replacements)} replacements")
     prefix = "(?iu)" if ignore_case else ""
     return reduce(lambda acc, pr: F.regexp_replace(acc, prefix + pr[0], pr[1]),
                   zip(patterns, replacements), _col(c))

@@ -915,12 +915,16 @@ def q_rf_bow(spark, sf_dir):
     return md.score(fitted, df.where(F.col("Popular").isNull())).select("UniqueID", "p")
 
 
+def _full_folds(spark, sf_dir):
+    df = model_table(spark, sf_dir)
+    cols = md.feature_columns(df, FULL_EXCLUDE)
+    return md.crossfit(lambda d, c: md.random_forest_pipeline(d, c, seed=SEED), df, cols, 5, SEED)
+
+
 @register("rf_oob_eval")
 def q_rf_eval(spark, sf_dir):
     """Cross-fitted accuracy and AUC of the full-feature forest (OOB stand-in)."""
-    df = model_table(spark, sf_dir)
-    cols = md.feature_columns(df, FULL_EXCLUDE)
-    oof = md.crossfit_predictions(lambda d, c: md.random_forest_pipeline(d, c, seed=SEED), df, cols, 5, SEED)
+    oof = md.crossfit_predictions(_full_folds(spark, sf_dir))
     from newsfeat.session import cut_lineage
     # Five forest fits feed two metrics: write the out-of-fold scores once.
     oof = cut_lineage(oof.select("truth", F.col("p").alias("score")))
@@ -931,10 +935,8 @@ def q_rf_eval(spark, sf_dir):
 
 @register("permutation_importance")
 def q_perm_importance(spark, sf_dir):
-    df = model_table(spark, sf_dir)
-    cols = md.feature_columns(df, FULL_EXCLUDE)
-    fitted = md.fit(md.random_forest_pipeline(df, cols, seed=SEED), df, cols)
-    signed = md.importance_signed(md.permutation_importance(fitted, df, SEED))
+    """Out-of-fold importance of the full-feature forest, as ordered bars."""
+    signed = md.importance_signed(md.permutation_importance(_full_folds(spark, sf_dir), SEED))
     # Chart order of the importance bars: ascending value, ties by name.
     return tmx.ordered_bars(signed, "value", "X1")
 
@@ -959,6 +961,18 @@ def q_stratified(spark, sf_dir):
     return md.stratified_partition(articles(spark, sf_dir), 0.5, seed=None)
 
 
+@register("importance_signed", """
+SELECT lang AS X1, 'MeanDecreaseAccuracy' AS X2, round(avg(n_chars) - 2000, 6) AS value,
+       CASE WHEN round(avg(n_chars) - 2000, 6) >= 0 THEN 'positive' ELSE 'negative' END AS sign
+FROM documents GROUP BY lang""")
+def q_importance_signed(spark, sf_dir):
+    """The sign column of an importance table; a stand-in for the importances
+    (mean text length less 2000, by language) has values of both signs."""
+    d = tables.documents(spark, sf_dir, ["lang", "n_chars"], spread_rows=False)
+    imp = d.groupBy(F.col("lang").alias("feature")).agg((F.avg("n_chars") - 2000).alias("importance"))
+    return md.importance_signed(imp.select("feature", r6("importance")))
+
+
 @register("stem_vocabulary")
 def q_stem_vocabulary(spark, sf_dir):
     """Vocabulary job: every distinct cleaned token of the documents and its stem."""

@@ -25,16 +25,38 @@ def test_forest_probabilities_in_range_and_seeded(spark):
 def test_permutation_importance_of_constant_is_zero(spark):
     df = small_frame(spark)
     cols = ["x", "NewsDesk", "const"]
-    fitted = md.fit(md.random_forest_pipeline(df, cols, num_trees=10, seed=3), df, cols)
-    imp = {r["feature"]: r["importance"] for r in md.permutation_importance(fitted, df, seed=5).collect()}
-    assert imp["const"] == 0.0
+    folds = md.crossfit(lambda d, c: md.random_forest_pipeline(d, c, num_trees=10, seed=3), df, cols, 3)
+    imp = {r["feature"]: r["importance"] for r in md.permutation_importance(folds, seed=5).collect()}
+    assert imp["const"] == 0.0 and set(imp) == set(cols)
+    assert md.crossfit_predictions(folds).count() == df.count()
+
+
+def test_permutation_drop_of_a_known_score(spark):
+    """A model that reads one feature: the drop is that of an arithmetic permutation."""
+    df = spark.range(400).select(F.col("id").alias("UniqueID"), (F.col("id") % 2).cast("int").alias("Popular"),
+                                 (F.col("id") % 2).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    folds = md.crossfit(lambda d, c: md.random_forest_pipeline(d, c, num_trees=5, seed=3), df, ["x", "y"], 2)
+    want = 0
+    for held, _ in folds:
+        moved = md.with_partner(held, ["x"], 5).select("x", F.col("__other.x").alias("other"))
+        want += moved.where("x <> other").count()
+    imp = {r["feature"]: r["importance"] for r in md.permutation_importance(folds, seed=5).collect()}
+    assert abs(imp["x"] - want / 400) < 1e-9 and imp["y"] == 0.0
+
+
+def test_partner_is_a_permutation(spark):
+    df = small_frame(spark, 50)
+    out = md.with_partner(df, ["x", "UniqueID"], seed=9).collect()
+    assert sorted(r["__other"]["UniqueID"] for r in out) == list(range(50))
+    assert all(r["__other"]["UniqueID"] != r["UniqueID"] for r in out)
 
 
-def test_permute_column_is_a_permutation(spark):
-    df = small_frame(spark, 50)
-    out = md.permute_column(df, "x", seed=9, rows_per_block=7)
-    assert out.count() == 50
-    assert sorted(r["x"] for r in out.collect()) == sorted(r["x"] for r in df.collect())
+def test_blocks_of_ids_with_a_far_one(spark):
+    df = spark.range(3000).select(F.col("id").alias("UniqueID"), F.lit(1).alias("Popular")).unionByName(
+        spark.createDataFrame([(10**15, 1)], "UniqueID long, Popular int"))
+    ranked = md.hash_rank(df, "Popular", seed=None, rows_per_block=100)
+    got = {r["UniqueID"]: r["__rank"] for r in ranked.collect()}
+    assert got == {**{i: i + 1 for i in range(3000)}, 10**15: 3001}
 
 
 def test_stratified_partition_sizes(spark):
