@@ -9,7 +9,7 @@ them) keyed by the article id, never by row position.  Sub-packages:
 * ``operators``  - rule fills, features, temporal counts, text mining,
                    evaluation, blending, chart data, topics, models
 * ``plans``      - end-to-end pipelines and the registered query catalogue
-* ``streaming``  - (intentionally empty; the reference is batch only)
+
 """
 
 __version__ = "0.1.0"
