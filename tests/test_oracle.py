@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from newsfeat.plans import catalog
 from scripts.check_oracle import TABLES, digest
 from tests.conftest import SF_SMALL
 
@@ -30,7 +31,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_model_output():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(catalog.queries()) - set(catalog.oracle_sql())
     allowed = {"kmeans_topics", "cluster_top_terms", "lda_topics", "lda_topic_terms", "topic_series",
                "topic_density", "rf_full", "rf_selected", "rf_kmeans", "rf_lda", "rf_bow", "logistic",
                "rf_oob_eval", "permutation_importance", "stem_vocabulary", "rf_tuned", "term_hierarchy"}
