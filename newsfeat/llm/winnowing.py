@@ -20,6 +20,7 @@ W = 5                 # neighbouring hashes of which the least is kept
 PRIME = 2_147_483_647
 BASE = 1_000_003
 BLOCKS = 8            # blocks of neighbouring documents per shuffle partition
+MOST_BLOCKS = 65_536  # block bounds that the driver holds, at most; beyond, blocks grow (and spill)
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 TOKEN = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]{{1,64}}"
 _HIGH = 1 << 32       # a selected code is hash * 2^32 + (2^32 - 1 - position)
@@ -87,13 +88,13 @@ def with_next(df: DataFrame, id_col: str, tie: Column, ahead: dict[str, Column],
 
     Rows are cut into blocks of neighbours at quantiles of the id; the first row
     of a block is sent to the block before it too, so one shuffle brings all
-    neighbours together and no block grows with the table.  ``after`` are steps
+    neighbours together.  ``after`` are steps
     to apply to the blocks, before ``ahead`` ({new column: value of the next row}).
     """
     spark = df.sparkSession
     keyed = df.withColumn("__key", F.coalesce(-F.col(id_col).cast("double"), F.lit(1.7e308)))
     lowest = keyed.agg(F.min("__key")).first()[0]
-    count = BLOCKS * partitions(spark)
+    count = min(BLOCKS * partitions(spark), MOST_BLOCKS)
     cuts = keyed.approxQuantile("__key", [i / count for i in range(1, count)], 0.25 / count) if lowest is not None else []
     bounds = sorted({lowest if lowest is not None else 0.0, *cuts})
     if len(bounds) > 1:
