@@ -29,6 +29,7 @@ from newsfeat.llm.common import read, utf8
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHED_PIECES = 150_000       # pieces a worker remembers before it starts anew
 CACHED_BYTES = 64             # longer pieces are not remembered
+ROWS_AT_ONCE = 500            # texts whose ids a worker holds together
 CACHED_PAIRS = 300_000        # token pairs a worker remembers
 
 
@@ -169,10 +170,12 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = made(Encoder, sent.value, pattern)
         for batch in batches:
-            ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
-            counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(ids, pa.binary())],
-                                             names=["doc_id", "n_tokens", "ids"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = [encoder.encode(t.as_py()) for t in part.column(1)]
+                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(ids, pa.binary())],
+                                                 names=["doc_id", "n_tokens", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
