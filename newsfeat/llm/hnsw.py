@@ -11,7 +11,6 @@ and for a query (0 there) the order is that of the inner product itself.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -27,6 +26,7 @@ SHARD_ROWS = 8_192     # vectors of a shard, about
 LINKS = 16             # neighbours that a node chooses on each layer (twice as many fit on the lowest)
 EF_BUILD = 64          # nodes kept while a node looks for its neighbours
 EF_SEARCH = 128        # nodes kept while a query is answered
+AT_ONCE = 8            # nodes that a step of a walk opens
 QUERY_BLOCK = 256      # queries of a block
 TOP = 20
 
@@ -40,50 +40,61 @@ class Graph:
     vectors: np.ndarray
     links: list[np.ndarray]
 
-    def layer_search(self, layer: int, q: np.ndarray, entries: list[int], ef: int, seen: np.ndarray, mark: int):
-        """The ``ef`` nearest nodes met by best-first walking, as (likeness, node)."""
+    def __post_init__(self):
+        self.slot = np.zeros(len(self.vectors), np.int32)
+
+    def climb(self, layer: int, q: np.ndarray, entry: int) -> int:
+        """Walks uphill from a node until no neighbour is nearer."""
+        links, here = self.links[layer], float(self.vectors[entry] @ q)
+        while True:
+            near = links[entry]
+            near = near[near >= 0]
+            if not len(near):
+                return entry
+            likeness = self.vectors[near] @ q
+            if likeness.max() <= here:
+                return entry
+            entry, here = int(near[likeness.argmax()]), float(likeness.max())
+
+    def layer_search(self, layer: int, q: np.ndarray, entry: int, ef: int, seen: np.ndarray, mark: int):
+        """The likeness and numbers of the ``ef`` nearest nodes met by best-first
+        walking.  Each step opens the ``AT_ONCE`` nearest nodes not yet opened, so
+        that numpy works on all their neighbours together."""
         vectors, links = self.vectors, self.links[layer]
-        seen[entries] = mark
-        best = [(float(vectors[e] @ q), e) for e in entries]
-        ahead = [(-s, e) for s, e in best]
-        heapq.heapify(best)
-        heapq.heapify(ahead)
-        while ahead:
-            s, node = heapq.heappop(ahead)
-            if len(best) >= ef and -s < best[0][0]:
-                break
-            near = links[node]
+        seen[entry] = mark
+        nodes = np.array([entry], np.int32)
+        likeness, fresh = vectors[nodes] @ q, np.ones(1, bool)
+        while True:
+            ahead = np.flatnonzero(fresh)
+            if not len(ahead):
+                return likeness, nodes
+            if len(ahead) > AT_ONCE:
+                ahead = ahead[np.argpartition(-likeness[ahead], AT_ONCE)[:AT_ONCE]]
+            fresh[ahead] = False
+            near = links[nodes[ahead]].ravel()
             near = near[near >= 0]
             near = near[seen[near] != mark]
             if not len(near):
                 continue
+            nth = np.arange(len(near), dtype=np.int32)
+            self.slot[near] = nth  # of a node that is listed twice the last one counts
+            near = near[self.slot[near] == nth]
             seen[near] = mark
-            likeness = vectors[near] @ q
-            if len(best) >= ef:
-                keep = likeness > best[0][0]
-                likeness, near = likeness[keep], near[keep]
-            for x, y in zip(likeness.tolist(), near.tolist()):
-                if len(best) < ef:
-                    heapq.heappush(best, (x, y))
-                elif x > best[0][0]:
-                    heapq.heapreplace(best, (x, y))
-                else:
-                    continue
-                heapq.heappush(ahead, (-x, y))
-        return best
-
-    def search(self, q: np.ndarray, ef: int, seen: np.ndarray, mark: int) -> list[int]:
+            found = vectors[near] @ q
+            if len(nodes) >= ef:
+                keep = found > likeness.min()
+                near, found = near[keep], found[keep]
+            nodes, likeness = np.concatenate((nodes, near)), np.concatenate((likeness, found))
+            fresh = np.concatenate((fresh, np.ones(len(near), bool)))
+            if len(nodes) > ef:
+                best = np.argpartition(-likeness, ef - 1)[:ef]
+                nodes, likeness, fresh = nodes[best], likeness[best], fresh[best]
+
+    def search(self, q: np.ndarray, ef: int, seen: np.ndarray, mark: int) -> np.ndarray:
         entry = 0
         for layer in range(len(self.links) - 1, 0, -1):
-            links, here = self.links[layer], float(self.vectors[entry] @ q)
-            while True:  # walk uphill
-                near = links[entry]
-                near = near[near >= 0]
-                likeness = self.vectors[near] @ q if len(near) else np.empty(0)
-                if not len(near) or likeness.max() <= here:
-                    break
-                entry, here = int(near[likeness.argmax()]), float(likeness.max())
-        return [node for _, node in self.layer_search(0, q, [entry], ef, seen, mark)]
+            entry = self.climb(layer, q, entry)
+        return self.layer_search(0, q, entry, ef, seen, mark)[1]
 
 
 def spread(vectors: np.ndarray, nodes: np.ndarray, likeness: np.ndarray, most: int) -> np.ndarray:
@@ -100,7 +111,8 @@ def spread(vectors: np.ndarray, nodes: np.ndarray, likeness: np.ndarray, most: i
             if len(chosen) == most:
                 break
             np.maximum(closest, between[i], out=closest)
-    rest = [i for i in range(len(nodes)) if i not in set(chosen)][:most - len(chosen)]
+    taken = set(chosen)
+    rest = [i for i in range(len(nodes)) if i not in taken][:most - len(chosen)]
     return nodes[chosen + rest]
 
 
@@ -116,24 +128,25 @@ def build(vectors: np.ndarray, seed: int, m: int = LINKS, ef: int = EF_BUILD) ->
     count = [np.zeros(len(x), np.int32) for x in graph.links]
     seen = np.zeros(n, np.int32)
     for node in range(1, n):
-        q, entries = vectors[node], [0]
+        q, entry = vectors[node], 0
         for layer in range(top, -1, -1):
-            found = graph.layer_search(layer, q, entries, ef if layer <= level[node] else 1, seen, node * (top + 1) + layer)
-            if layer <= level[node]:
-                likeness, near = np.array([x for x, _ in found]), np.array([y for _, y in found])
-                mine = spread(vectors, near, likeness, m)
-                links, used = graph.links[layer], count[layer]
-                links[node, :len(mine)] = mine
-                used[node] = len(mine)
-                for other in mine.tolist():
-                    if used[other] == links.shape[1]:  # full: keep half of them, well spread
-                        kept = spread(vectors, links[other], vectors[links[other]] @ vectors[other], links.shape[1] // 2)
-                        links[other] = -1
-                        links[other, :len(kept)] = kept
-                        used[other] = len(kept)
-                    links[other, used[other]] = node
-                    used[other] += 1
-            entries = [y for _, y in found]
+            if layer > level[node]:
+                entry = graph.climb(layer, q, entry)
+                continue
+            likeness, near = graph.layer_search(layer, q, entry, ef, seen, node * (top + 1) + layer)
+            entry = int(near[likeness.argmax()])
+            mine = spread(vectors, near, likeness, m)
+            links, used = graph.links[layer], count[layer]
+            links[node, :len(mine)] = mine
+            used[node] = len(mine)
+            for other in mine.tolist():
+                if used[other] == links.shape[1]:  # full: keep half of them, well spread
+                    kept = spread(vectors, links[other], vectors[links[other]] @ vectors[other], links.shape[1] // 2)
+                    links[other] = -1
+                    links[other, :len(kept)] = kept
+                    used[other] = len(kept)
+                links[other, used[other]] = node
+                used[other] += 1
     return graph, order
 
 
@@ -231,7 +244,7 @@ def _answers(w, top: int, ef: int) -> pd.DataFrame:
         own.add(row["vec_id"])
         q = np.asarray(row["v"], np.float64)
         scaled = np.append(q / np.sqrt(q @ q), 0).astype(np.float32)
-        nodes = np.array(graph.search(scaled, max(ef, top + 1), seen, mark))
+        nodes = graph.search(scaled, max(ef, top + 1), seen, mark)
         score = vectors[nodes] @ q
         ids = members[nodes]
         keep = (ids >= 0) & (ids != row["vec_id"])
