@@ -178,12 +178,18 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) ->
 # ---------------------------------------------------------------------- fitting
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """``(lang, t)`` of at most ``per_language`` documents of each language, by
-    hash order of the id, outside the held-out fold.  The limit holds within each
-    task before any shuffle, and the ids are bounded, so they are broadcast."""
+    hash order of the id, outside the held-out fold.
+
+    From the languages' counts follows a bound on the hash below which about
+    twice as many lie; only these ids are ranked, so a language with most of the
+    rows brings no more to a task than a small one.  The ids are broadcast."""
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("__text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("__doc"), "__doc")
     ids = (rows.where((crc_mod("__doc", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("__doc").isNotNull())
-           .select("lang", "__doc").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+           .select("lang", "__doc", F.pmod(F.xxhash64("__doc"), F.lit(1 << 40)).alias("h")))
+    counts = ids.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * per_language / F.count("*")).alias("share"))
+    first = Window.partitionBy("lang").orderBy("h", "__doc")
+    ids = (ids.join(F.broadcast(counts), "lang").where(F.col("h") < F.col("share") * (1 << 40))
+           .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
            .select(F.col("__doc").alias("__id")).distinct())
     found = (rows.where("lang IS NOT NULL AND __text IS NOT NULL").join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
              .select("lang", utf8("__text").alias("t")))
