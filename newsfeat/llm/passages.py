@@ -59,12 +59,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, text_hash, first, last)`` of all occurrences but the earliest.
 
-    The group table is pre-aggregated; the join back is on narrow rows, and a
-    digest with a large share of them is split by adaptive execution.
+    The group table is pre-aggregated and written; the join back is on narrow
+    rows and stands alone, so that adaptive execution splits a digest with a
+    large share of them.
     """
     rows = written_table(unit_rows(docs, id_col, text_col, unit, min_words), "units")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "first")
-    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1").drop("n")
+    groups = written_table(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept"))
+                           .where("n > 1").drop("n"), "unit-groups")
     return rows.join(groups, "digest").where(place != F.col("kept")).select("doc_id", "text_hash", "first", "last")
 
 
