@@ -223,7 +223,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = rooted.join(lowest, "root").select("fp", "lowest")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("lowest"))
+    # Written, so that the join with all rows stands alone and a hot fingerprint is split.
+    classes = written_table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("lowest")),
+                            "simhash-classes")
     return prints.join(classes, "fp").select(
         "doc_id", "text_hash", "fp", F.col("lowest.doc_id").alias("component_id"),
         F.col("lowest.text_hash").alias("first_hash"))
