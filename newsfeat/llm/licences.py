@@ -125,6 +125,9 @@ _GAP = r"\n[ \t]*[*#/-]*[ \t]*\n"           # a line that is blank or a comment
 _WRAP = r"\n[ \t]*(?:[*#/]+|--)?[ \t]*"     # a line break and a comment mark after it
 _STOP = rf"([.!?;:])({_SPACE}+)"            # the end of a sentence
 _OTHER = "[^a-z0-9]+"
+# The markers as texts have them: the match is on normalised sentences, so any
+# run of other characters (a wrapped line, a second space) may part two words.
+_MARKED = MARKERS.replace(" ", _OTHER)
 
 
 def normalised(text: Column) -> Column:
@@ -162,7 +165,7 @@ def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     and comment marks (a blank line or a lone comment mark ends a sentence)."""
     text = F.col("text")
     marked = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-              .where(text.rlike(f"(?i){MARKERS}")))
+              .where(text.rlike(f"(?i){_MARKED}")))
     both = marked.withColumn("way", F.explode(F.array(
         F.struct(F.lit("lines").alias("reading"), text.alias("t")),
         F.struct(F.lit("joined").alias("reading"), F.regexp_replace(F.regexp_replace(text, _GAP, ".\n"), _WRAP, " ").alias("t")))))

@@ -55,6 +55,19 @@ def test_markers_and_rules_are_complete():
     assert len({wanted for _, _, wanted in lc.rule_sequences()}) == len(lc.RULES)
 
 
+def test_sentences_wrapped_at_each_space_match(spark):
+    rules = {sids[0]: licence for licence, _, sids in lc.RULES if len(sids) == 1}
+    rows, want = [], {}
+    for sid, licence in rules.items():
+        words = (lc.SENTENCES[sid] + ".").split(" ")
+        for at in range(1, len(words)):
+            for gap in ("\n", "  ", "\r\n", "\n# "):
+                want[len(rows)] = licence
+                rows.append((len(rows), " ".join(words[:at]) + gap + " ".join(words[at:])))
+    got = {r.doc_id: r.licences.split(",") for r in lc.licences(frame(spark, rows)).collect()}
+    assert [(t, want[i]) for i, t in rows if want[i] not in got.get(i, [])] == []
+
+
 def test_every_rule_fires_alone(spark):
     rows = [(i, ".\n".join(lc.SENTENCES[s] for s in sids) + ".") for i, (_, _, sids) in enumerate(lc.RULES)]
     got = {}
