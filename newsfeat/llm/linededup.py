@@ -5,10 +5,17 @@ ends, so the same run of lines is cut alike wherever it stands in a document.
 Chunks of two or more written lines that occur more than once in the corpus
 keep their first occurrence; equal hashes are believed only after a comparison
 of bytes.
+
+Chunks meet only where boundaries fall alike, so most short repeated runs stay.
+``runs=True`` takes a chunk from every written line on instead (as many lines as
+``min_lines`` asks for): each repeated run is covered by such chunks whatever
+stands around it, and what is cut is their union.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +57,37 @@ def with_chunks(df: DataFrame, text_col: str, window: int = WINDOW, every: int =
             .drop("__hashes", "__rolled", "__ends"))
 
 
+def narrow_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def run_rows(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
+    """As ``chunk_rows``, of the chunks that reach from each written line to the
+    ``min_lines - 1``-th written line after it, blank lines between included.
+    Staged as there: lines and line numbers are each named twice."""
+    narrow = narrow_docs(docs, id_col, text_col)
+    lined = (narrow.where(F.contains("text", F.lit("\n")))
+             .select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("__lines"))
+             .withColumn("__written", F.filter(F.transform("__lines", lambda x, i: F.when(F.trim(x) != "", i)),
+                                               lambda i: i.isNotNull())))
+
+    def piece(first: Column, k: Column) -> Column:
+        last = F.get("__written", k + (min_lines - 1))
+        return F.when(last.isNotNull(), F.struct(first.alias("first"), last.alias("last"), F.array_join(
+            F.slice("__lines", first + 1, last - first + 1), "\n").alias("chunk")))
+
+    return (lined.select("doc_id", "text_hash", F.transform("__written", piece).alias("__pieces"))
+            .select("doc_id", "text_hash", F.explode_outer("__pieces").alias("c")).where("c IS NOT NULL")
+            .select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "c.first", "c.last", "c.chunk")
+            .withColumn("h", F.xxhash64("chunk")))
+
+
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int, every: int, min_lines: int) -> DataFrame:
     """``(no_id, doc_id, text_hash, first, last, chunk, h)`` of chunks with enough
     written lines.  Chunk texts are cut out before the rows are multiplied, so a
     long text is not copied for each of its chunks; the outer form of explode
     keeps the optimizer from evaluating them a second time in a filter below."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = narrow_docs(docs, id_col, text_col)
     chunked = with_chunks(narrow.where(F.contains("text", F.lit("\n"))), "text", window, every)
 
     def piece(c: Column) -> Column:
@@ -72,42 +104,63 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int, every:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-            every: int = EVERY, min_lines: int = MIN_LINES) -> DataFrame:
+            every: int = EVERY, min_lines: int = MIN_LINES, runs: bool = False) -> DataFrame:
     """``(doc_id, text_hash, first, last)``: the repeated chunks to remove.
+    With ``runs`` they overlap; one that overlaps its own first occurrence loses
+    the lines it shares with it.
 
     One pre-aggregated pass keeps each hash's count, first place and its least
     and greatest bytes: if these two are equal, all chunks of the hash are.
     Hashes for which they differ are grouped by the bytes themselves.
     """
-    rows = chunk_rows(docs, id_col, text_col, window, every, min_lines)
+    rows = run_rows(docs, id_col, text_col, min_lines) if runs else chunk_rows(docs, id_col, text_col, window, every, min_lines)
     place = F.struct("no_id", "doc_id", "text_hash", "first")
+    # Equal chunks have as many lines, so the first one ends at kept.first + last - first.
+    kept_last = F.col("kept.first") + F.col("last") - F.col("first")
+    begin = (F.when(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")),
+                    F.greatest("first", kept_last + 1)).otherwise(F.col("first"))) if runs else F.col("first")
+    cut = ["doc_id", "text_hash", begin.alias("first"), "last"]
     groups = written_table(
         rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("kept"),
                               F.min("chunk").alias("low"), F.max("chunk").alias("high"))
         .where("n > 1").select("h", "kept", (F.col("low") != F.col("high")).alias("collides")), "line-chunks")
     occurs = rows.drop("chunk").join(groups.where("NOT collides").drop("collides"), "h")
-    found = occurs.where(place != F.col("kept")).select("doc_id", "text_hash", "first", "last")
+    found = occurs.where(place != F.col("kept")).select(*cut)
     if not groups.where("collides").isEmpty():
         apart = rows.join(groups.where("collides").select("h"), "h", "left_semi")
         kept = apart.groupBy("chunk").agg(F.min(place).alias("kept"))
-        found = found.unionByName(apart.join(kept, "chunk").where(place != F.col("kept"))
-                                  .select("doc_id", "text_hash", "first", "last"))
+        found = found.unionByName(apart.join(kept, "chunk").where(place != F.col("kept")).select(*cut))
     return found
 
 
+def merged(cuts: str) -> Callable[[DataFrame], DataFrame]:
+    """Cuts that may overlap or touch, as the fewest (first, last) in order."""
+    def apply(df: DataFrame) -> DataFrame:
+        numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(cuts, lambda c: F.sequence(c["first"], c["last"])))))
+        return (df.withColumn("__n", numbers)
+                .withColumn("__from", F.filter("__n", lambda x, i: ~F.get("__n", i - 1).eqNullSafe(x - 1)))
+                .withColumn("__to", F.filter("__n", lambda x, i: ~F.get("__n", i + 1).eqNullSafe(x + 1)))
+                .withColumn(cuts, F.transform("__from", lambda x, i: F.struct(x.alias("first"), F.get("__to", i).alias("last"))))
+                .drop("__n", "__from", "__to"))
+    return apply
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-               every: int = EVERY, min_lines: int = MIN_LINES, removed_col: str | None = None) -> DataFrame:
+               every: int = EVERY, min_lines: int = MIN_LINES, removed_col: str | None = None, runs: bool = False) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut out of the text; every row
     stays.  ``removed_col`` adds the cut (first, last) line numbers; a column
-    ``n_chars`` is counted anew.
+    ``n_chars`` is counted anew.  ``runs`` finds every repeated run of
+    ``min_lines`` written lines or more (``window`` and ``every`` are not used).
 
     First means the smallest id (null last), then the text's hash, then the
     line.  Rows with the same id and text count as one document; null texts
     stay null, empty tables empty; blank lines alone never make a chunk.
     """
-    cuts = (repeats(docs, id_col, text_col, window, every, min_lines)
+    cuts = (repeats(docs, id_col, text_col, window, every, min_lines, runs)
             .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
             .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__cuts")))
+    if runs:
+        cuts = cuts.transform(merged("__cuts"))
     joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
                        & (F.xxhash64(text_col) == F.col("__hash")), "left")
     # Lines between the cuts; the lines are named twice, so the split is a column of its own.
@@ -130,13 +183,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*columns)
 
 
-def q_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_line_dedup(spark: SparkSession, sf_dir: str, runs: bool = False) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return (line_dedup(docs, removed_col="removed")
+    return (line_dedup(docs, removed_col="removed", runs=runs)
             .withColumn("removed_lines", F.aggregate("removed", F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1))
             .select("doc_id", "text", F.to_json("removed").alias("removed"), "removed_lines"))
 
 
+def q_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_line_dedup(spark, sf_dir, runs=True)
+
+
 SQL = f"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line

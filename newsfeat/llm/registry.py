@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_winnowing": winnowing.q_winnowing,
         "op2_toxicity": toxicity.q_toxicity,
         "op3_line_dedup": linededup.q_line_dedup,
+        "op3_line_dedup_runs": linededup.q_line_dedup_runs,
         "op4_licence_scan": licences.q_licences,
         "op5_simhash_near_dedup": simhash.q_simhash,
         "op6_hnsw": hnsw.q_hnsw,

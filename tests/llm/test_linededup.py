@@ -96,3 +96,46 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.text) for r in ld.line_dedup(frame(spark, rows)).collect())
     assert got[:2] == [(1, "a\nb\nc\nd")] * 2 and got[2] != (2, "a\nb\nc\nd")
     assert ld.line_dedup(frame(spark, [])).count() == 0
+
+
+def plain_runs(rows):
+    """Every later pair of neighbouring written lines is cut, but for lines of its own first occurrence."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        written = [i for i, x in enumerate(lines) if x.strip(" ")]
+        cut = set()
+        for a, b in zip(written, written[1:]):
+            kept_doc, kept = seen.setdefault("\n".join(lines[a:b + 1]), (doc_id, range(a, b + 1)))
+            if kept != range(a, b + 1) or kept_doc != doc_id:
+                cut |= set(range(a, b + 1)) - (set(kept) if kept_doc == doc_id else set())
+        out[doc_id] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in cut)
+    return out
+
+
+def test_short_runs_are_cut_wherever_they_stand(spark):
+    rows, want = [], {}
+    for n in (2, 3, 4, 5):
+        for k in range(20):
+            passage = [f"passage {n} {k} line {j}" for j in range(n)]
+            for copy in (0, 1):
+                i = len(rows)
+                own = [f"own {i} {j}" for j in range(k % 4 + copy)], [f"after {i}"] * (k % 2)
+                rows.append((i, "\n".join(own[0] + passage + own[1])))
+                want[i] = "\n".join(own[0] + own[1]) if copy else rows[-1][1]
+    assert {r.doc_id: r.text for r in ld.line_dedup(frame(spark, rows), runs=True).collect()} == want
+
+
+def test_runs_same_as_plain_model(spark, monkeypatch):
+    rows = corpus() + [(None, "a\nb\nc"), (1000, "a\nb\n\nc"), (1001, "z\n\nb\n\nc\ny"), (1002, "x\nx\nx\nx\nx")]
+    want = plain_runs(rows)
+    out = ld.line_dedup(frame(spark, rows), runs=True)
+    assert out.columns == frame(spark, rows).columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert {k: r.text for k, r in got.items()} == want and want[1002] == "x\nx"
+    assert all(r.n_chars == len(r.text or "") for r in got.values())
+    lines = [set("\n".join(t or "" for t in texts).split("\n")) - {"", "  "} for texts in (want.values(), dict(rows).values())]
+    assert lines[0] == lines[1]
+    assert ld.line_dedup(frame(spark, []), runs=True).count() == 0
+    monkeypatch.setattr(ld.F, "xxhash64", lambda c, f=F.xxhash64: f(c) % 7 if str(c) == "chunk" else f(c))
+    assert {r.doc_id: r.text for r in ld.line_dedup(frame(spark, rows), runs=True).collect()} == want
