@@ -3,6 +3,8 @@ and a top-down hierarchy of terms."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -136,50 +138,139 @@ def column_scaled(points: DataFrame, n_rows: int) -> DataFrame:
     return points.join(scale, "feature").select("id", "feature", (F.col("w") * F.col("inv_sd")).alias("w"))
 
 
-def bisecting_kmeans(points: DataFrame, levels: int, iters: int = 5, seed: int = 1) -> DataFrame:
+# A leaf of at most so many different rows and entries is split to its end by one task.
+LOCAL_ROWS, LOCAL_ENTRIES = 4096, 2_000_000
+
+
+def split_to_the_end(ids, features, w, n, h, iters: int) -> list[tuple[str, str]]:
+    """``[(id, path)]`` of one leaf's entries, by the rule of ``bisecting_kmeans``.
+    Rows meet as inner products only, so a split costs no pass over the entries."""
+    names, row = np.unique(np.asarray(ids, dtype=object), return_inverse=True)
+    size = len(names)
+    count, order = np.zeros(size), np.zeros(size)
+    count[row], order[row] = n, h
+    by_feature = np.argsort(pd.factorize(np.asarray(features, dtype=object))[0], kind="stable")
+    code = pd.factorize(np.asarray(features, dtype=object))[0][by_feature]
+    row, w = row[by_feature], np.asarray(w, dtype=float)[by_feature]
+    dots = np.zeros((size, size))
+    for r, x in zip(np.split(row, np.flatnonzero(np.diff(code)) + 1), np.split(w, np.flatnonzero(np.diff(code)) + 1)):
+        dots[np.ix_(r, r)] += np.outer(x, x)
+    own = np.diag(dots).copy()
+    out, left = [], [(np.arange(size), "")]
+    while left:
+        at, path = left.pop()
+        if len(at) == 1:
+            out.append((names[at[0]], path))
+            continue
+        s0 = at[np.argmin(order[at])]
+        dist = own[at] - 2 * dots[at, s0] + own[s0]
+        s1 = at[np.argmax(np.where(at == s0, -np.inf, dist))]
+        groups = [np.array([s0]), np.array([s1])]
+        child = None
+        for _ in range(iters):
+            score = []
+            for g in groups:
+                c = count[g] / count[g].sum()
+                to = dots[np.ix_(at, g)] @ c
+                score.append(c @ (dots[np.ix_(g, g)] @ c) - 2 * to)
+            now = score[1] < score[0]
+            if child is not None and (now == child).all():
+                break
+            child = now
+            if child.all() or not child.any():
+                break
+            groups = [at[~child], at[child]]
+        if child.all() or not child.any():
+            child = at == s1
+        left += [(at[~child], path + "0"), (at[child], path + "1")]
+    return out
+
+
+def bisecting_kmeans(points: DataFrame, levels: int | None = None, iters: int = 5, seed: int = 1,
+                     local_rows: int = LOCAL_ROWS, local_entries: int = LOCAL_ENTRIES) -> DataFrame:
     """Top-down hierarchy: every leaf is split in two by Lloyd iterations on its
-    own rows, ``levels`` times.  ``points`` is ``(id, feature, w)``; returns
-    ``(id, path)`` where ``path`` is the string of 0/1 choices from the root.
+    own rows until no leaf holds two different rows, or ``levels`` times (a leaf
+    of equal rows goes to child 0 then).  ``points`` is ``(id, feature, w)``;
+    returns ``(id, path)`` where ``path`` is the string of 0/1 choices from the
+    root.  Equal rows are one row with a count, so they share a path.
 
-    All leaves of a level are split in the same jobs (centres keyed by
-    ``(leaf, child)``); per-leaf seeds come from the two-stage top-k, centre
-    norms are a table of at most ``2^level`` rows (broadcast, bounded)."""
+    Seed 0 of a leaf is its row with the smallest seeded hash, seed 1 the row
+    farthest from it; if the iterations leave a child empty, seed 1 is split off
+    alone, so each split ends.  All large leaves of a level are split in the same
+    jobs (centres keyed by ``(leaf, child)``); a leaf within ``local_rows`` and
+    ``local_entries`` is split to its end by one task.  Entries are dealt by
+    (id, feature), so a term of many documents is spread."""
     from newsfeat.operators.textmining import top_k_per_group
-    pts = cut_lineage(points.select("id", "feature", F.col("w").cast("double").alias("w")).repartition("id"))
-    leaves = cut_lineage(pts.select("id").distinct().withColumn("leaf", F.lit("")))
-    for level in range(levels):
-        # Seed 0: smallest seeded hash in the leaf; seed 1: the row farthest from seed 0.
-        s0 = top_k_per_group(leaves.withColumn("__h", -F.xxhash64("id", F.lit(seed + level)).cast("double")),
-                             "leaf", 1, "__h", "id").select("id", "leaf")
-        c0 = pts.join(s0, "id").select("leaf", "feature", F.col("w").alias("c"))
-        c0n = c0.groupBy("leaf").agg(F.sum(F.col("c") * F.col("c")).alias("cn"))
-        xn = pts.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("xn"))
-        dot0 = (pts.join(leaves, "id").join(c0, ["leaf", "feature"])
-                   .groupBy("id").agg(F.sum(F.col("w") * F.col("c")).alias("dot")))
-        far = (leaves.join(xn, "id").join(dot0, "id", "left").join(c0n, "leaf")
-               .select("id", "leaf", (F.col("xn") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("cn")).alias("dist")))
-        s1 = top_k_per_group(far, "leaf", 1, "dist", "id").where(F.col("dist") > 0).select("id", "leaf")
-        seeds = (s0.withColumn("child", F.lit(0))
-                   .unionByName(s1.withColumn("child", F.lit(1))))
-        centers = cut_lineage(pts.join(seeds, "id").select("leaf", "child", "feature", F.col("w").alias("c")))
-        for _ in range(iters):
-            norms = centers.groupBy("leaf").agg(
-                F.sum(F.when(F.col("child") == 0, F.col("c") * F.col("c")).otherwise(0.0)).alias("n0"),
-                F.sum(F.when(F.col("child") == 1, F.col("c") * F.col("c")).otherwise(0.0)).alias("n1"),
-                F.max("child").alias("kids"))
-            dots = (pts.join(leaves, "id").join(centers, ["leaf", "feature"])
-                       .groupBy("id").agg(
-                           F.sum(F.when(F.col("child") == 0, F.col("w") * F.col("c")).otherwise(0.0)).alias("d0"),
-                           F.sum(F.when(F.col("child") == 1, F.col("w") * F.col("c")).otherwise(0.0)).alias("d1")))
-            assign = (leaves.join(dots, "id", "left").join(F.broadcast(norms), "leaf", "left")
-                      .select("id", "leaf", F.when(
-                          (F.col("kids") == 1) & ((F.col("n1") - 2 * F.coalesce("d1", F.lit(0.0)))
-                                                  < (F.col("n0") - 2 * F.coalesce("d0", F.lit(0.0)))), 1)
-                          .otherwise(0).alias("child")))
-            sizes = assign.groupBy("leaf", "child").agg(F.count(F.lit(1)).alias("size"))
-            centers = cut_lineage(
-                pts.join(assign, "id").groupBy("leaf", "child", "feature").agg(F.sum("w").alias("s"))
-                   .join(sizes, ["leaf", "child"]).select("leaf", "child", "feature",
-                                                          (F.col("s") / F.col("size")).alias("c")))
-        leaves = cut_lineage(assign.select("id", F.concat("leaf", F.col("child").cast("string")).alias("leaf")))
-    return leaves.select("id", F.col("leaf").alias("path"))
+    entries = cut_lineage(points.groupBy("id", "feature").agg(F.sum(F.col("w").cast("double")).alias("w")))
+    written = F.col("w") != 0
+    rows = entries.groupBy("id").agg(
+        F.count(F.when(written, 1)).alias("m"),
+        F.sum(F.when(written, F.xxhash64("feature", "w").cast("decimal(38,0)"))).alias("a"),
+        F.bit_xor(F.when(written, F.xxhash64(F.lit(1), "w", "feature"))).alias("b"))
+    rows = cut_lineage(rows.withColumn("a", F.coalesce("a", F.lit(0).cast("decimal(38,0)"))).fillna(0, ["b"]))
+    units = cut_lineage(rows.groupBy("a", "b", "m").agg(F.min("id").alias("unit"), F.count(F.lit(1)).alias("n")))
+    members = rows.join(units, ["a", "b", "m"]).select("id", "unit")
+    pts = cut_lineage(entries.join(units.select(F.col("unit").alias("id"), "n"), "id"))
+    leaves = cut_lineage(units.select(F.col("unit").alias("id"), "n", "m", F.lit("").alias("leaf"),
+                                      F.xxhash64("unit", F.lit(seed)).cast("double").alias("h")))
+    level = 0
+    while level != levels:
+        active = leaves.select("id", "leaf", "n", "h")
+        if levels is None:
+            sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.sum("m").alias("entries"))
+            large = cut_lineage(sizes.where((F.col("rows") > 1) & ((F.col("rows") > local_rows) | (F.col("entries") > local_entries)))
+                                .select("leaf"))
+            if large.isEmpty():
+                break
+            active = active.join(large, "leaf", "left_semi")
+        child = _split_leaves(pts, active, iters, top_k_per_group)
+        leaves = cut_lineage(leaves.join(child, "id", "left").select(
+            "id", "n", "m", F.concat("leaf", F.coalesce(F.col("child").cast("string"), F.lit(""))).alias("leaf"), "h"))
+        level += 1
+    paths = leaves.select(F.col("id").alias("unit"), F.col("leaf").alias("path"))
+    if levels is None:
+        def finish(key, group):
+            ends = split_to_the_end(group["id"], group["feature"], group["w"], group["n"], group["h"], iters)
+            return pd.DataFrame([(i, key[0] + p) for i, p in ends], columns=["unit", "path"])
+
+        alone = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where("rows = 1").select("leaf")
+        rest = leaves.join(alone, "leaf", "left_anti").select("id", "leaf", "h")
+        ended = pts.join(rest, "id").groupBy("leaf").applyInPandas(finish, paths.select("unit", "path").schema)
+        paths = leaves.join(alone, "leaf", "left_semi").select(F.col("id").alias("unit"), F.col("leaf").alias("path")).unionByName(ended)
+    return members.join(paths, "unit").select("id", "path")
+
+
+def _split_leaves(pts: DataFrame, leaves: DataFrame, iters: int, top_k_per_group) -> DataFrame:
+    """``(id, child)``: one split of every leaf of ``(id, leaf, n, h)``."""
+    at = leaves.select("id", "leaf")
+    s0 = cut_lineage(top_k_per_group(leaves.withColumn("__h", -F.col("h")), "leaf", 1, "__h", "id").select("id", "leaf"))
+    c0 = pts.join(s0, "id").select("leaf", "feature", F.col("w").alias("c"))
+    c0n = c0.groupBy("leaf").agg(F.sum(F.col("c") * F.col("c")).alias("cn"))
+    xn = pts.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("xn"))
+    dot0 = (pts.join(at, "id").join(c0, ["leaf", "feature"])
+               .groupBy("id").agg(F.sum(F.col("w") * F.col("c")).alias("dot")))
+    far = (at.join(s0.select("id"), "id", "left_anti").join(xn, "id").join(dot0, "id", "left").join(c0n, "leaf")
+             .select("id", "leaf", (F.col("xn") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("cn")).alias("dist")))
+    s1 = cut_lineage(top_k_per_group(far, "leaf", 1, "dist", "id").select("id", "leaf"))
+    seeds = s0.withColumn("child", F.lit(0)).unionByName(s1.withColumn("child", F.lit(1)))
+    centers = cut_lineage(pts.join(seeds, "id").select("leaf", "child", "feature", F.col("w").alias("c")))
+    for _ in range(iters):
+        norms = centers.groupBy("leaf").agg(
+            F.sum(F.when(F.col("child") == 0, F.col("c") * F.col("c")).otherwise(0.0)).alias("n0"),
+            F.sum(F.when(F.col("child") == 1, F.col("c") * F.col("c")).otherwise(0.0)).alias("n1"),
+            F.min("child").alias("least"), F.max("child").alias("most"))
+        dots = (pts.join(at, "id").join(centers, ["leaf", "feature"])
+                   .groupBy("id").agg(
+                       F.sum(F.when(F.col("child") == 0, F.col("w") * F.col("c")).otherwise(0.0)).alias("d0"),
+                       F.sum(F.when(F.col("child") == 1, F.col("w") * F.col("c")).otherwise(0.0)).alias("d1")))
+        nearer = F.when((F.col("n1") - 2 * F.coalesce("d1", F.lit(0.0))) < (F.col("n0") - 2 * F.coalesce("d0", F.lit(0.0))), 1).otherwise(0)
+        assign = cut_lineage(leaves.join(dots, "id", "left").join(F.broadcast(norms), "leaf", "left")
+                             .select("id", "leaf", "n", F.when(F.col("least") == F.col("most"), F.col("least"))
+                                     .otherwise(nearer).alias("child")))
+        sizes = assign.groupBy("leaf", "child").agg(F.sum("n").alias("size"))
+        centers = cut_lineage(
+            pts.drop("n").join(assign, "id").groupBy("leaf", "child", "feature").agg(F.sum(F.col("w") * F.col("n")).alias("s"))
+               .join(sizes, ["leaf", "child"]).select("leaf", "child", "feature", (F.col("s") / F.col("size")).alias("c")))
+    one = assign.groupBy("leaf").agg((F.min("child") == F.max("child")).alias("one"))
+    return (assign.join(one, "leaf").join(s1.select("id", F.lit(1).alias("apart")), "id", "left")
+            .select("id", F.when(F.col("one"), F.coalesce("apart", F.lit(0))).otherwise(F.col("child")).alias("child")))

@@ -798,19 +798,17 @@ def q_topic_density(spark, sf_dir):
                                           (F.col("density") * F.col("n")).alias("count"))
 
 
-TERM_HIERARCHY_LEVELS = 4
-
-
 @register("term_hierarchy")
 def q_term_hierarchy(spark, sf_dir):
     """Terms of the n-gram TF-IDF matrix (sparsity-cut) clustered top-down over
-    their document profiles, columns standardised (re-aimed hierarchical
+    their document profiles until no leaf holds two different profiles, columns
+    standardised (re-aimed hierarchical
     clustering: the all-pairs distance matrix is never formed)."""
     w = article_tfidf(spark, sf_dir, stemmed=True)
     pts = w.select(F.col("term").alias("id"), F.col("doc_id").cast("string").alias("feature"),
                    F.col("weight").alias("w"))
     n_terms = pts.select("id").distinct().count()
-    tree = tp.bisecting_kmeans(tp.column_scaled(pts, n_terms), TERM_HIERARCHY_LEVELS, seed=SEED)
+    tree = tp.bisecting_kmeans(tp.column_scaled(pts, n_terms), seed=SEED)
     return tree.select(F.col("id").alias("term"), "path")
 
 

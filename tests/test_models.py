@@ -118,6 +118,26 @@ def test_bisecting_separates_blocks(spark):
     assert first[0] != first[15]
 
 
+def test_bisecting_ends_at_equal_rows(spark):
+    import random
+    rng = random.Random(5)
+    rows = [(f"t{i}", f"d{j}", float(2 ** rng.randint(0, 3))) for i in range(24) for j in rng.sample(range(8), 3)]
+    rows += [(f"u{i}", f, w) for i in range(6) for t, f, w in rows if t == f"t{i}"] + [("z", "d0", 0.0)]
+    pts = spark.createDataFrame(rows, "id string, feature string, w double")
+    profile = {}
+    for t, f, w in rows:
+        profile.setdefault(t, set()).update({(f, w)} if w else set())
+    trees = [{r["id"]: r["path"] for r in tp.bisecting_kmeans(pts, iters=2, local_rows=n).collect()} for n in (4096, 16)]
+    for tree in trees:
+        assert set(tree) == set(profile) and max(map(len, tree.values())) > 4
+        by_path = {}
+        for t, p in tree.items():
+            by_path.setdefault(p, set()).add(frozenset(profile[t]))
+        assert all(len(x) == 1 for x in by_path.values())
+        assert len(by_path) == len({frozenset(x) for x in profile.values()})
+        assert not any(a != b and b.startswith(a) for a in by_path for b in by_path)
+
+
 def test_column_scaling_matches_dense_standardisation(spark):
     import math
     rows = [("a", "x", 1.0), ("b", "x", 3.0), ("a", "y", 2.0)]
