@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsfeat.llm import (bpe, hnsw, langid, licences, linededup, mixing, passages, periods, simhash,
-                          toxicity, winnowing)
+from newsfeat.llm import (bpe, conversations, hnsw, langid, licences, linededup, mixing, passages, periods,
+                          simhash, toxicity, winnowing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": bpe.q_bpe,
         "op10_passage_dedup": passages.q_passages,
         "op12_periodic_runs": periods.q_periods,
+        "op13_conversation_repair": conversations.q_conversations,
     }
 
 
