@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsfeat.llm import (bpe, conversations, hnsw, langid, licences, linededup, mixing, passages, periods,
-                          simhash, toxicity, winnowing)
+from newsfeat.llm import (bpe, conversations, hnsw, jaccard, langid, licences, linededup, mixing, passages,
+                          periods, simhash, toxicity, winnowing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.q_mixing,
         "op9_byte_bpe": bpe.q_bpe,
         "op10_passage_dedup": passages.q_passages,
+        "op11_ngram_jaccard": jaccard.q_jaccard,
         "op12_periodic_runs": periods.q_periods,
         "op13_conversation_repair": conversations.q_conversations,
     }
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_licence_scan": licences.SQL,
         "op8_mixing": mixing.SQL,
         "op10_passage_dedup": passages.SQL,
+        "op11_ngram_jaccard": jaccard.SQL,
     }

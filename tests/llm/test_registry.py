@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 
 def test_all_are_registered():
     names = set(registry.queries())
-    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 11)) | {12, 13}
+    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 14))
     assert names | {"pipeline"} <= set(E.queries()) and set(registry.oracle_sql()) <= names
 
 
