@@ -39,48 +39,40 @@ PERCENT = 85              # of the union, at least
 COUNTED = 5               # one shingle in so many is counted over all documents
 LIST_ROWS = 4096          # ids of a list that one task merges, about
 MAX_BROADCAST_ROWS = 200_000
-CACHED_WORDS = 500_000    # words whose hash a worker remembers
+BITS = 256                # of the bitmaps that bound an overlap
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 # --------------------------------------------------------------------- shingles
-class Hasher:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-
-    def __init__(self, shingle: int):
-        self.shingle = shingle
-        self.words: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """``bytes.lower`` and ``bytes.split`` act on A-Z and the six ASCII space
-        characters only.  A text of fewer words is one shingle."""
-        words = text.lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known, digest = self.words, xxhash.xxh3_64_intdigest
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        hashes = np.fromiter((known.get(w) or known.setdefault(w, digest(w)) for w in words), np.uint64, len(words))
-        k = min(self.shingle, len(words))
-        out = np.full(len(words) - k + 1, k, np.uint64)
-        for i in range(k):  # a polynomial over the words, mixed after each
-            out = (out ^ hashes[i:len(hashes) - k + 1 + i]) * _MIX[0]
-            out ^= out >> np.uint64(29)
-            out = out * _MIX[1]
-            out ^= out >> np.uint64(32)
-        return np.unique(out)
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles.
+
+    ``bytes.lower`` and ``bytes.split`` act on A-Z and the six ASCII space
+    characters only.  A text of fewer words is one shingle.
+    """
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):  # a polynomial over the words, mixed after each
+        out = (out ^ hashes[i:len(hashes) - k + 1 + i]) * _MIX[0]
+        out ^= out >> np.uint64(29)
+        out = out * _MIX[1]
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, counted: int) -> DataFrame:
     """``(doc_id, text_hash, n, hi, lo, sample)``, one row per input row: the
     size of its set, 128 bits of it, and the shingles that are counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Hasher(shingle)
         for batch in batches:
             sizes, digests, samples = [], [], []
             for text in batch.column(2):
-                own = sets(text.as_py())
+                own = shingle_hashes(text.as_py(), shingle)
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 samples.append(own[own % np.uint64(counted) == 0].view(np.int64))
@@ -134,23 +126,38 @@ def _live_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
              .join(live, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))).select("cls", "n", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Hasher(shingle)
         for batch in batches:
-            own = [sets(t.as_py()).view(np.int64) for t in batch.column(2)]
+            own = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(own)], names=["cls", "n", "shingles"])
 
     # Repeated rows have the same id and text; one of them is enough.
-    return texts.mapInArrow(run, "cls long, n long, shingles array<long>").dropDuplicates(["cls"])
+    return written_table(texts.mapInArrow(run, "cls long, n long, shingles array<long>").dropDuplicates(["cls"]), "live-sets")
+
+
+_BITMAP = [f"b{i}" for i in range(BITS // 64)]
 
 
 def _ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """``(cls, n, shared)``: the shingles that other live classes hold too, from
-    rare to frequent, where they are enough for a link."""
+    """``(cls, n, shared, b0, ..)``: the shingles that other live classes hold
+    too, from rare to frequent, where they are enough for a link, and a bitmap of
+    them: each shingle flips one bit, so two sets differ in as many shingles as
+    bits at least."""
     rows = sets.select("cls", "n", F.explode("shingles").alias("t"))
     common = rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     shared = (rows.join(common, "t").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
               .select("cls", "n", F.col("s.t").alias("shared")))  # a list as long as its document
-    return written_table(shared.where(F.size("shared") >= _least(F.col("n"), percent)), "ordered-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [np.packbits(np.bincount(s.values.to_numpy() & (BITS - 1), minlength=BITS) & 1).view(np.int64)
+                    for s in batch.column(2)]
+            words = np.array(maps, np.int64).reshape(-1, len(_BITMAP))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(words[:, i]) for i in range(len(_BITMAP)))],
+                                             names=["cls", "n", "shared", *_BITMAP])
+
+    enough = shared.where(F.size("shared") >= _least(F.col("n"), percent))
+    return written_table(enough.mapInArrow(run, "cls long, n long, shared array<long>, " + ", ".join(f"{b} long" for b in _BITMAP)),
+                         "ordered-sets")
 
 
 # ------------------------------------------------------------------------ search
@@ -175,16 +182,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _routes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(t, cls, n, pos, index)``: each class at the shingles of its short lists;
-    ``index`` marks those that are enough as the smaller set of a pair.  ``pos``
-    counts the shingles before it, those of the class alone first."""
+    """``(t, cls, n, alone, pos, index)`` and the bitmap: each class at the shingles
+    of its short lists; ``index`` marks those that are enough as the smaller set
+    of a pair.  ``alone`` counts the shingles of the class alone, which come
+    first, and ``pos`` all before this one."""
     n, alone = F.col("n"), F.col("n") - F.size("shared")
     probe = (n - _least(n, percent) + 1 - alone).cast("int")
     # The smaller set of a pair shares 2p / (1 + p) of itself.
     index = n - F.ceil(n * (2 * percent) / F.lit(100.0 + percent) - 1e-9) + 1
-    return (sets.select("cls", "n", alone.alias("alone"), index.alias("upto"), F.posexplode(F.slice("shared", F.lit(1), probe)).alias("i", "t"))
-            .select("t", "cls", "n", (F.col("i") + F.col("alone")).alias("pos"),
-                    (F.col("i") + F.col("alone") < F.col("upto")).alias("index")))
+    return (sets.select("cls", "n", alone.cast("long").alias("alone"), index.alias("upto"), *_BITMAP,
+                        F.posexplode(F.slice("shared", F.lit(1), probe)).alias("i", "t"))
+            .select("t", "cls", "n", "alone", (F.col("i") + F.col("alone")).alias("pos"),
+                    (F.col("i") + F.col("alone") < F.col("upto")).alias("index"), *_BITMAP))
 
 
 def _star_pairs(routes: DataFrame, percent: int) -> DataFrame:
@@ -209,44 +218,61 @@ def _candidates(routes: DataFrame, components: DataFrame, percent: int, list_row
     longest = mixed.agg(F.max("rows")).first()[0] or 0
     splits = max(1, -(-longest // list_rows))
     kept = named.join(mixed.select("t", "main"), "t").withColumn("in_main", F.col("comp") == F.col("main"))
+    entry = ["cls", "n", "alone", "pos", "comp", *_BITMAP]
     lists = (kept.where("index").withColumn("split", F.pmod(F.xxhash64("cls"), F.lit(splits)))
-             .groupBy("t", "in_main", "split").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "pos", "comp"))).alias("ids")))
-    queries = kept.select("t", F.col("cls").alias("q"), F.col("n").alias("q_n"), F.col("pos").alias("q_pos"),
-                          F.col("comp").alias("q_comp"), F.col("in_main").alias("q_main"))
+             .groupBy("t", "in_main", "split").agg(F.sort_array(F.collect_list(F.struct(*entry))).alias("ids")))
+    queries = kept.select("t", F.struct(*entry[:3], *entry[4:]).alias("q"), F.col("pos").alias("q_pos"),
+                          F.col("in_main").alias("q_main"))
     # Lists of the main component are of no use to its own members.
     met = (queries.join(lists, "t").where("NOT (in_main AND q_main)")
-           .groupBy("q", "q_n", "q_comp", "split").agg(F.collect_list(F.struct("q_pos", "ids")).alias("lists")))
+           .groupBy("q", "split").agg(F.collect_list(F.struct("q_pos", "ids")).alias("lists")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for r in batch.to_pylist():
-                for found in t_occurrence(r["q"], r["q_n"], r["q_comp"], r["lists"], percent):
-                    out_a.append(found)
-                    out_b.append(r["q"])
+            for query, lists in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = t_occurrence(query, lists.values, percent)
+                out_a += found
+                out_b += [query["cls"]] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return met.select("q", "q_n", "q_comp", "lists").mapInArrow(search, "a long, b long")
+    return met.select("q", "lists").mapInArrow(search, "a long, b long")
 
 
-def t_occurrence(query: int, size: int, comp: int, lists: list[dict], percent: int) -> Iterator[int]:
-    """Ids of the merged short lists that the long ones can still lift to the
-    required overlap: occurrences so far, and what is left behind the last one
-    in the shorter remainder of both sets."""
-    def entries(one: dict) -> Iterator[tuple]:
-        return ((e["cls"], e["n"], one["q_pos"], e["pos"]) for e in one["ids"]
-                if e["comp"] != comp and (e["n"], e["cls"]) < (size, query) and 100 * e["n"] >= percent * size)
+def t_occurrence(query: dict, lists: pa.StructArray, percent: int) -> list[int]:
+    """Ids of the short lists that the long ones can still lift to the required
+    overlap.
 
-    now, n, count, rest = None, 0, 0, 0
-    for cls, own, q_pos, pos in merge(*map(entries, lists)):
+    An id of the query's own component, of a larger set, or of one that differs
+    in too many shingles by the bitmaps is passed over.  The lists are merged
+    with a heap; an id's bound are its occurrences so far and what is left behind
+    the last one in the shorter remainder of both sets.
+    """
+    size, own = query["n"], (query["n"], query["cls"])
+    q_bits = np.array([query[b] for b in _BITMAP], np.int64)
+    shortened = []
+    for one in range(len(lists)):
+        ids = lists.field("ids")[one].values
+        of = {f: ids.field(f).to_numpy(zero_copy_only=False) for f in ("cls", "n", "alone", "pos", "comp")}
+        differ = of["alone"] + query["alone"]
+        for i, b in enumerate(_BITMAP):
+            differ = differ + np.bitwise_count((ids.field(b).to_numpy(zero_copy_only=False) ^ q_bits[i]).view(np.uint64))
+        n, cls = of["n"], of["cls"]
+        keep = ((of["comp"] != query["comp"]) & ((n < size) | (n == size) & (cls < own[1])) & (100 * n >= percent * size)
+                & ((n + size - differ) // 2 * (100 + percent) >= percent * (n + size)))
+        at = lists.field("q_pos")[one].as_py()
+        shortened.append([(c, m, at, p) for c, m, p in zip(cls[keep].tolist(), n[keep].tolist(), of["pos"][keep].tolist())])
+    found, now, n, count, rest = [], None, 0, 0, 0
+    for cls, m, q_pos, pos in merge(*shortened):
         if cls != now:
             if now is not None and _enough(count + rest, n, size, percent):
-                yield now
-            now, n, count, rest = cls, own, 0, size
+                found.append(now)
+            now, n, count, rest = cls, m, 0, size
         count += 1
-        rest = min(rest, size - q_pos - 1, own - pos - 1)
+        rest = min(rest, size - q_pos - 1, m - pos - 1)
     if now is not None and _enough(count + rest, n, size, percent):
-        yield now
+        found.append(now)
+    return found
 
 
 def _enough(overlap: int, a: int, b: int, percent: int) -> bool:
@@ -299,9 +325,9 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(w
         ELSE list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')) END) AS shingle
       FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
       GROUP BY ALL),
-l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= {PERCENT} * (x.n + y.n - both)),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
 c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
