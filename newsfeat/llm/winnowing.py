@@ -86,13 +86,17 @@ def with_next(df: DataFrame, id_col: str, tie: Column, ahead: dict[str, Column],
     """Rows with values of the next row in descending order of ``id_col`` (null
     ids last, then ``tie``); after the last row comes the first.
 
-    Rows are cut into blocks of neighbours at quantiles of the id; the first row
-    of a block is sent to the block before it too, so one shuffle brings all
-    neighbours together.  ``after`` are steps
+    Rows are cut into blocks of neighbours at quantiles of the id as a double
+    (of ``tie`` for null ids, so that many of them are spread); ids that are equal
+    as doubles share a block, where the ids themselves give the order.  The first
+    rows of a block are sent to the block before it too, so one shuffle brings
+    all neighbours together.  ``after`` are steps
     to apply to the blocks, before ``ahead`` ({new column: value of the next row}).
     """
     spark = df.sparkSession
-    keyed = df.withColumn("__key", F.coalesce(-F.col(id_col).cast("double"), F.lit(1.7e308)))
+    # Ids take keys up to 2^63 each way, null ids those around 3e19.
+    keyed = df.withColumn("__tie", tie).withColumn("__key", F.coalesce(
+        -F.col(id_col).cast("double"), F.col("__tie").cast("double") + F.lit(3e19)))
     lowest = keyed.agg(F.min("__key")).first()[0]
     count = min(BLOCKS * partitions(spark), MOST_BLOCKS)
     cuts = keyed.approxQuantile("__key", [i / count for i in range(1, count)], 0.25 / count) if lowest is not None else []
@@ -104,13 +108,14 @@ def with_next(df: DataFrame, id_col: str, tie: Column, ahead: dict[str, Column],
         keyed = keyed.withColumn("__at", F.lit(0))
     opens = F.col("__key") == F.get(F.lit(bounds), F.col("__at"))
     before = F.pmod(F.col("__at") + (len(bounds) - 1), F.lit(len(bounds)))
-    dealt = (keyed.withColumn("__tie", tie)
+    dealt = (keyed
              .select("*", F.posexplode_outer(F.when(opens, F.array("__at", before)).otherwise(F.array("__at")))
                      .alias("__ghost", "__block"))
              .repartition("__block"))
     for step in after:
         dealt = step(dealt)
-    order = Window.partitionBy("__block").orderBy("__ghost", "__key", "__tie")
+    order = Window.partitionBy("__block").orderBy(
+        "__ghost", "__key", F.col(id_col).desc_nulls_last(), "__tie")
     return (dealt.withColumns({name: F.lead(value).over(order) for name, value in ahead.items()})
             .where("__ghost = 0").drop("__key", "__at", "__tie", "__ghost", "__block"))
 

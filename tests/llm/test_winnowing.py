@@ -93,6 +93,23 @@ def test_edits_follow_descending_ids(spark):
                                                  (5, "twice"), (5, "twice"), (5, "other text")])
 
 
+def test_ids_beyond_doubles_and_many_nulls(spark):
+    texts = corpus(260)
+    ids = [2**60 + i for i in range(40)] + [2**63 - 1 - i for i in range(40)] + [-2**63 + i for i in range(40)]
+    ids += list(range(-20, 20)) + [None] * 100
+    random.Random(4).shuffle(ids)
+    check_edits(spark, [(i, f"{t} own{k}") for k, (i, t) in enumerate(zip(ids, texts))])
+
+
+def test_null_ids_are_spread(spark):
+    rows = [(None, f"text {i} of many without an id", "", "", "") for i in range(3000)] + [(1, "one", "", "", "")]
+    df = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text").repartition(8)
+    seen = wi.with_next(df, "doc_id", F.xxhash64("text"), {"ahead": F.col("text")}, [
+        lambda d: d.withColumn("block", F.col("__block"))])
+    blocks = [r["count"] for r in seen.groupBy("block").count().collect()]
+    assert len(blocks) > 20 and max(blocks) < 600
+
+
 def test_few_rows(spark):
     check_edits(spark, [(1, "a b c d e f g h i j k l m n o p")])
     check_edits(spark, [(1, None), (2, "a b c d e f")])
