@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,8 +28,8 @@ from newsfeat.llm.common import read, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHED_PIECES = 150_000       # pieces a worker remembers before it starts anew
-CACHED_BYTES = 64             # longer pieces are not remembered
-ROWS_AT_ONCE = 500            # texts whose ids a worker holds together
+CACHED_BYTES = 32             # longer pieces are not remembered
+BYTES_AT_ONCE = 4 << 20       # of ids that a worker holds together, one text more at most
 CACHED_PAIRS = 300_000        # token pairs a worker remembers
 
 
@@ -66,6 +66,7 @@ class Encoder:
         self.shorter: dict[bytes, bytes | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = _Pieces(self)
+        self.decode = Decoder(self.ranks).decode
 
     def compatible(self, left: bytes, right: bytes) -> bool:
         known = self.pairs.get((left, right))
@@ -138,17 +139,25 @@ class _Pieces(dict):
 class Decoder:
     """Packed ids back to bytes."""
 
-    def __init__(self, ranks_file: bytes):
-        self.bytes_of = {r: t for t, r in read_ranks(ranks_file).items()}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {r: t for t, r in ranks.items()}
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """A part of a long text at a time: an id is never held as a number for
+        all of it."""
+        numbers = np.frombuffer(ids, "<u4")
+        return b"".join(b"".join(map(self.bytes_of.__getitem__, numbers[at:at + 65_536].tolist()))
+                        for at in range(0, len(numbers), 65_536))
 
 
 _MADE: dict[tuple, Encoder | Decoder] = {}  # of this worker process
 
 
-def made(kind: type, *args):
+def _decoder(ranks_file: bytes) -> Decoder:
+    return Decoder(read_ranks(ranks_file))
+
+
+def made(kind: Callable, *args):
     key = (kind, hashlib.sha256(repr(args).encode()).digest())
     if key not in _MADE:
         _MADE[key] = kind(*args)
@@ -170,12 +179,15 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = made(Encoder, sent.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                ids = [encoder.encode(t.as_py()) for t in part.column(1)]
-                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(ids, pa.binary())],
-                                                 names=["doc_id", "n_tokens", "ids"])
+            ids, size, begun = [], 0, 0
+            for at, text in enumerate(batch.column(1), 1):
+                ids.append(encoder.encode(text.as_py()))
+                size += len(ids[-1])
+                if size > BYTES_AT_ONCE or at == batch.num_rows:
+                    counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begun, len(ids)), pa.array(counts),
+                                                      pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                    ids, size, begun = [], 0, at
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -188,18 +200,34 @@ def decoded(spark: SparkSession, ids: str, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(made(Decoder, sent.value).decode, na_action="ignore")
+        return column.map(made(_decoder, sent.value).decode, na_action="ignore")
 
     return run(F.col(ids))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode, decode again, and keep counts and digests of both."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    coded = encode(docs, path)
-    return coded.withColumn("decoded", decoded(docs.sparkSession, "ids", path)).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each text encoded and
+    decoded again by one worker, text by text; only counts and digests leave it.
+    Rows, nulls and other columns as for ``encode``."""
+    with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = made(Encoder, sent.value, pattern)
+        for batch in batches:
+            counts, coded, decoded_ = [], [], []
+            for text in batch.column(1):
+                ids = encoder.encode(text.as_py())
+                counts.append(len(ids) // 4)
+                coded.append(hashlib.sha256(ids).hexdigest())
+                decoded_.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()),
+                                              pa.array(decoded_, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def q_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

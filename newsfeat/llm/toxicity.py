@@ -36,7 +36,7 @@ MIN_GAIN = 7.0         # log-likelihood gain of a word or beginning over chance
 VOTER_PRECISION = 0.95 # share of toxic texts among those a lexicon voter fires on
 PREFIXES = (4, 5, 6)   # lengths of word beginnings
 FOLDS = 5              # rows whose id has crc32 % FOLDS == 0 are held out
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 # Shouting and insistence; whatever they are worth, the label model finds out.

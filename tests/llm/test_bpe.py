@@ -37,7 +37,7 @@ def hard_texts():
 def test_as_the_library_does(reference):
     with open(PATH, "rb") as f:
         ranks_file = f.read()
-    encoder, decoder = bpe.Encoder(ranks_file, P.PATTERN), bpe.Decoder(ranks_file)
+    encoder, decoder = bpe.Encoder(ranks_file, P.PATTERN), bpe._decoder(ranks_file)
     for text in hard_texts():
         packed = encoder.encode(text.encode())
         assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text), text[:60]
@@ -55,6 +55,17 @@ def test_query_digests(spark, reference):
             len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_encode_and_decode_columns(spark, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 500)
+    texts = [None, *hard_texts()[:80]]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], SCHEMA)
+    coded = bpe.encode(df, PATH)
+    got = {r.doc_id: r for r in coded.withColumn("back", bpe.decoded(spark, "ids", PATH)).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(reference.encode_ordinary(t or ""), "<u4").tobytes()
+        assert (got[i].n_tokens, bytes(got[i].ids), bytes(got[i].back)) == (len(ids) // 4, ids, (t or "").encode())
+
+
 def test_invalid_bytes_and_empty_table(spark):
     df = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text")
     assert bpe.digests(df).first().decoded_sha256 == hashlib.sha256("a�b".encode()).hexdigest()
