@@ -1,13 +1,11 @@
-"""Topics: k-means on sparse TF-IDF rows, nearest-centroid assignment, LDA,
-and a top-down hierarchy of terms."""
+"""Topics: k-means on sparse TF-IDF rows, nearest-centroid assignment and a
+top-down hierarchy of terms (LDA: ``lda``)."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,40 +89,10 @@ def nearest_centroid(df: DataFrame, id_col: str, vec_col: str, centers: list[tup
     return out.select("id", best.alias("b")).select("id", F.col("b.center").alias("center"), F.sqrt("b.d2").alias("dist"))
 
 
-# ------------------------------------------------------------------- LDA
 # CountVectorizer keeps the top ``vocabSize`` terms; the largest int keeps them all.
 NO_VOCAB_CAP = (1 << 31) - 1
 
 
-def lda_topics(corp: DataFrame, k: int, max_iter: int = 20, seed: int = 1, n_terms: int = 5,
-               vocab_size: int = NO_VOCAB_CAP) -> tuple[DataFrame, DataFrame]:
-    """LDA on unigram counts.
-
-    Returns ``(doc_topics, topic_terms)``: ``(doc_id, topic, prob)`` with the
-    most likely topic (1-based, as ``topics(., 1)``; documents without any
-    term get a null topic - the script's LDA rejects empty documents) and
-    ``(topic, terms)`` with the top ``n_terms`` joined by ``", "``.  The
-    vocabulary is the standard ``CountVectorizer`` one (held by the model)."""
-    nonempty = written_table(corp.where(F.size("terms") > 0).select("doc_id", "terms"), "lda-terms")
-    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocab_size, minDF=1.0).fit(nonempty)
-    # Written once: the vocabulary pass, every iteration and the scoring would
-    # otherwise tokenise and stem again.  Each iteration reads all documents.
-    vec = written_table(cv.transform(nonempty).select("doc_id", "features"), "lda")
-    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
-                featuresCol="features").fit(vec)
-    dist = vector_to_array(F.col("topicDistribution"))
-    topics = model.transform(vec).select("doc_id", dist.alias("p"))
-    topics = topics.select("doc_id", (F.array_position("p", F.array_max("p")).cast("int")).alias("topic"),
-                           F.array_max("p").alias("prob"))
-    doc_topics = corp.select("doc_id").join(topics, "doc_id", "left")
-    # Topic summary: k x n_terms indices looked up in the model's vocabulary.
-    vocab = cv.vocabulary
-    summary = [(int(r["topic"]) + 1, ", ".join(vocab[i] for i in r["termIndices"]))
-               for r in model.describeTopics(n_terms).collect()]
-    terms = corp.sparkSession.createDataFrame(summary, "topic int, terms string")
-    return doc_topics, terms
-
-
 # ------------------------------------------------------------ term hierarchy
 def column_scaled(points: DataFrame, n_rows: int) -> DataFrame:
     """Divide every feature column by its standard deviation over all ``n_rows``

@@ -20,6 +20,7 @@ from newsfeat.functions import text as tx
 from newsfeat.operators import blend as bl
 from newsfeat.operators import charts
 from newsfeat.operators import evaluate as ev
+from newsfeat.operators import lda
 from newsfeat.operators import models as md
 from newsfeat.operators import textmining as tmx
 from newsfeat.operators import topics as tp
@@ -761,7 +762,7 @@ def q_cluster_top_terms(spark, sf_dir):
 
 def lda_result(spark, sf_dir):
     corp = article_corpus(spark, sf_dir, "Text", stemmed=True)
-    return tp.lda_topics(corp, fixed.N_TOPICS, seed=SEED, n_terms=fixed.TOP_TERMS_PER_TOPIC)
+    return lda.lda_topics(corp, fixed.N_TOPICS, seed=SEED, n_terms=fixed.TOP_TERMS_PER_TOPIC)
 
 
 @register("lda_topics")

@@ -45,6 +45,7 @@ def popularity_pipeline(articles: DataFrame, out_dir: str | None = None, *, flag
 
     from newsfeat.functions.stem import stemmer
     from newsfeat.operators import blend as bl
+    from newsfeat.operators import lda
     from newsfeat.operators import models as md
     from newsfeat.operators import textmining as tmx
     from newsfeat.operators import topics as tp
@@ -62,7 +63,7 @@ def popularity_pipeline(articles: DataFrame, out_dir: str | None = None, *, flag
     assign, _ = tp.kmeans(w.select("doc_id", "term", F.col("weight").alias("w")), fixed.N_CLUSTERS,
                           kmeans_iter, seed, docs)
     unigrams = tmx.corpus(feats, "UniqueID", "Text", stopwords, 1, 1, stemmer)
-    doc_topics, topic_terms = tp.lda_topics(unigrams, fixed.N_TOPICS, seed=seed, n_terms=fixed.TOP_TERMS_PER_TOPIC)
+    doc_topics, topic_terms = lda.lda_topics(unigrams, fixed.N_TOPICS, seed=seed, n_terms=fixed.TOP_TERMS_PER_TOPIC)
     frame = cut_lineage(
         frame.join(assign.select(F.col("doc_id").alias("UniqueID"), F.col("cluster").alias("TopicCluster")),
                    "UniqueID", "left")
