@@ -940,6 +940,53 @@ def q_perm_importance(spark, sf_dir):
     return tmx.ordered_bars(signed, "value", "X1")
 
 
+def bagged_forests(spark, sf_dir, names):
+    """``{name: (bagged forest, its table)}`` of the script's five forests, by
+    name; topics and clusters are worked out once for all that need them."""
+    topics = {"with_kmeans": "rfCustomSelKMC" in names, "with_lda": "rfCustomSelLDA" in names}
+    frame = model_table(spark, sf_dir, **topics)
+    exclude = {"rfCustomFull": FULL_EXCLUDE, "rfCustomSel": SELECTED_EXCLUDE,
+               "rfCustomSelKMC": [c for c in SELECTED_EXCLUDE if c != "TopicCluster"],
+               "rfCustomSelLDA": [c for c in SELECTED_EXCLUDE if c != "Topic"]}
+    out = {}
+    for name in names:
+        if name == "rfBoW":
+            df = bow_table(spark, sf_dir)
+            cols = ["H", "S"] + [c for c in fixed.BOW_EXTRA_COLUMNS if c != "Popular"]
+        else:
+            df, cols = frame, md.feature_columns(frame, exclude[name])
+        out[name] = (md.bagged_forest(df, cols, seed=SEED), df)
+    return out
+
+
+CUSTOM_FORESTS = ["rfCustomFull", "rfCustomSel", "rfCustomSelKMC", "rfCustomSelLDA"]
+
+
+@register("oob_evaluation")
+def q_oob_evaluation(spark, sf_dir):
+    """Out-of-bag accuracy and AUC of all five forests."""
+    from functools import reduce
+
+    from newsfeat.session import written_table
+    parts = []
+    for name, (forest, df) in bagged_forests(spark, sf_dir, [*CUSTOM_FORESTS, "rfBoW"]).items():
+        votes = written_table(md.oob_predictions(forest, df).select("truth", F.col("p").alias("score")), "oob")
+        parts.append(ev.accuracy(votes).select("accuracy").crossJoin(ev.auc(votes).select("auc"))  # one row each
+                     .select(F.lit(name).alias("model"), "accuracy", "auc"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("oob_importance")
+def q_oob_importance(spark, sf_dir):
+    """Scaled out-of-bag importance of the four custom forests, as ordered bars."""
+    from functools import reduce
+    parts = []
+    for name, (forest, df) in bagged_forests(spark, sf_dir, CUSTOM_FORESTS).items():
+        signed = md.importance_signed(md.oob_importance(forest, df))
+        parts.append(tmx.ordered_bars(signed, "value", "X1").withColumn("model", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 FLAG_NAMES = [f.name for f in FIXTURE_FLAG_SPECS]
 
 
