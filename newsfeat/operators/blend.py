@@ -67,3 +67,11 @@ def all_blends(stacked: DataFrame, blends: dict = BLENDS) -> DataFrame:
         "UniqueID", *[F.when(F.col(f"__m{i}") == len(w), F.col(f"__s{i}") / sum(w.values())).alias(name)
                       for i, (name, w) in enumerate(weights.items())])
     return wide.unpivot("UniqueID", list(weights), "blend", "Probability1").select("blend", "UniqueID", "Probability1")
+
+
+def submissions(stacked: DataFrame, blends: dict = BLENDS) -> DataFrame:
+    """``(name, UniqueID, Probability1)``: every model's own prediction and every
+    blend, named as the script's prediction vectors are."""
+    own = stacked.select(F.concat("model", F.lit("Pred")).alias("name"), "UniqueID", F.col("p").alias("Probability1"))
+    mixed = all_blends(stacked, blends).select(F.concat("blend", F.lit("Pred")).alias("name"), "UniqueID", "Probability1")
+    return own.unionByName(mixed)

@@ -67,28 +67,27 @@ def with_count(df: DataFrame, keys: list[str], name: str, max_broadcast_rows: in
     return df.join(_checked(count_by(df, keys, name), max_broadcast_rows), keys, "left")
 
 
-def dense_counts(df: DataFrame, row_key: str, col_key: str, name: str = "n",
-                 col_values: list | None = None) -> DataFrame:
+def dense_counts(df: DataFrame, row_key: str, col_key: str, name: str = "n") -> DataFrame:
     """Zero-filled contingency table in long form (every row level x column level).
 
-    Expressed as the contingency table itself - ``groupBy(row).pivot(col)`` -
-    then unpivoted.  Column levels are the distinct values of ``col_key`` (or
-    ``col_values``); Spark refuses more than ``spark.sql.pivotMaxValues`` of
-    them, which is the size bound of this operator.
-    """
+    Column levels are numbered by a range-partitioned rank; each row level is
+    spread over the numbers and meets the counts and the level names by keyed
+    joins.  Nothing but the number of column levels goes to the driver, so only
+    the table itself, rows x columns by its meaning, bounds the levels.  Null
+    levels are left out, as in the script's ``table``."""
+    from newsfeat.operators.textmining import global_rank
+    from newsfeat.session import written_table
     src = df.where(F.col(row_key).isNotNull() & F.col(col_key).isNotNull())
-    g = src.groupBy(row_key)
-    wide = (g.pivot(col_key, col_values) if col_values is not None else g.pivot(col_key)).count()
-    levels = [c for c in wide.columns if c != row_key]
-    wide = wide.select(row_key, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"__v{i}")
-                                  for i, c in enumerate(levels)])
-    stack_args = ", ".join(f"{_sql_literal(v)}, __v{i}" for i, v in enumerate(levels))
-    long = wide.selectExpr(row_key, f"stack({len(levels)}, {stack_args}) as (`{col_key}`, `{name}`)")
-    return long.withColumn(col_key, F.col(col_key).cast(src.schema[col_key].dataType))
-
-
-def _sql_literal(v: str) -> str:
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    counts = written_table(src.groupBy(row_key, col_key).agg(F.count(F.lit(1)).alias("__n")), "contingency")
+    levels = written_table(global_rank(counts.select(col_key).distinct(), [col_key], "__no"), "levels")
+    number = levels.count()
+    if not number:
+        return counts.select(row_key, col_key, F.col("__n").alias(name))
+    numbered = counts.join(levels, col_key).select(row_key, F.col("__no").cast("int").alias("__no"), "__n")
+    grid = counts.select(row_key).distinct().withColumn("__no", F.explode(F.sequence(F.lit(1), F.lit(number))))
+    return (grid.join(numbered, [row_key, "__no"], "left")
+            .join(levels.withColumn("__no", F.col("__no").cast("int")), "__no")
+            .select(row_key, col_key, F.coalesce("__n", F.lit(0)).cast("long").alias(name)))
 
 
 def hour_popularity(df: DataFrame, hour: str = HOUR, label: str = "Popular") -> DataFrame:

@@ -232,6 +232,23 @@ def bag_of_words(headline_tc: DataFrame, summary_tc: DataFrame) -> DataFrame:
     return h.unionByName(s)
 
 
+def bind_columns(bow: DataFrame, frame: DataFrame, columns: list[str], id_col: str,
+                 categories: set[str] = frozenset()) -> DataFrame:
+    """The bag of words bound to metadata columns, in typed long form ``(doc_id,
+    feature, number, level)``: terms and numeric columns have a number, text
+    columns and ``categories`` a level.  A null stays as a row without either.
+    Rows meet by their id, so nothing is joined or shuffled."""
+    def entry(c: str) -> Column:
+        text = c in categories or frame.schema[c].dataType.simpleString() == "string"
+        return F.struct(F.lit(c).alias("feature"),
+                        (F.lit(None) if text else F.col(c)).cast("double").alias("number"),
+                        (F.col(c) if text else F.lit(None)).cast("string").alias("level"))
+
+    meta = frame.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*[entry(c) for c in columns])).alias("e"))
+    terms = bow.select("doc_id", "feature", F.col("value").cast("double").alias("number"), F.lit(None).cast("string").alias("level"))
+    return terms.unionByName(meta.select("doc_id", "e.*"))
+
+
 def n_docs(df: DataFrame) -> int:
     """Corpus size (a scalar metric)."""
     return df.count()

@@ -546,6 +546,26 @@ def q_bow(spark, sf_dir):
                             tmx.remove_sparse_terms(s, ns, fixed.SPARSITY_SUMMARY))
 
 
+BOW_CATEGORIES = {"Hour", "Weekday"}
+
+
+def _bow_frame_sql() -> str:
+    level = [c for c in fixed.BOW_EXTRA_COLUMNS if c in BOW_CATEGORIES | {"NewsDesk", "SectionName", "SubsectionName"}]
+    meta = " UNION ALL ".join(
+        f"SELECT UniqueID AS doc_id, '{c}' AS feature, {'CAST(NULL AS DOUBLE)' if c in level else f'round(CAST({c} AS DOUBLE), 6)'} AS number, "
+        f"{f'CAST({c} AS VARCHAR)' if c in level else 'CAST(NULL AS VARCHAR)'} AS level FROM featc" for c in fixed.BOW_EXTRA_COLUMNS)
+    return (f"SELECT doc_id, feature, CAST(value AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS level FROM ({REGISTRY['bow_features'].sql}) "
+            f"UNION ALL SELECT * FROM ({FEATURE_SQL_PREFIX} {meta})")
+
+
+@register("bow_frame", _bow_frame_sql())
+def q_bow_frame(spark, sf_dir):
+    """Headline and summary terms bound to the 14 metadata columns."""
+    out = tmx.bind_columns(q_bow(spark, sf_dir), ft.model_frame(features(spark, sf_dir)), fixed.BOW_EXTRA_COLUMNS, "UniqueID",
+                           BOW_CATEGORIES)
+    return out.select("doc_id", "feature", r6("number"), "level")
+
+
 # ------------------------------------------------------------ 2.12 evaluation
 
 SCORED_SQL = """WITH scored AS (
@@ -641,16 +661,14 @@ def q_blend(spark, sf_dir):
     return out.select("blend", "UniqueID", r6("Probability1"))
 
 
-SUBMITTED_BLEND = "ens2Sel3BoW1Log"
-
-
-@register("submission", _standin_sql() + ",\n" + _blend_sql({SUBMITTED_BLEND: fixed.BLENDS[SUBMITTED_BLEND]}) +
-          " SELECT UniqueID, round(CASE WHEN m = k THEN s / tot END, 6) AS Probability1 FROM agg")
+@register("submission", _standin_sql() + ",\n" + _blend_sql(fixed.BLENDS) +
+          " SELECT blend || 'Pred' AS name, UniqueID, round(CASE WHEN m = k THEN s / tot END, 6) AS Probability1 FROM agg"
+          " UNION ALL SELECT model || 'Pred' AS name, UniqueID, round(p, 6) AS Probability1 FROM preds")
 def q_submission(spark, sf_dir):
-    pred = bl.blend(standin_predictions(spark, sf_dir), fixed.BLENDS[SUBMITTED_BLEND])
-    path = shared_path(spark, fixed.SUBMISSION_PREFIX + SUBMITTED_BLEND)
-    csvio.write_submission(pred, path)
-    return csvio.read_submission(spark, path).select("UniqueID", r6("Probability1"))
+    """All 13 outputs, written in one go and read back."""
+    path = shared_path(spark, fixed.SUBMISSION_PREFIX + "all")
+    csvio.write_named(bl.submissions(standin_predictions(spark, sf_dir)), path)
+    return csvio.read_named(spark, path, csvio.SUBMISSION_SCHEMA).select("name", "UniqueID", r6("Probability1"))
 
 
 # ------------------------------------------------------------ 2.13 chart data
@@ -731,6 +749,28 @@ def q_ordered_bars_text(spark, sf_dir):
     return tmx.ordered_bars(w).select("term", "freq", F.col("bar_order").cast("long"))
 
 
+def _chart_sql() -> str:
+    parts = []
+    for name, (x, group, facet, labelled) in pipeline.DENSITY_CHARTS.items():
+        inner = _kde_sql(x, group, facet, "Popular IS NOT NULL" if labelled else "TRUE")
+        parts.append(f"SELECT '{name}' AS name, CAST({facet or 'NULL'} AS VARCHAR) AS facet, CAST({group} AS VARCHAR) AS series, "
+                     f"i, x, scaled AS y FROM ({inner})")
+    for name in ("ordered_bars", "ordered_bars_text"):
+        parts.append(f"SELECT '{name}' AS name, NULL AS facet, term AS series, CAST(bar_order AS INTEGER) AS i, "
+                     f"CAST(NULL AS DOUBLE) AS x, round(CAST(freq AS DOUBLE), 6) AS y FROM ({REGISTRY[name].sql})")
+    return " UNION ALL ".join(parts)
+
+
+@register("chart_data", _chart_sql())
+def q_chart_data(spark, sf_dir):
+    """The series of the charts that need no model, written in one go and read back."""
+    bars = {n: REGISTRY[n].run(spark, sf_dir) for n in ("ordered_bars", "ordered_bars_text")}
+    path = shared_path(spark, "charts")
+    csvio.write_named(pipeline.chart_series(features(spark, sf_dir), bars), path, "parquet")
+    schema = spark.createDataFrame([], pipeline.CHART_SCHEMA).schema
+    return csvio.read_named(spark, path, schema, "parquet").select("name", "facet", "series", "i", r6("x"), r6("y"))
+
+
 @register("tfidf_term_totals", _tfidf_sql("SELECT term, round(sum(weight), 6) AS freq FROM w GROUP BY term"))
 def q_tfidf_totals(spark, sf_dir):
     return tmx.term_totals(article_tfidf(spark, sf_dir), "weight").select("term", r6("freq"))
@@ -987,6 +1027,13 @@ def q_oob_importance(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+@register("rf_tuned")
+def q_rf_tuned(spark, sf_dir, num_trees: int = 50):
+    """Cross-validated accuracy of three features-per-split counts."""
+    df = model_table(spark, sf_dir)
+    return md.tune_forest(df, md.feature_columns(df, FULL_EXCLUDE), num_trees, seed=SEED)
+
+
 FLAG_NAMES = [f.name for f in FIXTURE_FLAG_SPECS]
 
 

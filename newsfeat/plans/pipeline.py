@@ -27,6 +27,43 @@ def article_features(articles: DataFrame, flags=None, phrases=fixed.PHRASES,
     return tm.with_temporal_counts(df) if counts else df
 
 
+# Density charts: name -> (value, group, facet, labelled articles only).
+DENSITY_CHARTS = {
+    "logwc": ("LogWC", "Popular", None, True),
+    "logwc_weekday": ("LogWC", "Popular", "DayOfWeek", True),
+    "headline_chars": ("HeadlineCharCount", "Popular", None, True),
+    "headline_words": ("HeadlineWordCount", "Popular", None, True),
+    "daily_articles": ("NumDailyArticles", "Pop", None, False),
+    "daily_section": ("NumDailySectionArticles", "Popular", "SectionName", True),
+    "hourly": ("NumHourlyArticles", "Popular", "Hour", True),
+}
+CHART_SCHEMA = "facet string, series string, i int, x double, y double"
+
+
+def chart_series(feats: DataFrame, bars: dict[str, DataFrame], more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All chart data in one table ``(name, facet, series, i, x, y)``: scaled
+    densities of the article features, ordered bars ``(term, freq, bar_order)``
+    and other tables that have these columns already."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from newsfeat.operators import charts
+    none = F.lit(None)
+    parts = []
+    for name, (x, group, facet, labelled) in DENSITY_CHARTS.items():
+        d = charts.scaled_density(feats.where("Popular IS NOT NULL") if labelled else feats, x, group, facet)
+        parts.append(d.select(F.lit(name).alias("name"), (F.col(facet) if facet else none).cast("string").alias("facet"),
+                              F.col(group).cast("string").alias("series"), F.col("i").cast("int").alias("i"), "x",
+                              F.col("scaled").alias("y")))
+    for name, b in bars.items():
+        parts.append(b.select(F.lit(name).alias("name"), none.cast("string").alias("facet"), F.col("term").alias("series"),
+                              F.col("bar_order").cast("int").alias("i"), none.cast("double").alias("x"),
+                              F.col("freq").cast("double").alias("y")))
+    parts += [df.select(F.lit(name).alias("name"), "facet", "series", "i", "x", "y") for name, df in (more or {}).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def popularity_pipeline(articles: DataFrame, out_dir: str | None = None, *, flags=None,
                         phrases=fixed.PHRASES, rule_kwargs: dict | None = None, stopwords=None,
                         num_trees: int = fixed.RF_TREES, seed: int = 1, kmeans_iter: int = 10,
@@ -111,7 +148,27 @@ def popularity_pipeline(articles: DataFrame, out_dir: str | None = None, *, flag
     outputs = {f"{k}Pred": v.select("UniqueID", F.col("p").alias("Probability1")) for k, v in preds.items()}
     for name, weights in blends.items():
         outputs[f"{name}Pred"] = bl.blend(stacked, weights)
+    # Chart data: densities, term bars, the topics' density over time, importance bars.
+    from newsfeat.operators import charts
+    days = feats.select(F.col("UniqueID").alias("doc_id"), F.datediff(F.to_date("PubDate"), F.lit("1970-01-01").cast("date")).alias("day"))
+    dated = days.join(doc_topics, "doc_id").join(topic_terms, "topic")
+    topic_counts = dated.groupBy("terms").agg(F.count(F.lit(1)).alias("n"))
+    over_time = charts.scaled_density(dated, "day", "terms").join(topic_counts, "terms").select(
+        F.lit(None).cast("string").alias("facet"), F.col("terms").alias("series"), F.col("i").cast("int").alias("i"), "x",
+        (F.col("density") * F.col("n")).alias("y"))
+    full_cols = md.feature_columns(frame, [c for c in full_ex if c in frame.columns])
+    bagged = md.bagged_forest(frame, full_cols, num_trees, seed=seed)
+    importance = tmx.ordered_bars(md.oob_importance(bagged, frame), "importance", "feature").select(
+        F.lit(None).cast("string").alias("facet"), F.col("feature").alias("series"),
+        F.col("bar_order").cast("int").alias("i"), F.lit(None).cast("double").alias("x"), F.col("importance").alias("y"))
+    headline = tmx.frequent_terms(tmx.term_counts(tmx.corpus(feats, "UniqueID", "Headline", stopwords, 1, 1, stemmer)),
+                                  fixed.FREQ_TERMS_HEADLINE_MIN)
+    text = tmx.frequent_terms(w, fixed.FREQ_TERMS_TEXT_MIN_WEIGHT, "weight")
+    series = chart_series(feats, {"headline_terms": tmx.ordered_bars(headline), "text_terms": tmx.ordered_bars(text)},
+                          {"topics_over_time": over_time, "importance": importance})
     if out_dir:
+        base = out_dir.rstrip("/")
         for name, df in outputs.items():
-            csvio.write_submission(df, f"{out_dir.rstrip('/')}/{fixed.SUBMISSION_PREFIX}{name}")
-    return {"features": feats, "model_frame": frame, "topic_terms": topic_terms, **outputs}
+            csvio.write_submission(df, f"{base}/{fixed.SUBMISSION_PREFIX}{name}")
+        csvio.write_named(series, f"{base}/charts", "parquet")
+    return {"features": feats, "model_frame": frame, "topic_terms": topic_terms, "chart_series": series, **outputs}

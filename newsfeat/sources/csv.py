@@ -73,6 +73,36 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(path)
 
 
+def write_named(df: DataFrame, path: str, kind: str = "csv", name_col: str = "name") -> None:
+    """Many outputs in one write: a folder ``name=...`` each, and a manifest of the
+    rows of every output (``path/_manifest``, which readers of ``path`` skip).
+    Rows without a name are an error, since no reader could find them."""
+    from newsfeat.session import written_table
+    held = written_table(df, "named-outputs")  # counted and written from the same rows
+    counts = held.groupBy(name_col).agg(F.count(F.lit(1)).alias("rows"))
+    if not counts.where(F.col(name_col).isNull()).isEmpty():
+        raise ValueError(f"rows without {name_col}")
+    writer = held.write.mode("overwrite").partitionBy(name_col)
+    (writer.option("header", "true") if kind == "csv" else writer).format(kind).save(path)
+    counts.write.mode("overwrite").json(f"{path.rstrip('/')}/_manifest")
+
+
+def read_named(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv",
+               name_col: str = "name") -> DataFrame:
+    """All outputs of ``write_named`` with their names, by partition discovery."""
+    full = T.StructType([*schema.fields, T.StructField(name_col, T.StringType())])
+    reader = spark.read.schema(full)
+    return (reader.option("header", "true") if kind == "csv" else reader).format(kind).load(path)
+
+
+def read_manifest(spark: SparkSession, path: str, name_col: str = "name") -> DataFrame:
+    """``(name, rows)`` of the outputs that were written."""
+    return spark.read.schema(f"{name_col} string, rows long").json(f"{path.rstrip('/')}/_manifest")
+
+
+SUBMISSION_SCHEMA = T.StructType([T.StructField("UniqueID", T.LongType()), T.StructField("Probability1", T.DoubleType())])
+
+
 def write_chart_data(df: DataFrame, path: str) -> None:
     """Chart series are kept as data (Parquet); drawing is not part of the library."""
     df.write.mode("overwrite").parquet(path)

@@ -162,3 +162,7 @@ def test_popularity_pipeline_end_to_end(spark, tmp_path):
         assert len(rows) == n_test and all(0.0 <= r["Probability1"] <= 1.0 for r in rows)
     back = spark.read.option("header", "true").csv(str(tmp_path / "Submission_ens2Sel3BoW1LogPred"))
     assert back.count() == n_test
+    manifest = {r.name: r.rows for r in spark.read.json(str(tmp_path / "charts" / "_manifest")).collect()}
+    assert set(manifest) <= {"logwc", "logwc_weekday", "headline_chars", "headline_words", "daily_articles", "daily_section",
+                             "hourly", "headline_terms", "text_terms", "topics_over_time", "importance"}
+    assert {"logwc", "importance", "topics_over_time"} <= set(manifest) and min(manifest.values()) > 0
