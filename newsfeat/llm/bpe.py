@@ -37,11 +37,19 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The defining merges: join the adjacent parts whose joined bytes have the
     lowest rank, leftmost first, until none has a rank.  For short pieces."""
     parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks)), i) for i in range(len(parts) - 1))
-        if rank == len(ranks):
+    none = len(ranks)
+    joined = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while joined:
+        rank = min(joined)
+        if rank == none:
             break
+        at = joined.index(rank)
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        del joined[at]
+        if at:
+            joined[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+        if at < len(joined):
+            joined[at] = ranks.get(parts[at] + parts[at + 1], none)
     return parts
 
 
@@ -90,15 +98,21 @@ class Encoder:
         size = len(piece)
         at: list[bytes | None] = [None] * size  # the longest token that starts at each position
         for end, token in self.longest.iter(piece[::-1].decode("latin-1")):
-            start = size - 1 - end
-            if at[start] is None or len(token) > len(at[start]):
-                at[start] = token
+            if at[end] is None:  # of the tokens that end together the longest comes first
+                at[end] = token
+        at.reverse()
         dead = bytearray(size + 1)  # positions that no full encoding passes
+        pairs = self.pairs
         taken: list[bytes] = []
         pos, token = 0, at[0]
         while pos < size:
-            while token is not None and (dead[pos + len(token)]
-                                         or taken and not self.compatible(taken[-1], token)):
+            while token is not None:
+                if not dead[pos + len(token)]:
+                    if not taken:
+                        break
+                    known = pairs.get((taken[-1], token))
+                    if known or known is None and self.compatible(taken[-1], token):
+                        break
                 token = self.prefix(token)
             if token is not None:
                 taken.append(token)
