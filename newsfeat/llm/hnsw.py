@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by one navigable small-world graph per shard.
 
 Vectors are dealt to shards by a hash of their id.  A shard's graph is built by
-one task and stored as flat arrays in a table; every block of queries meets
-every shard as a task of its own; the shards' best are merged.
+one task and stored as flat arrays in a table; blocks of queries are sent to
+every shard, whose graph is shipped once per slice of many blocks; the shards'
+best are merged.
 
 The measure is the inner product.  Vectors get one more component that brings
 them to the same length, so that for graph building near means a small angle,
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsfeat.llm.common import read
+from newsfeat.llm.common import partitions, read
 from newsfeat.session import written_table
 
 SHARD_ROWS = 8_192     # vectors of a shard, about
@@ -28,6 +29,7 @@ EF_BUILD = 64          # nodes kept while a node looks for its neighbours
 EF_SEARCH = 128        # nodes kept while a query is answered
 AT_ONCE = 8            # nodes that a step of a walk opens
 QUERY_BLOCK = 256      # queries of a block
+SLICE_BLOCKS = 16      # blocks that share one copy of a shard's graph, about
 TOP = 20
 
 
@@ -152,7 +154,12 @@ def build(vectors: np.ndarray, seed: int, m: int = LINKS, ef: int = EF_BUILD) ->
 
 # ------------------------------------------------------------------------ index
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(vec_id, v, dim)`` of the vectors that take part."""
+    """``(vec_id, v, dim)`` of the vectors that take part.
+
+    Rows with a null id, and vectors that are null, empty or zero or hold a null
+    or non-finite component, take no part; repeated rows stay (they count once
+    later); an empty table gives an empty one.  Other columns are left behind.
+    """
     v = F.col(vec_col).cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
@@ -171,7 +178,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, top: int = TOP
     share it, which is all that a query can return of them; rows that repeat an
     id count once.  Shards of vectors of other lengths are apart.
     """
-    dims = vectors.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    dims = vectors.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))  # a row per vector length
     dealt = vectors.join(F.broadcast(dims), "dim").withColumn("shard", _shard(F.col("vec_id"), F.col("shards")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,19 +213,27 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, ef: int = EF_SE
     of the original vectors.
 
     Blocks of queries are dealt to all shards of their length: a stated query
-    set against all rows.  Each (shard, block) is a task's unit of work.
+    set against all rows.  A slice of up to about ``SLICE_BLOCKS`` blocks meets
+    one copy of a shard's graph, so queries are shuffled once a shard and a graph
+    once a slice; a task streams the blocks of its slices.  An empty index or
+    query set gives no rows; a repeated query row is answered once.
     """
-    width = F.lit(QUERY_BLOCK)
-    blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / width).alias("blocks"))
-    dealt = (queries.join(F.broadcast(blocks), "dim")
-             .groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "blocks")
+    spark = index.sparkSession
+    blocks = (queries.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).alias("blocks"))
+              .withColumn("slices", F.ceil(F.col("blocks") / F.lit(SLICE_BLOCKS)).cast("int")))
+    dealt = (queries.join(F.broadcast(blocks), "dim")  # a row per vector length
+             .groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "slices")
              .agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")))
     shards = index.groupBy("dim").agg(F.max("shards").alias("shards"))
+    key = ["dim", "shard", "slice"]
     wanted = (dealt.join(F.broadcast(shards), "dim")
-              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1))).drop("shards", "blocks"))
+              .select("dim", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"),
+                      F.pmod("block", "slices").alias("slice"), "queries"))
     offered = (index.drop("shards").join(F.broadcast(blocks), "dim")
-               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).drop("blocks"))
-    work = offered.join(wanted, ["dim", "shard", "block"])
+               .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("blocks", "slices"))
+    # Few bytes, much work: a stated number of partitions keeps slices from being joined into few tasks.
+    parts = partitions(spark)
+    work = offered.repartition(parts, *key).join(wanted.repartition(parts, *key), key)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

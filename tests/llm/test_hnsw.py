@@ -63,3 +63,12 @@ def test_odd_vectors(spark):
     assert got[0] == [(8, 2.0), (7, 0.5)] and got[80] == [(9, 6.0)] and set(got) == {0, 80}
     assert run(spark, [None], [[1, 2]]) == {} and run(spark, [], []) == {}
     assert run(spark, [20], [[1, 2]]) == {}
+
+
+def test_slices_of_queries_share_a_graph(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, ids = rng.normal(size=(600, 8)), list(range(0, 6000, 10))
+    whole = run(spark, ids, rows, 200)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(hnsw, "SLICE_BLOCKS", 3)
+    assert len(whole) == 300 and run(spark, ids, rows, 200) == whole
