@@ -3,7 +3,8 @@
 Texts are cut into sentences, sentences are normalised and looked up in a table
 of known licence sentences, and the sequence of identifiers of neighbouring
 known sentences is matched against ordered rules: an earlier rule takes its
-sentences before a later one can.
+sentences before a later one can.  Web addresses, list numbers and copyright
+lines are skipped, so they don't part the sentences around them.
 """
 
 from __future__ import annotations
@@ -62,13 +63,25 @@ SENTENCES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
     "public-domain": "This work is in the public domain",
     "all-rights": "All rights reserved",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
-    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "mit-expat": "Distributed under the MIT License",
+    "isc-title": "ISC License",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "bsd2-title": "BSD 2-Clause License",
+    "bsd3-title": "BSD 3-Clause License",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "gpl-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
 }
 # Licence and the identifiers that make a match, the first rule first.
 RULES = [
+    ("GPL-3.0-only", "full text", ("gpl3-title", "gpl-verbatim")),
+    ("AGPL-3.0-only", "full text", ("agpl3-title", "gpl-verbatim")),
+    ("LGPL-3.0-only", "full text", ("lgpl3-title", "gpl-verbatim")),
     ("Apache-2.0", "full notice", ("apache-header", "apache-use", "apache-copy", "apache-basis", "apache-see")),
     ("Apache-2.0", "header", ("apache-header", "apache-use")),
     ("BSD-3-Clause", "full text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
@@ -90,6 +103,7 @@ RULES = [
     ("MIT", "title", ("mit-title",)),
     ("MIT", "title", ("mit-short",)),
     ("MIT", "grant alone", ("mit-grant",)),
+    ("ISC", "full text", ("isc-grant", "isc-as-is")),
     ("ISC", "grant", ("isc-grant",)),
     ("BSD-3-Clause", "reference", ("bsd-notice",)),
     ("GPL-3.0-only", "reference", ("gpl3-work",)),
@@ -110,12 +124,28 @@ RULES = [
     ("CC0-1.0", "waiver", ("cc0-notice",)),
     ("Unlicense", "notice", ("unlicense",)),
     ("Public-Domain", "notice", ("public-domain",)),
-    ("Apache-2.0", "tag", ("spdx-apache",)),
-    ("MIT", "tag", ("spdx-mit",)),
-    ("GPL-3.0-only", "tag", ("spdx-gpl3",)),
-    ("BSD-3-Clause", "tag", ("spdx-bsd3",)),
+    ("MIT", "reference", ("mit-expat",)),
+    ("ISC", "title", ("isc-title",)),
+    ("BSD-2-Clause", "title", ("bsd2-title",)),
+    ("BSD-3-Clause", "title", ("bsd3-title",)),
+    ("Apache-2.0", "title", ("apache-title",)),
+    ("GPL-3.0-only", "title", ("gpl3-title",)),
+    ("GPL-2.0-only", "title", ("gpl2-title",)),
+    ("LGPL-3.0-only", "title", ("lgpl3-title",)),
+    ("LGPL-2.1-only", "title", ("lgpl21-title",)),
+    ("AGPL-3.0-only", "title", ("agpl3-title",)),
+    ("MPL-2.0", "title", ("mpl2-title",)),
     ("All-Rights-Reserved", "reservation", ("all-rights",)),
 ]
+# Licence identifiers of a tag.  Each is a sentence and a rule of its own.
+TAGS = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-1-Clause", "BSD-2-Clause",
+        "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0",
+        "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only",
+        "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+        "Apache-2.0 OR MIT", "MIT OR Apache-2.0"]
+SENTENCES |= {f"spdx-{tag}": f"SPDX-License-Identifier: {tag}" for tag in TAGS}
+RULES += [(tag, "tag", (f"spdx-{tag}",)) for tag in TAGS]
 # Every known sentence holds one of these (a test sees to it), so texts without
 # any of them have no match and are not cut up.
 MARKERS = "licen[cs]e|licensed|permi|redistribut|warrant|copyright|public domain|free software|rights reserved|mpl"
@@ -124,7 +154,12 @@ _SPACE = r"[ \t\n\r\f]"
 _GAP = r"\n[ \t]*[*#/-]*[ \t]*\n"           # a line that is blank or a comment mark alone
 _WRAP = r"\n[ \t]*(?:[*#/]+|--)?[ \t]*"     # a line break and a comment mark after it
 _STOP = rf"([.!?;:])({_SPACE}+)"            # the end of a sentence
+_URL = r"https?://[^ \t\n\r\f]*[^ \t\n\r\f.,;:!?)>]"
+_LISTED = r"^[ \t\r\f*#/-]*[(]?(?:[0-9]{1,2}|[abd-zABD-Z])[)]"  # "1)", "(a)"; "(c)" is a copyright sign
 _OTHER = "[^a-z0-9]+"
+# Normalised sentences to skip: empty ones, list numbers, copyright lines.
+_SKIPPED = ("^(?:[0-9]{1,2}|[a-z]|[ivx]{2,4}|c [0-9]{4}.{0,200}"
+            "|(?:portions )?(?:c )?copyright (?:c |[^0-9]{0,80}[0-9]{4}).{0,200}|)$")
 # The markers as texts have them: the match is on normalised sentences, so any
 # run of other characters (a wrapped line, a second space) may part two words.
 _MARKED = MARKERS.replace(" ", _OTHER)
@@ -141,7 +176,8 @@ def parts() -> tuple[dict[str, str], dict[str, str]]:
     known: dict[str, str] = {}
     sequence = {}
     for sid, sentence in SENTENCES.items():
-        own = [re.sub(_OTHER, " ", x.lower()).strip() for x in re.split(_STOP.replace("(", "(?:"), sentence)]
+        plain = re.sub(_URL, " ", sentence)
+        own = [re.sub(_OTHER, " ", x.lower()).strip() for x in re.split(_STOP.replace("(", "(?:"), plain)]
         for n, norm in enumerate(own):
             known.setdefault(norm, sid if len(own) == 1 else f"{sid}#{n}")
         sequence[sid] = "".join(f"<{known[norm]}>" for norm in own)
@@ -162,18 +198,20 @@ def rule_sequences() -> list[tuple[str, str, str]]:
 def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, text_hash, reading, pos, norm)``.  Two readings of each text:
     ``lines`` ends sentences at line breaks too, ``joined`` undoes wrapped lines
-    and comment marks (a blank line or a lone comment mark ends a sentence)."""
+    and comment marks (a blank line or a lone comment mark ends a sentence).
+    Skipped sentences are not numbered."""
     text = F.col("text")
     marked = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
               .where(text.rlike(f"(?i){_MARKED}")))
     both = marked.withColumn("way", F.explode(F.array(
         F.struct(F.lit("lines").alias("reading"), text.alias("t")),
         F.struct(F.lit("joined").alias("reading"), F.regexp_replace(F.regexp_replace(text, _GAP, ".\n"), _WRAP, " ").alias("t")))))
-    cut = F.split(F.regexp_replace("way.t", _STOP, "$1\n"), "\n")
-    return (both.select("doc_id", F.xxhash64("text").alias("text_hash"), "way.reading", cut.alias("parts"))
-            .select("doc_id", "text_hash", "reading", F.posexplode_outer("parts").alias("pos", "sentence"))
-            .select("doc_id", "text_hash", "reading", "pos", normalised(F.col("sentence")).alias("norm"))
-            .where("norm <> ''"))
+    cut = F.split(F.regexp_replace(F.regexp_replace("way.t", _URL, " "), _STOP, "$1\n"), "\n")
+    norm = F.transform(cut, lambda x: normalised(F.regexp_replace(x, _LISTED, " ")))
+    return (both.select("doc_id", F.xxhash64("text").alias("text_hash"), "way.reading",
+                        F.filter(norm, lambda x: ~x.rlike(_SKIPPED)).alias("parts"))
+            .select("doc_id", "text_hash", "reading", F.posexplode_outer("parts").alias("pos", "norm"))
+            .where("norm IS NOT NULL"))
 
 
 def licence_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,12 +270,16 @@ def _sql() -> str:
         hits.append(f"SELECT doc_id, {_quoted(licence)} AS licence, {_quoted(rule)} AS rule FROM l{len(RULES)} WHERE h{i}")
     return f"""
 WITH known AS (SELECT * FROM (VALUES {known}) v(sid, norm)),
-m AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '(?i){MARKERS}')),
+m AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '(?i){_MARKED}')),
 w AS (SELECT doc_id, 'lines' AS reading, text AS t FROM m
       UNION ALL SELECT doc_id, 'joined', regexp_replace(regexp_replace(text, '{esc(_GAP)}', '.' || chr(10), 'g'), '{esc(_WRAP)}', ' ', 'g') FROM m),
-c AS (SELECT doc_id, reading, string_split(regexp_replace(t, '{esc(_STOP)}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM w),
-s AS (SELECT doc_id, reading, generate_subscripts(parts, 1) AS pos, unnest(parts) AS sentence FROM c),
-k AS (SELECT doc_id, reading, pos, sid FROM (SELECT doc_id, reading, pos, {norm('sentence')} AS norm FROM s) JOIN known USING (norm)),
+c AS (SELECT doc_id, reading, string_split(regexp_replace(regexp_replace(t, '{esc(_URL)}', ' ', 'g'),
+             '{esc(_STOP)}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM w),
+s AS (SELECT doc_id, reading, generate_subscripts(parts, 1) AS nth, unnest(parts) AS sentence FROM c),
+x AS (SELECT doc_id, reading, nth, {norm(f"regexp_replace(sentence, '{_LISTED}', ' ')")} AS norm FROM s),
+p AS (SELECT doc_id, reading, norm, row_number() OVER (PARTITION BY doc_id, reading ORDER BY nth) AS pos
+      FROM x WHERE NOT regexp_matches(norm, '{_SKIPPED}')),
+k AS (SELECT doc_id, reading, pos, sid FROM p JOIN known USING (norm)),
 n AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, reading ORDER BY pos) AS run FROM k),
 l0 AS (SELECT doc_id, string_agg('<' || sid || '>', '' ORDER BY pos) AS s0 FROM n GROUP BY doc_id, reading, run){chain},
 hit AS ({' UNION '.join(hits)})

@@ -78,3 +78,50 @@ def test_every_rule_fires_alone(spark):
 
 def test_empty_table(spark):
     assert lc.licences(frame(spark, [])).count() == 0
+
+
+def real_texts():
+    """Texts as files carry them: numbered or starred lists, addresses, copyright lines, wrapped."""
+    s = lc.SENTENCES
+
+    def wrap(text, mark=""):
+        return "\n".join(mark + x.rstrip() for x in re.findall(r".{1,60}(?: |$)", text))
+
+    def bsd(marks, keys):
+        return "\n\n".join(["Copyright (c) 2019, A. Nobody and others", s["all-rights"] + ".", wrap(s["bsd-grant"] + ":")]
+                           + [wrap(f"{m} {s[k]}.") for m, k in zip(marks, keys)] + ["THIS SOFTWARE IS PROVIDED AS IT IS."])
+
+    three = ("bsd-source", "bsd-binary", "bsd-name")
+    notice = "\n\n".join([wrap(s["apache-header"] + ";") + "\n" + wrap(s["apache-use"] + ".") + "\n" + s["apache-copy"],
+                          "    http://www.apache.org/licenses/LICENSE-2.0", wrap(s["apache-basis"] + "."), wrap(s["apache-see"] + ".")])
+    mit = "\n\n".join([s["mit-title"], "Copyright (c) 2015 Some Body", "Copyright (c) 2016, 2017 Other Body <o@b.example>",
+                       wrap(s["mit-grant"] + ":"), wrap(s["mit-keep"] + "."), wrap(s["mit-as-is"] + ".")])
+    return [
+        *[(bsd(m, three), "BSD-3-Clause:full text") for m in (("1.", "2.", "3."), ("*", "*", "*"), ("1)", "2)", "3)"), ("(1)", "(2)", "(3)"), ("a.", "b.", "c."))],
+        *[(bsd(m, three[:2]), "BSD-2-Clause:full text") for m in (("1.", "2."), ("-", "-"))],
+        (notice, "Apache-2.0:full notice"), ("\n".join("# " + x for x in notice.split("\n")), "Apache-2.0:full notice"),
+        (mit, "MIT:full text"), ("\n".join(mit.split("\n\n")[:3]) + "\n" + s["mit-grant"] + ":\n", "MIT:title and grant"),
+        (f"{s['isc-title']}\n\nCopyright 2004-2010 X\n\n{wrap(s['isc-grant'])}.\n\n{wrap(s['isc-as-is'])}.", "ISC:full text"),
+        (f"{wrap(s['mpl2-notice'])}. {wrap(s['mpl2-copy'])}.", "MPL-2.0:full notice"),
+        ("   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n", "Apache-2.0:title"),
+        ("  GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n "
+         + wrap(s["gpl-verbatim"]) + ".\n\n  Preamble\n", "GPL-3.0-only:full text"),
+        ("  GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n", "GPL-2.0-only:title"),
+        ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", "GPL-2.0-only:tag"),
+        ("/* SPDX-License-Identifier: LGPL-2.1-or-later */\nint x;", "LGPL-2.1-or-later:tag"),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", "MIT OR Apache-2.0:tag"),
+    ]
+
+
+def test_texts_as_files_carry_them(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(real_texts())]
+    got = {r.doc_id: r.rules.split(",") for r in lc.licences(frame(spark, rows)).collect()}
+    assert [(t, want, got.get(i)) for i, (t, want) in enumerate(real_texts()) if want not in got.get(i, [])] == []
+    want = duckdb.connect().register("documents", pd.DataFrame(rows, columns=["doc_id", "text"])).sql(lc.SQL).fetchall()
+    assert sorted(tuple(r) for r in lc.licences(frame(spark, rows)).collect()) == sorted(want)
+
+
+def test_wrapped_markers_same_as_sql(spark):
+    rows = [(1, "This work is in the public\n  domain."), (2, "All rights\r\nreserved."), (3, "x.\n# All rights\n# reserved.")]
+    want = duckdb.connect().register("documents", pd.DataFrame(rows, columns=["doc_id", "text"])).sql(lc.SQL).fetchall()
+    assert sorted(tuple(r) for r in lc.licences(frame(spark, rows)).collect()) == sorted(want) and len(want) == 3
