@@ -1,4 +1,4 @@
-"""Topics: k-means on sparse TF-IDF rows, nearest-centroid assignment and a
+"""Topics: k-means on sparse TF-IDF rows with transfers, nearest-centroid assignment and a
 top-down hierarchy of terms (LDA: ``lda``)."""
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ def _sparse(size, entries):
     return Vectors.sparse(size, [(e["i"], e["w"]) for e in entries or []])
 
 
-def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1,
-           docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1, docs: DataFrame | None = None,
+           transfers: int = 10, starts: int = 1) -> tuple[DataFrame, DataFrame]:
     """k-means on ``(doc_id, term, w)``; returns ``(doc_id, cluster)`` and the
     centres ``(cluster, term, c)`` without their zeros.
 
@@ -27,9 +27,12 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1,
     bounded by the cut and the mean text length; the terms are numbered, every
     document becomes one sparse vector, and these are written once.  An
     iteration is one scan that sends k partial sums a task; no point is
-    shuffled.  ``docs`` (optional ``doc_id`` table) adds documents with no terms;
-    they go to the centre closest to the origin.  No points: every cluster is
-    null."""
+    shuffled.  Lloyd's iterations are followed by at most ``transfers`` passes of
+    ``transfer``; of several ``starts`` (seeds from ``seed`` on) the one with the
+    least within-cluster sum of squares is returned.
+
+    ``docs`` (optional ``doc_id`` table) adds documents with no terms; they go to
+    the centre closest to the origin.  No points: every cluster is null."""
     spark = points.sparkSession
     names = [r.term for r in points.select("term").distinct().orderBy("term").collect()]
     if not names:
@@ -41,16 +44,108 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 10, seed: int = 1,
             .agg(F.array_sort(F.collect_list(F.struct("i", F.col("w").cast("double").alias("w")))).alias("entries")))
     if docs is not None:
         rows = docs.select("doc_id").distinct().join(rows, "doc_id", "left")
-    vectors = written_table(rows.select("doc_id", F.col("entries").isNotNull().alias("any"),
+    vectors = written_table(rows.select("doc_id", F.col("entries").isNotNull().alias("any"), F.col("entries.i").alias("i"),
+                                        F.col("entries.w").alias("w"),
                                         _sparse(F.lit(len(names)), "entries").alias("features")), "kmeans")
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(
-        vectors.where("any"))
-    centers = [(c, names[i], float(x)) for c, center in enumerate(model.clusterCenters())
-               for i, x in enumerate(center) if x]
-    return (model.transform(vectors).select("doc_id", F.col("cluster").cast("int").alias("cluster")),
+    best = None
+    for start in range(starts):
+        model = KMeans(k=k, maxIter=max_iter, seed=seed + start, featuresCol="features", predictionCol="cluster").fit(
+            vectors.where("any"))
+        begun = model.transform(vectors.where("any")).select("doc_id", "i", "w", F.col("cluster").cast("int").alias("cluster"))
+        found = transfer(begun, len(model.clusterCenters()), len(names), transfers, seed + start)
+        if best is None or found[2] < best[2]:
+            best = found
+    assigned, means, _ = best
+    centers = [(c, names[i], float(x)) for c, center in enumerate(means) for i, x in enumerate(center) if x]
+    lonely = vectors.where("NOT any").select("doc_id", F.lit(int((means ** 2).sum(1).argmin())).alias("cluster"))
+    return (assigned.select("doc_id", "cluster").unionByName(lonely),
             spark.createDataFrame(centers, "cluster int, term string, c double"))
 
 
+# ------------------------------------------------------ transfers between clusters
+HALVINGS = 8  # a pass may apply all of its transfers, a half, a quarter ... or the best one alone
+
+
+def _sums(rows: DataFrame, k: int, size: int, by: list[str], shape: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums of ``(*by, sign, i, w)`` rows, the last of ``by`` a cluster."""
+    n, total = np.zeros(shape + (k,)), np.zeros(shape + (k, size))
+    for r in rows.groupBy(*by).agg(F.sum("sign").alias("n")).collect():
+        n[tuple(r[x] for x in by)] = r.n
+    long = rows.select(*by, "sign", F.explode(F.arrays_zip("i", "w")).alias("e"))
+    for r in long.groupBy(*by, F.col("e.i").alias("i")).agg(F.sum(F.col("sign") * F.col("e.w")).alias("s")).collect():
+        total[tuple(r[x] for x in by) + (r.i,)] = r.s
+    return n, total
+
+
+def transfer(state: DataFrame, k: int, size: int, passes: int = 10, seed: int = 1) -> tuple[DataFrame, np.ndarray, float]:
+    """The transfer step of Hartigan and Wong in batches, on ``(doc_id, i, w,
+    cluster)`` with a row a document.  Returns the same columns, the cluster
+    means and the within-cluster sum of squares.
+
+    A point in a cluster of n points adds n / (n - 1) times its squared distance
+    to it, and would add n / (n + 1) times that to another cluster; it is to move
+    where the second is less.  Moves made together can cost more than they save,
+    so a pass tries all of them, a half, a quarter and so on (by a hash of the
+    id) and the best one alone, which always saves, and applies what saves most:
+    the sum of squares follows from the clusters' sums and counts, so it is known
+    without another look at the points.  It never rises; a pass without moves is
+    the end.  Clusters of one point keep it.
+
+    The driver holds (``HALVINGS`` + 1) x k x size sums; points stay in Spark.
+    """
+    squares = state.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+    n, total = _sums(state.withColumn("sign", F.lit(1.0)), k, size, ["cluster"], ())
+
+    def within(counts, sums) -> float:
+        return squares - ((sums ** 2).sum(-1) / np.maximum(counts, 1)).sum(-1)
+
+    cost = float(within(n, total))
+    schema = "doc_id {}, i array<int>, w array<double>, cluster int, to int, gain double".format(
+        state.schema["doc_id"].dataType.simpleString())
+    for turn in range(passes):
+        means, counts = total / np.maximum(n, 1)[:, None], n
+        moved = written_table(state.mapInPandas(lambda pdfs: (_moves(pdf, means, counts) for pdf in pdfs), schema), "transfers")
+        moves = moved.where("to >= 0")
+        first = moves.orderBy(F.desc("gain"), "doc_id").select("doc_id").first()
+        if first is None:
+            break
+        drawn = (F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(turn)), F.lit(1 << 20)) + 1) / F.lit(float(1 << 20))
+        level = F.when(F.col("doc_id").eqNullSafe(F.lit(first.doc_id)), HALVINGS).otherwise(
+            F.least(F.floor(-F.log2(drawn)), F.lit(HALVINGS - 1))).cast("int")
+        sides = moves.withColumn("level", level).select("level", "i", "w", F.explode(F.array(
+            F.struct(F.col("cluster").alias("c"), F.lit(-1.0).alias("sign")),
+            F.struct(F.col("to").alias("c"), F.lit(1.0).alias("sign")))).alias("side")).select("level", "i", "w", "side.*")
+        dn, dtotal = _sums(sides, k, size, ["level", "c"], (HALVINGS + 1,))
+        after_n = n + np.cumsum(dn[::-1], 0)[::-1]           # of the moves from a level on
+        after = total + np.cumsum(dtotal[::-1], 0)[::-1]
+        costs = within(after_n, after)
+        chosen = int(costs.argmin())
+        if costs[chosen] >= cost:
+            break  # a saving below the rounding of the sums
+        n, total, cost = after_n[chosen], after[chosen], float(costs[chosen])
+        state = moved.select("doc_id", "i", "w", F.when((F.col("to") >= 0) & (level >= chosen), F.col("to"))
+                             .otherwise(F.col("cluster")).alias("cluster"))
+    return state, total / np.maximum(n, 1)[:, None], cost
+
+
+def _moves(pdf: pd.DataFrame, means: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """Each document with the cluster it would move to (-1: none) and the saving."""
+    k, own, each = len(means), pdf["cluster"].to_numpy(), np.arange(len(pdf))
+    row = np.repeat(each, [len(x) for x in pdf["i"]])
+    i = np.concatenate([*pdf["i"], np.zeros(0, int)]).astype(int)
+    w = np.concatenate([*pdf["w"], np.zeros(0)])
+    products = np.stack([np.bincount(row, w * means[c, i], minlength=len(pdf)) for c in range(k)], 1)
+    far = np.bincount(row, w * w, minlength=len(pdf))[:, None] - 2 * products + (means ** 2).sum(1)
+    far = np.maximum(far, 0)
+    stays = np.where(counts[own] > 1, far[each, own] * counts[own] / np.maximum(counts[own] - 1, 1), 0)
+    goes = far * counts / (counts + 1)
+    goes[each, own] = np.inf
+    to = goes.argmin(1)
+    gain = stays - goes[each, to]
+    found = gain > 1e-9 * (1 + stays)
+    return pdf.assign(to=np.where(found, to, -1).astype("int32"), gain=np.where(found, gain, 0.0))
+
+
 def center_top_terms(centers: DataFrame, n: int) -> DataFrame:
     """Top ``n`` terms of each centre by weight: ``(cluster, rank, term, c)``
     (two-stage top-k, see ``textmining.top_k_per_group``)."""

@@ -1,3 +1,6 @@
+import itertools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsfeat.operators import models as md
@@ -94,6 +97,57 @@ def test_kmeans_assigns_every_document_once(spark):
     assert got[0] != got[20]
 
 
+def within(points, labels):
+    return sum(((points[labels == c] - points[labels == c].mean(0)) ** 2).sum() for c in np.unique(labels))
+
+
+def test_transfers_never_cost_and_leave_no_single_move(spark):
+    """Against a plain loop over all points and clusters, from bad and from Lloyd's ends."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        points = np.round(rng.normal(size=(60, 3)) + rng.integers(0, 3, (60, 1)), 3)
+        begin = rng.integers(0, 4, 60)
+        if seed:  # plain Lloyd to its end
+            for _ in range(100):
+                means = np.stack([points[begin == c].mean(0) if (begin == c).any() else points[c] for c in range(4)])
+                begin = ((points[:, None] - means) ** 2).sum(2).argmin(1)
+        state = spark.createDataFrame([(d, [0, 1, 2], points[d].tolist(), int(begin[d])) for d in range(60)],
+                                      "doc_id long, i array<int>, w array<double>, cluster int")
+        got, means, cost = tp.transfer(state, 4, 3, passes=40, seed=seed)
+        labels = np.array([r.cluster for r in sorted(got.collect())])
+        assert abs(cost - within(points, labels)) < 1e-6 and cost <= within(points, begin) + 1e-9
+        assert np.allclose(means[labels], np.stack([points[labels == c].mean(0) for c in labels]))
+        for d in range(60):
+            for c in range(4):
+                other = labels.copy()
+                other[d] = c
+                assert within(points, other) >= cost - 1e-6
+
+
+def test_transfers_beat_a_stuck_lloyd(spark):
+    """3 is nearer to the mean of {0, 0, 3} than to 6, so Lloyd stays there; moving it to the lone point saves."""
+    points = [0.0, 0.0, 3.0, 6.0]
+    state = spark.createDataFrame([(d, [0], [x], int(d == 3)) for d, x in enumerate(points)],
+                                  "doc_id long, i array<int>, w array<double>, cluster int")
+    got, _, cost = tp.transfer(state, 2, 1)
+    assert cost < within(np.array(points)[:, None], np.array([0, 0, 0, 1]))
+    assert cost == min(within(np.array(points)[:, None], np.array(x)) for x in itertools.product((0, 1), repeat=4))
+    assert len({r.cluster for r in got.collect()}) == 2
+
+
+def test_kmeans_starts_keep_the_least_cost(spark):
+    rows = [(d, f"t{d % 5}", 1.0 + d % 3) for d in range(40)]
+    pts = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    dense = np.zeros((40, 5))
+    for d, t, w in rows:
+        dense[d, int(t[1:])] = w
+
+    def cost(starts):
+        labels = {r.doc_id: r.cluster for r in tp.kmeans(pts, 3, 2, seed=1, starts=starts)[0].collect()}
+        return within(dense, np.array([labels[d] for d in range(40)]))
+    assert cost(3) <= cost(1) + 1e-9
+
+
 def test_kmeans_beats_chance_on_embeddings(spark):
     from newsfeat.sources import tables
     e = tables.embeddings(spark, SF_SMALL)
