@@ -1,9 +1,9 @@
 """English stemming (the published Porter2 / Snowball English algorithm).
 
-No stemmer ships with Spark, so this is the one piece of per-token Python in
-the library.  It runs inside an Arrow-batched ``pandas_udf`` over whole token
-arrays (one call per batch of documents, no shuffle), memoised per worker
-process because the vocabulary is far smaller than the token stream.
+No stemmer ships with Spark, so this is Python, but not per token: a batch of
+token arrays is dictionary-encoded by Arrow, each distinct token of the batch is
+stemmed (memoised per worker process), and the stems are taken back by index.
+A document's tokens never leave its row, so nothing is shuffled.
 ``stem_vocabulary`` is the vocabulary job: distinct tokens -> stems.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,14 +158,20 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+def _stems(tokens: pa.Array) -> pa.Array:
+    words = tokens.dictionary_encode()
+    return pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
 
 
-@F.pandas_udf(T.StringType())
-def stem_token(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else stem(t))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(tokens: pa.Array) -> pa.Array:
+    """Null arrays and null tokens stay null."""
+    return pa.ListArray.from_arrays(tokens.offsets, _stems(tokens.values), mask=tokens.is_null())
+
+
+@F.arrow_udf(T.StringType())
+def stem_token(tokens: pa.Array) -> pa.Array:
+    return _stems(tokens)
 
 
 def stemmer(df: DataFrame, col: str) -> DataFrame:

@@ -67,11 +67,13 @@ def long_terms(terms: Column, min_chars: int = MIN_TERM_CHARS) -> Column:
 def corpus(df: DataFrame, id_col: str, text_col: str, stopwords=None, n_min: int = 1, n_max: int = 1,
            stemmer=None) -> DataFrame:
     """``(doc_id, terms)`` - terms of the matrix for every document (empty
-    documents kept: they count in ``N``)."""
+    documents kept: they count in ``N``).  Stemmed tokens are written once: a
+    corpus is read for its vocabulary and again for its terms."""
+    from newsfeat.session import written_table
     toks = clean_tokens(F.col(text_col), stopwords)
     out = df.select(F.col(id_col).alias("doc_id"), toks.alias("tokens"))
     if stemmer is not None:
-        out = stemmer(out, "tokens")
+        out = written_table(stemmer(out, "tokens"), "stems")
     return out.select("doc_id", long_terms(ngrams(F.col("tokens"), n_min, n_max)).alias("terms"))
 
 

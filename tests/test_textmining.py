@@ -68,3 +68,19 @@ def test_global_rank_matches_sorted_order(spark):
     got = {r["term"]: r["bar_order"] for r in tmx.ordered_bars(df).collect()}
     want = {t: i + 1 for i, (t, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])))}
     assert got == want
+
+
+def test_stems_of_batches_with_nulls(spark):
+    """Arrays over several Arrow batches against the stemmer itself, token by token."""
+    from newsfeat.functions import stem as st
+    words = ["running", "runs", "news", "", None, "generalization", "é", "skies", "y"]
+    rows = [(i, None if i % 11 == 3 else [words[(i * 7 + j) % len(words)] for j in range(i % 6)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, toks array<string>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {r.id: r.toks for r in st.stemmer(df, "toks").collect()}
+        single = {r.token: r.stem for r in st.stem_vocabulary(F.col("toks"), df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: None if t is None else [st.stem(w) for w in t] for i, t in rows}
+    assert single == {w: st.stem(w) for w in words if w is not None}
