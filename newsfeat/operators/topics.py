@@ -67,14 +67,14 @@ HALVINGS = 8  # a pass may apply all of its transfers, a half, a quarter ... or
 
 
 def _sums(rows: DataFrame, k: int, size: int, by: list[str], shape: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and sums of ``(*by, sign, i, w)`` rows, the last of ``by`` a cluster."""
-    n, total = np.zeros(shape + (k,)), np.zeros(shape + (k, size))
-    for r in rows.groupBy(*by).agg(F.sum("sign").alias("n")).collect():
-        n[tuple(r[x] for x in by)] = r.n
-    long = rows.select(*by, "sign", F.explode(F.arrays_zip("i", "w")).alias("e"))
-    for r in long.groupBy(*by, F.col("e.i").alias("i")).agg(F.sum(F.col("sign") * F.col("e.w")).alias("s")).collect():
-        total[tuple(r[x] for x in by) + (r.i,)] = r.s
-    return n, total
+    """Counts and sums of ``(*by, sign, i, w)`` rows, the last of ``by`` a cluster.
+    The count is the sum of one more number of each row, a 1."""
+    entries = F.arrays_zip(F.concat("i", F.array(F.lit(size))).alias("i"), F.concat("w", F.array(F.lit(1.0))).alias("w"))
+    long = rows.select(*by, "sign", F.explode(entries).alias("e"))
+    found = long.groupBy(*by, F.col("e.i").alias("i")).agg(F.sum(F.col("sign") * F.col("e.w")).alias("s")).toPandas()
+    total = np.zeros(shape + (k, size + 1))
+    total[tuple(found[x] for x in [*by, "i"])] = found["s"]
+    return total[..., size], total[..., :size]
 
 
 def transfer(state: DataFrame, k: int, size: int, passes: int = 10, seed: int = 1) -> tuple[DataFrame, np.ndarray, float]:
