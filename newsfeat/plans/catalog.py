@@ -20,6 +20,7 @@ from newsfeat.functions import text as tx
 from newsfeat.operators import blend as bl
 from newsfeat.operators import charts
 from newsfeat.operators import evaluate as ev
+from newsfeat.operators import hierarchy
 from newsfeat.operators import lda
 from newsfeat.operators import models as md
 from newsfeat.operators import textmining as tmx
@@ -30,7 +31,7 @@ from newsfeat.operators import sets
 from newsfeat.operators import temporal as tm
 from newsfeat.plans import oracle as o
 from newsfeat.plans import pipeline
-from newsfeat.session import shared_path
+from newsfeat.session import shared_path, written_table
 from newsfeat.sources import csv as csvio
 from newsfeat.sources import fixtures as fx
 from newsfeat.sources import tables
@@ -839,17 +840,36 @@ def q_topic_density(spark, sf_dir):
                                           (F.col("density") * F.col("n")).alias("count"))
 
 
+def term_profiles(spark, sf_dir):
+    """The n-gram TF-IDF terms (sparsity-cut) as rows over documents, columns
+    standardised."""
+    w = article_tfidf(spark, sf_dir, stemmed=True)
+    pts = written_table(w.select(F.col("term").alias("id"), F.col("doc_id").cast("string").alias("feature"),
+                                 F.col("weight").alias("w")), "term-profiles")
+    return tp.column_scaled(pts, pts.select("id").distinct().count())
+
+
+@register("term_merges")
+def q_term_merges(spark, sf_dir):
+    """Bottom-up Ward merges of the terms' clustering features."""
+    merges, _ = hierarchy.ward_tree(term_profiles(spark, sf_dir), seed=SEED)
+    return merges
+
+
+@register("term_nodes")
+def q_term_nodes(spark, sf_dir):
+    """The clustering feature (node of ``term_merges``) of each term."""
+    members = hierarchy.nodes(term_profiles(spark, sf_dir), seed=SEED)
+    return members.select(F.col("id").alias("term"), "node")
+
+
 @register("term_hierarchy")
 def q_term_hierarchy(spark, sf_dir):
     """Terms of the n-gram TF-IDF matrix (sparsity-cut) clustered top-down over
     their document profiles until no leaf holds two different profiles, columns
     standardised (re-aimed hierarchical
     clustering: the all-pairs distance matrix is never formed)."""
-    w = article_tfidf(spark, sf_dir, stemmed=True)
-    pts = w.select(F.col("term").alias("id"), F.col("doc_id").cast("string").alias("feature"),
-                   F.col("weight").alias("w"))
-    n_terms = pts.select("id").distinct().count()
-    tree = tp.bisecting_kmeans(tp.column_scaled(pts, n_terms), seed=SEED)
+    tree = tp.bisecting_kmeans(term_profiles(spark, sf_dir), seed=SEED)
     return tree.select(F.col("id").alias("term"), "path")
 
 

@@ -34,7 +34,7 @@ def test_every_query_has_sql_or_is_model_output():
     rows_only = set(catalog.queries()) - set(catalog.oracle_sql())
     allowed = {"kmeans_topics", "cluster_top_terms", "oob_evaluation", "oob_importance", "rf_tuned", "lda_topics", "lda_topic_terms", "topic_series",
                "topic_density", "rf_full", "rf_selected", "rf_kmeans", "rf_lda", "rf_bow", "logistic",
-               "rf_oob_eval", "permutation_importance", "stem_vocabulary", "rf_tuned", "term_hierarchy"}
+               "rf_oob_eval", "permutation_importance", "stem_vocabulary", "rf_tuned", "term_hierarchy", "term_merges", "term_nodes"}
     assert rows_only <= allowed
 
 
