@@ -9,6 +9,7 @@ a component, and the stars of all shards are joined into components.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from newsfeat.session import written_table
 SEED = 42                 # of XXH64 over a shingle
 SAMPLE = 16_384           # fingerprints that the shard tree is fitted on
 SHARD_ROWS = 4_096        # distinct fingerprints aimed at per shard
+SHARD_BOUND = 65_536      # rows above which a shard gets a tree of its own
 LEAF_ROWS = 192           # below this a shard's tree compares all pairs
 
 
@@ -172,35 +174,78 @@ def _near(bits: np.ndarray, distance: int, block: int = 512) -> Iterator[tuple[n
                 yield lo[keep] + a, hi[keep] + b
 
 
+def split_large(dealt: DataFrame, reach: int, sample: int, shard_rows: int, bound: int) -> DataFrame:
+    """Rows ``(shard, fp)`` with every shard above ``bound`` rows that can be
+    split dealt again, by a tree fitted in a task on about ``sample`` of the
+    shard's own rows, until none is left.  Rows of a large shard meet its tree
+    in salted parts of about ``bound`` rows; no tree reaches the driver."""
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        points = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+        tree, leaves = fit_tree(points, max(8, shard_rows * len(points) / int(pdf["n"].iloc[0])), reach)
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree)], "leaves": [leaves]})
+
+    def deal(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        fps = rows["fp"].to_numpy(np.int64)
+        tree = pickle.loads(trees["tree"].iloc[0])
+        parts = [(f"{key[0]}.{sub}", fps[at]) for sub, at in route(tree, fps.view(np.uint64), reach) if len(at)]
+        return pd.DataFrame({"shard": [name for name, own in parts for _ in own],
+                             "fp": np.concatenate([own for _, own in parts])})
+
+    done = []
+    while True:
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+        large = written_table(sizes.where(F.col("n") > bound), "simhash-large")
+        if large.isEmpty():
+            break
+        rows = dealt.join(large, "shard")
+        picked = rows.where(F.pmod(F.xxhash64("fp", "shard"), "n") < sample)
+        trees = written_table(picked.groupBy("shard").applyInPandas(fit, "shard string, tree binary, leaves int")
+                              .where("leaves > 1").join(large, "shard"), "simhash-trees")
+        parts = F.ceil(F.col("n") / F.lit(bound)).cast("int")
+        salted = (rows.join(trees.select("shard"), "shard", "left_semi")
+                  .select("shard", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("salt"), "fp"))
+        spread = trees.select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "tree")
+        again = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(
+            deal, "shard string, fp long")
+        # What needs no split, or cannot be split, leaves the rounds.
+        done.append(dealt.join(trees.select("shard"), "shard", "left_anti"))
+        dealt = written_table(again, "simhash-dealt")
+    for rest in done:
+        dealt = dealt.unionByName(rest)
+    return dealt
+
+
 def fingerprint_links(distinct: DataFrame, distance: int = 2, sample: int = SAMPLE,
-                      shard_rows: int = SHARD_ROWS) -> DataFrame:
+                      shard_rows: int = SHARD_ROWS, bound: int = SHARD_BOUND) -> DataFrame:
     """``(a, b)`` links that span the same components as all pairs of the
     distinct fingerprints ``fp`` within ``distance`` bits.
 
-    The tree is fitted on ``sample`` fingerprints, taken by hash order; every
-    fingerprint is then routed through it.  The sample only shapes the shards:
-    found pairs don't depend on it.
+    The first tree is fitted on ``sample`` fingerprints, taken by hash order;
+    every fingerprint is then routed through it, and shards above ``bound`` rows
+    get trees of their own.  Samples only shape the shards: found pairs don't
+    depend on them.
     """
     spark = distinct.sparkSession
     rows = distinct.count()
     chosen = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     points = np.array(chosen, np.int64).view(np.uint64)
     reach = (distance + 1) // 2
-    tree, shards = fit_tree(points, max(8, shard_rows * len(points) / max(rows, 1)), reach)
+    tree, _ = fit_tree(points, max(8, shard_rows * len(points) / max(rows, 1)), reach)
     sent = spark.sparkContext.broadcast(tree)  # at most 2 x sample nodes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for shard, at in route(sent.value, fps.view(np.uint64), reach):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(fps[at])],
+                yield pa.RecordBatch.from_arrays([pa.array([str(shard)] * len(at), pa.string()), pa.array(fps[at])],
                                                  names=["shard", "fp"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _stars(np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64), distance)
         return pd.DataFrame({"a": a, "b": b})
 
-    return (distinct.select("fp").mapInArrow(deal, "shard int, fp long")
+    dealt = written_table(distinct.select("fp").mapInArrow(deal, "shard string, fp long"), "simhash-dealt")
+    return (split_large(dealt, reach, sample, shard_rows, bound)
             .groupBy("shard").applyInPandas(meet, "a long, b long"))
 
 

@@ -64,7 +64,8 @@ def test_fingerprints_and_components(spark, texts):
     assert have == want
 
 
-def test_links_of_a_dense_cluster_span_all_pairs(spark):
+@pytest.mark.parametrize("sample, shard_rows, bound", [(300, 200, 65_536), (64, 100, 150), (16, 50, 60)])
+def test_links_of_a_dense_cluster_span_all_pairs(spark, sample, shard_rows, bound):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, 1, np.uint64)
     flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 5)).astype(np.uint64),
@@ -72,7 +73,7 @@ def test_links_of_a_dense_cluster_span_all_pairs(spark):
     other = rng.integers(0, 2**63, 1500, np.uint64)
     fps = np.unique(np.concatenate([centre ^ flips, other, other ^ np.uint64(3), other ^ np.uint64(1 << 60 | 7)]))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    links = simhash.fingerprint_links(df, sample=300, shard_rows=200)
+    links = simhash.fingerprint_links(df, sample=sample, shard_rows=shard_rows, bound=bound).cache()
     got = {r.node: r.root for r in connected_components(links).collect()}
     label = {int(x): int(x) for x in fps.view(np.int64)}
 
@@ -90,6 +91,16 @@ def test_links_of_a_dense_cluster_span_all_pairs(spark):
     assert rows < 40 * len(fps)  # stars, not pairs
 
 
+def test_large_shards_are_dealt_again(spark):
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 2**63, 3000, np.uint64)).view(np.int64)
+    dealt = spark.createDataFrame([("0", int(x)) for x in fps] + [("1", int(x)) for x in fps[:40]], "shard string, fp long")
+    got = simhash.split_large(dealt, 1, 500, 200, 400).toPandas()
+    sizes = got["shard"].value_counts()
+    assert len(sizes) > 4 and sizes.max() < 1500 and set(got["fp"]) == set(fps.tolist())
+    assert sizes["1"] == 40 and "0" not in sizes
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     rows = [(3, "x y z", "en"), (1, "x Y z", "fr"), (1, "x Y z", "fr"), (2, "other words here", "en"),
             (5, None, "de"), (4, "", "de"), (None, "x y z", "en"), (None, "alone in its group", "en")]
