@@ -1,8 +1,11 @@
 """Held-out accuracy, spans, Viterbi against brute force, odd rows."""
 
 import itertools
+import math
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -76,3 +79,97 @@ def test_nothing_learned_and_empty_table(spark):
     assert li.label_languages(df, li.fit(df)).first()["__lang"].lang == "und"
     none = spark.createDataFrame([], DOCS)
     assert li.label_languages(none, li.fit(none)).count() == 0
+
+
+# ------------------------------------------------ the whole query, letter by letter
+def plain_words(text):
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and unicodedata.category(text[end])[0] in "LM":
+            end += 1
+        out += [(a, min(a + li.LONGEST, end)) for a in range(at, end, li.LONGEST)]
+        at = max(end, at + 1)
+    return [(a, b) for a, b in out if any(unicodedata.category(c)[0] == "L" for c in text[a:b])]
+
+
+def plain_buckets(word):
+    low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word]
+    edged = [1, *low, 1]
+    for i in range(len(edged)):
+        h = 0
+        for n, c in enumerate(edged[i:i + max(li.ORDERS)], 1):
+            h = (h * 0x9E3779B97F4A7C15 + c + n) % 2**64
+            if n in li.ORDERS:
+                yield ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 48) % li.BUCKETS
+
+
+def plain_script(c):
+    return [name for start, name in li.SCRIPTS if start <= ord(c)][-1]
+
+
+def plain_labels(rows):
+    """(lang, score, spans) of each text, learnt from the rows outside the fold."""
+    grams, scripts = {}, {}
+    for i, text, lang in rows:
+        if i is not None and text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for a, b in plain_words(text):
+                grams.setdefault(lang, Counter()).update(plain_buckets(text[a:b]))
+                scripts.setdefault(lang, Counter())[plain_script(text[a])] += 1
+    names = sorted(grams)
+    total = {lang: 0.5 * li.BUCKETS + sum(grams[lang].values()) for lang in names}
+    used = {lang: {s for s, n in scripts[lang].items() if n >= 0.02 * sum(scripts[lang].values())} for lang in names}
+    out = []
+    for _, text, _ in rows:
+        found = plain_words(text or "")
+        if not found or not names:
+            out.append(("und", 0.0, []))
+            continue
+        best, back = None, []
+        for a, b in found:
+            word = text[a:b]
+            say = [sum(math.log((grams[lang][g] + 0.5) / total[lang]) for g in plain_buckets(word)) for lang in names]
+            say = [max(x - max(say), -li.WORD_SAY) for x in say]
+            script = plain_script(word[0] if unicodedata.category(word[0])[0] == "L" else word[-1])
+            if not any(script in used[lang] for lang in names):
+                say = [0.0] * len(names)
+            else:
+                say = [x if script in used[lang] else -li.WORD_SAY - 50 for x, lang in zip(say, names)]
+            say = [x - max(say) for x in say]
+            if best is None:
+                best = say
+                continue
+            top = best.index(max(best))
+            back.append([top if best[top] - li.SWITCH > x else k for k, x in enumerate(best)])
+            best = [max(x, best[top] - li.SWITCH) + y for x, y in zip(best, say)]
+        path = [best.index(max(best))]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        path.reverse()
+        weight = Counter()
+        for (a, b), k in zip(found, path):
+            weight[k] += b - a
+        most = min(weight, key=lambda k: (-weight[k], k))
+        spans = [(found[g[0]][0], found[g[-1]][1], names[k]) for k, g in
+                 ((k, list(g)) for k, g in itertools.groupby(range(len(path)), key=path.__getitem__))]
+        out.append((names[most], weight[most] / sum(weight.values()), spans))
+    return out
+
+
+def test_whole_query_same_as_plain_version(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [r[:3] for r in corpus(120)]
+    rows += [(1000 + i, " ".join(words(rng, rng.choice(list(SYLLABLES)), rng.randint(1, 6)) for _ in range(5)), None) for i in range(40)]
+    rows += [(2000, None, "en"), (2001, "", "de"), (2002, "1 2 \u0301", None), (2003, "漢字 the über ов", "fr"),
+             (2004, "x" * 100, None), (2005, "İstanbul \u0301a", "de"), (None, "the ing", "de"), (1, "the ing er", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = li.q_langid(spark, str(tmp_path)).collect()
+    want = plain_labels(rows)
+
+    def digest(i, held, found):
+        return (-1 if i is None else i, held, found[0], round(found[1], 9), len(found[2]))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, round(r.score, 9), r.n_spans) for r in got) == sorted(
+        digest(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, w) for (i, _, _), w in zip(rows, want))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spans = [[tuple(s) for s in r["__lang"].spans] for r in li.label_languages(df, li.fit(df)).collect()]
+    assert sorted(map(str, spans)) == sorted(str(w[2]) for w in want)
