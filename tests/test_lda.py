@@ -91,3 +91,25 @@ def test_no_document_with_terms(spark):
     doc_topics, terms = lda.lda_topics(empty, 2)
     assert sorted((r.doc_id or 0, r.topic) for r in doc_topics.collect()) == [(0, None), (1, None)] and terms.collect() == []
     assert lda.lda_topics(empty.limit(0), 2)[0].count() == 0
+
+
+def test_block_in_stretches_equals_whole_block():
+    rng = np.random.default_rng(1)
+    docs = np.unique(np.sort(rng.integers(0, 60, 900)), return_inverse=True)[1]
+    i = np.unique(rng.integers(0, 100, 900), return_inverse=True)[1]
+    n, gamma = rng.integers(1, 5, 900).astype(float), np.ones((docs.max() + 1, 4))
+    beta = rng.random((i.max() + 1, 4))
+    whole = lda.block_step(docs, i, n, beta, gamma, 0.5, step=10_000)
+    for step in (1, 50, 900):
+        assert all(np.allclose(x, y, rtol=1e-10) for x, y in zip(whole, lda.block_step(docs, i, n, beta, gamma, 0.5, step=step)))
+
+
+def test_tables_of_earlier_iterations_are_deleted(spark):
+    import os
+
+    from newsfeat.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    lda.fit_lda(corpus(spark, 20)[1], 3, 4, 7)
+    left = [x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before]
+    assert sorted(left) == ["newsfeat-lda-blocks", "newsfeat-lda-gammas", "newsfeat-lda-terms", "newsfeat-lda-weights"]
