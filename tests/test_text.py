@@ -91,3 +91,16 @@ def test_lower_pattern_keeps_escapes_and_classes():
     word = build_pattern(["The"], "word")
     assert lower_pattern(word) == r"(^|[^\p{L}\p{N}_])(the)($|[^\p{L}\p{N}_])"
     assert lower_pattern(r"\W+\S") == r"\W+\S"
+
+
+def test_phrases_in_any_case_and_none(spark):
+    from newsfeat.functions import fixed
+    texts = ["in NEW york City", "\u017filicon Valley", "S\u0130licon valley", "new yor\u212a", "wh\u0131te house", "nothing here", "", None, "Big  data"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = F.col("t")
+    for p, r in fixed.PHRASES:
+        plain = F.regexp_replace(plain, "(?iu)" + p, r)
+    got = df.select("i", tx.phrase_collapse("t").alias("a"), plain.alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[0].a == "in NYC" and got[1].a == "SiliconValley"
+    plan = df.select(tx.phrase_collapse("t").alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists" in plan
