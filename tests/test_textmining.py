@@ -84,3 +84,55 @@ def test_stems_of_batches_with_nulls(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: None if t is None else [st.stem(w) for w in t] for i, t in rows}
     assert single == {w: st.stem(w) for w in words if w is not None}
+
+
+def _repeated_tokens(spark, repeat):
+    import random
+    rnd = random.Random(3)
+    words = ["a", "bb", "ccc", "dddd", "é", "ooo"] + [f"w{i}" for i in range(60)]
+    rows = [(i % 20 if repeat and i % 9 else (None if i == 0 else i),
+             None if i == 7 else [rnd.choice(words[:6] if rnd.random() < 0.8 else words) for _ in range(rnd.randint(0, 25))])
+            for i in range(40)]
+    return rows, spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+
+
+def _plain_counts(rows, n_min, n_max):
+    """``{(doc_id, term): (tf, largest total of a row with it)}`` and document counts."""
+    from collections import Counter
+    found, df = {}, Counter()
+    for d, toks in rows:
+        grams = [" ".join(toks[i:i + n]) for n in range(n_min, n_max + 1) for i in range(len(toks or []) - n + 1)]
+        grams = [g for g in grams if len(g) >= 3]
+        df.update(set(grams))
+        for t, c in Counter(grams).items():
+            tf, total = found.get((d, t), (0, 0))
+            found[d, t] = (tf + c, max(total, len(grams)))
+    return found, df
+
+
+def test_dense_counts_equal_all_counts_after_the_cut(spark, monkeypatch):
+    from newsfeat.operators import grams
+    for repeat, step in ((False, 500_000), (True, 7)):
+        monkeypatch.setattr(grams, "STEP_TOKENS", step)
+        rows, toks = _repeated_tokens(spark, repeat)
+        for sparse, n_min, n_max in ((0.9, 1, 3), (0.95, 2, 3), (0.7, 1, 1)):
+            found, df = _plain_counts(rows, n_min, n_max)
+            want = {(d, t): (*v, df[t]) for (d, t), v in found.items() if df[t] > 40 * (1.0 - sparse)}
+            got = {(r.doc_id, r.term): (r.tf, r.doc_total, r.df) for r in tmx.remove_sparse_terms(toks, 40, sparse, n_min, n_max).collect()}
+            assert got == want and want
+
+
+def test_terms_below_the_cut_are_not_shuffled(spark):
+    """No plan of the dense counts forms n-grams as text."""
+    _, toks = _repeated_tokens(spark, False)
+    plan = tmx.remove_sparse_terms(toks, 40, 0.9, 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "zip_with" not in plan
+
+
+def test_term_counts_within_rows(spark):
+    for repeat in (False, True):
+        rows, toks = _repeated_tokens(spark, repeat)
+        out = tmx.term_counts(tmx.terms_of(toks, 1, 3))
+        assert {(r.doc_id, r.term): (r.tf, r.doc_total) for r in out.collect()} == _plain_counts(rows, 1, 3)[0]
+        shuffled = out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+        assert shuffled == int(repeat)
